@@ -1,7 +1,7 @@
 """Additive seasonal model: piecewise-linear trend, Fourier seasons, regressors.
 
-Spark turns every row into a design array and sums the outer products per
-series and segment of days. A fit needs nothing but those sums, so
+Spark turns every row into a design array; tasks sum the outer products of their
+rows per series and segment of days. A fit needs nothing but those sums, so
 
 * the Python side solves small ridge systems on a few rows per series,
 * all validation folds share one pass: an expanding or rolling training set is
@@ -17,12 +17,11 @@ import itertools
 import json
 import math
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
@@ -108,13 +107,30 @@ def design_array(ds: Column, start: Column, end: Column) -> Column:
     return F.array(*terms)
 
 
-def _outer(values: Column, size: int) -> Column:
-    """Upper triangle of the outer product, row by row."""
-    return F.flatten(F.transform(values, lambda a, i: F.transform(F.slice(values, i + 1, size), lambda b: a * b)))
+def _summing(keys: list[str]):
+    """Outer-product sums of the rows of a batch, one row per series and segment."""
+    size = width() + 2
+    upper = np.triu_indices(size)
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("_v").flatten().to_numpy().reshape(-1, size)
+            ids = batch.select([*keys, "_segment", "_start", "_end"])
+            groups = list(ids.select([*keys, "_segment"]).to_pandas().groupby([*keys, "_segment"], sort=False).indices.values())
+            sums = [(values[rows].T @ values[rows])[upper] for rows in groups]
+            out = ids.take(pa.array([rows[0] for rows in groups], pa.int64()))
+            out = out.append_column("_n", pa.array([len(rows) for rows in groups], pa.int64()))
+            yield out.append_column("_s", pa.array(sums, pa.list_(pa.float64())))
+
+    return combine
 
 
 def segment_sums(rows: DataFrame, segment: Column, key: Key, ds: str, y: str) -> DataFrame:
-    """Outer-product sums of design and targets per series and segment."""
+    """Outer-product sums of design and targets per series and segment.
+
+    Every batch is reduced inside its task, so what moves on is a fixed-size
+    array per segment. A segment cut by a batch border gives two partial sums.
+    """
     keys = as_list(key)
     whole = Window.partitionBy(*keys)
     bounded = rows.withColumns({"_start": F.min(ds).over(whole), "_end": F.max(ds).over(whole), "_segment": segment})
@@ -124,11 +140,8 @@ def segment_sums(rows: DataFrame, segment: Column, key: Key, ds: str, y: str) ->
         F.array(target, F.log1p(F.greatest(target, F.lit(0.0)))),
     )
     arrays = bounded.filter(target.isNotNull()).select(*keys, "_segment", "_start", "_end", full.alias("_v"))
-    products = arrays.withColumn("_p", array_to_vector(_outer(F.col("_v"), width() + 2)))
-    sums = products.groupBy(*keys, "_segment").agg(
-        F.count("*").alias("_n"), Summarizer.sum(F.col("_p")).alias("_s"), F.min("_start").alias("_start"), F.max("_end").alias("_end")
-    )
-    return sums.withColumn("_s", vector_to_array("_s"))
+    sums = StructType.fromDDL("_n long, _s array<double>")
+    return arrays.mapInArrow(_summing(keys), StructType([*arrays.schema.fields[:-1], *sums.fields]))
 
 
 def _penalties(params: Mapping) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +264,7 @@ def cross_validate(series: DataFrame, param_sets: Mapping[str, Mapping], initial
     fits = fit(train, segment, param_sets, "expanding", 1, keys, ds, y)
     # the fold whose cut-off lies 1..horizon days before the row
     fold = F.when(left < horizon, 0).otherwise(F.ceil((left + 1 - horizon) / period)).cast("int")
-    ahead = horizon + fold * period - left
+    ahead = (horizon + fold * period - left).cast("int")
     tests = rows.withColumns({"fold": fold, "step": ahead}).filter((F.col("step") >= 1) & (F.col("step") <= horizon))
     tests = tests.filter(F.col("n") - 1 - horizon - F.col("fold") * period >= initial)
     scored = predict(tests.select(*keys, ds, "fold", "step", F.col(y).alias("actual")).join(fits, [*keys, "fold"]), ds)
@@ -279,7 +292,7 @@ def rolling_backtest(series: DataFrame, window: int, step: int, horizon: int, pa
     past = r - window
     opened = past - past % step
     tests = rows.filter((past >= 0) & (past % step < horizon) & (opened < n - window - horizon))
-    tests = tests.select(*keys, ds, (opened / step).cast("int").alias("fold"), (past % step + 1).alias("step"), F.col(y).alias("actual"))
+    tests = tests.select(*keys, ds, (opened / step).cast("int").alias("fold"), (past % step + 1).cast("int").alias("step"), F.col(y).alias("actual"))
     scored = predict(tests.join(fits, [*keys, "fold"]), ds)
     return scored.withColumn("cutoff", F.date_sub(ds, F.col("step")))
 
