@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
-from ..functions.dates import calendar_parts, fourier_terms
+from ..functions.dates import fourier_terms
 from .holidays import HOLIDAYS, holiday_effects
-from .keys import add, every, named, row_index
-from .places import demographic_features, weather_features
-from .windows import ewm_columns, fill_forward_back, lag_columns, rolling_columns, trend_columns, volatility_columns
+from .keys import add, every, named, row_index, series_window
+from .places import demographic_columns, weather_columns
+from .windows import LAGS, ROLLING, SPANS, STATS, ewm_columns, fill_forward_back, rolling_stat
 
 # Columns never used as model inputs.
 NOT_FEATURES = ("ds", "y", "location", "created_at", "date")
@@ -48,17 +48,25 @@ def interaction_features(df: DataFrame) -> DataFrame:
 
 
 def lagged_features(df: DataFrame, key: str = "location", ds: str = "ds", y: str = "y") -> DataFrame:
-    """Lags, rolling statistics, trends, volatility and exponential means."""
-    out = lag_columns(df, prefix="y_lag_", key=key, ds=ds, y=y)
-    out = rolling_columns(out, key=key, ds=ds, y=y)
-    out = trend_columns(out, key=key, ds=ds, y=y)
-    out = volatility_columns(out, key=key, ds=ds, y=y)
-    return ewm_columns(out, key=key, ds=ds, y=y)
+    """Lags, rolling statistics, trends, volatility and exponential means.
+
+    Everything on the plain row order goes into one window pass; the volatility
+    columns are the rolling deviations under a second name.
+    """
+    w = series_window(key, ds)
+    lags = {f"y_lag_{k}": F.lag(y, k).over(w) for k in LAGS}
+    rolled = {f"y_rolling_{s}_{n}": rolling_stat(s, n, y, key, ds, full=True) for n in ROLLING for s in STATS}
+    trends = {f"y_trend_{k}d": F.col(y) - F.lag(y, k).over(w) for k in SPANS}
+    smooth = ewm_columns(add(df, {**lags, **rolled, **trends}), key=key, ds=ds, y=y)
+    return add(smooth, {f"y_volatility_{n}d": F.col(f"y_rolling_std_{n}") for n in SPANS})
 
 
 def fourier_features(df: DataFrame, ds: str = "ds") -> DataFrame:
-    day = F.col(ds)
-    return add(df, {"day_of_week": calendar_parts(day)["day_of_week"], **fourier_terms(day)})
+    return add(df, fourier_columns(F.col(ds)))
+
+
+def fourier_columns(day: Column) -> dict[str, Column]:
+    return {"day_of_week": F.weekday(day), **fourier_terms(day)}
 
 
 def all_features(df: DataFrame, holidays: Mapping[str, Sequence[str]] | DataFrame = HOLIDAYS, key: str = "location", ds: str = "ds", y: str = "y") -> DataFrame:
@@ -69,12 +77,13 @@ def all_features(df: DataFrame, holidays: Mapping[str, Sequence[str]] | DataFram
     """
     base = df.columns
     lagged = lagged_features(df, key, ds, y)
-    gaps = [c for c in lagged.columns if c not in base]
-    out = fill_forward_back(lagged, gaps, key, ds)
+    copies = {f"y_volatility_{n}d": F.col(f"y_rolling_std_{n}") for n in SPANS}
+    gaps = [c for c in lagged.columns if c not in base and c not in copies]
+    out = add(fill_forward_back(lagged, gaps, key, ds), copies)
     out = holiday_effects(out, holidays, ds=ds)
-    out = weather_features(out, key, ds)
-    out = demographic_features(out, key)
-    return fourier_features(interaction_features(out), ds)
+    day, place = F.col(ds), F.col(key)
+    out = add(out, {**weather_columns(place, day), **demographic_columns(place), **fourier_columns(day)})
+    return interaction_features(out)
 
 
 def numeric_features(df: DataFrame, exclude: Sequence[str] = NOT_FEATURES) -> list[str]:

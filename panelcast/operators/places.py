@@ -71,11 +71,14 @@ def risk_columns(place: Column, ds: Column) -> dict[str, Column]:
     }
 
 
-def weather_features(df: DataFrame, key: str = "location", ds: str = "ds") -> DataFrame:
-    day, place = F.col(ds), F.col(key)
+def weather_columns(place: Column, day: Column) -> dict[str, Column]:
     parts = {k: v for k, v in calendar_parts(day).items() if k in {"month", "quarter", "day_of_year", "week_of_year"}}
     columns = {**parts, **season_flags(day), **temperature_cycle(day), **climate_columns(place)}
-    return add(df, {**columns, **risk_columns(place, day)})
+    return {**columns, **risk_columns(place, day)}
+
+
+def weather_features(df: DataFrame, key: str = "location", ds: str = "ds") -> DataFrame:
+    return add(df, weather_columns(F.col(key), F.col(ds)))
 
 
 def group_columns(place: Column) -> dict[str, Column]:
@@ -100,9 +103,12 @@ def infrastructure_columns(place: Column) -> dict[str, Column]:
     }
 
 
+def demographic_columns(place: Column) -> dict[str, Column]:
+    return {**population_columns(place), **group_columns(place), **infrastructure_columns(place)}
+
+
 def demographic_features(df: DataFrame, key: str = "location") -> DataFrame:
-    place = F.col(key)
-    return add(df, {**population_columns(place), **group_columns(place), **infrastructure_columns(place)})
+    return add(df, demographic_columns(F.col(key)))
 
 
 def dimension_join(df: DataFrame, dimension: DataFrame, key: str = "location", defaults: Mapping[str, object] | None = None) -> DataFrame:

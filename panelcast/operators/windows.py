@@ -20,8 +20,9 @@ Key = str | Sequence[str]
 LAGS = (1, 7, 14, 30)
 ROLLING = (7, 14, 30)
 ALPHAS = (0.1, 0.3, 0.5)
+SPANS = (7, 30)
 
-_STATS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+STATS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
 
 def lag_columns(df: DataFrame, lags: Sequence[int] = LAGS, prefix: str = "lag_", key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
@@ -37,7 +38,7 @@ def rolling_stat(stat: str, rows: int, y: str, key: Key, ds: str, full: bool = F
     own target.
     """
     frame = series_window(key, ds).rowsBetween(-(rows - 1) - shift, -shift)
-    value = _STATS[stat](y).over(frame)
+    value = STATS[stat](y).over(frame)
     return F.when(F.count(y).over(frame) >= rows, value) if full else value
 
 
@@ -63,12 +64,12 @@ def leak_free_rolling(df: DataFrame, lengths: Sequence[int] = ROLLING, key: Key
     return rolling_columns(df, lengths, ("mean", "std"), "rolling_", full=False, shift=1, key=key, ds=ds, y=y)
 
 
-def trend_columns(df: DataFrame, spans: Sequence[int] = (7, 30), key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
+def trend_columns(df: DataFrame, spans: Sequence[int] = SPANS, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
     w = series_window(key, ds)
     return add(df, {f"y_trend_{k}d": F.col(y) - F.lag(y, k).over(w) for k in spans})
 
 
-def volatility_columns(df: DataFrame, spans: Sequence[int] = (7, 30), key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
+def volatility_columns(df: DataFrame, spans: Sequence[int] = SPANS, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
     return add(df, {f"y_volatility_{n}d": rolling_stat("std", n, y, key, ds, full=True) for n in spans})
 
 
@@ -90,18 +91,16 @@ def ewm_columns(df: DataFrame, alphas: Sequence[float] = ALPHAS, prefix: str = "
     rows = rows.withColumns({"_b": F.floor(F.col("_r") / block), "_o": F.col("_r") % block})
     running = Window.partitionBy(*keys, "_b").orderBy(ds).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-1, -1)
-    value, weight = F.coalesce(F.col(y).cast("double"), F.lit(0.0)), F.col(y).isNotNull().cast("double")
-    columns = {}
-    for alpha in alphas:
+    terms = {"_v": F.coalesce(F.col(y).cast("double"), F.lit(0.0)), "_w": F.col(y).isNotNull().cast("double")}
+    sums = {}
+    for number, alpha in enumerate(alphas):
         keep = F.lit(1 - alpha)
-
-        def weighted(term: Column) -> Column:
+        for name, term in terms.items():
             near = F.sum(term * F.pow(keep, -F.col("_o"))).over(running) * F.pow(keep, F.col("_o"))
             far = F.sum(term * F.pow(keep, (block - 1) - F.col("_o"))).over(before) * F.pow(keep, F.col("_o") + 1)
-            return near + F.coalesce(far, F.lit(0.0))
-
-        columns[f"{prefix}{alpha}"] = F.when(weighted(weight) > 0, weighted(value) / weighted(weight))
-    return add(rows, columns).drop("_r", "_b", "_o")
+            sums[f"{name}{number}"] = near + F.coalesce(far, F.lit(0.0))
+    out = add(add(rows, sums), {f"{prefix}{a}": F.try_divide(f"_v{i}", f"_w{i}") for i, a in enumerate(alphas)})
+    return out.drop("_r", "_b", "_o", *sums)
 
 
 def row_trend(df: DataFrame, name: str = "trend", key: Key = "location", ds: str = "ds") -> DataFrame:

@@ -95,16 +95,27 @@ def supplier_beds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dirty_admissions(spark: SparkSession, folder: str) -> DataFrame:
-    """The admissions with copies, negative, missing, extreme and future rows mixed in."""
-    base = admissions(spark, folder).drop("disease_severity")
-    kind, count = F.col("disease_type"), F.col("admission_count")
+    """The admissions with copies, negative, missing, extreme and future rows mixed in.
+
+    Each row unrolls into itself and the faulty versions it gives rise to, so
+    the tables are read once.
+    """
+    kind, count, day, place, age = (F.col(c) for c in ("disease_type", "admission_count", "date", "location", "age_group"))
     nothing = F.lit(None).cast("string")
-    copies = base.filter(kind == "1-URGENT")
-    negative = base.filter(kind == "5-LOW").withColumns({"disease_type": nothing, "age_group": nothing, "admission_count": -count})
-    extreme = base.filter((kind == "2-HIGH") & (F.dayofmonth("date") == 1)).withColumns({"disease_type": nothing, "admission_count": count * 1000})
-    future = base.filter(kind == "3-MEDIUM").withColumns({"date": F.date_add("date", 36525), "age_group": nothing})
-    uncounted = base.filter((kind == "4-NOT SPECIFIED") & (F.month("date") == 1)).withColumn("admission_count", F.lit(None).cast("long"))
-    return base.unionByName(copies).unionByName(negative).unionByName(extreme).unionByName(future).unionByName(uncounted)
+
+    def row(date=day, disease_type=kind, age_group=age, admission_count=count) -> Column:
+        parts = {"date": date, "location": place, "disease_type": disease_type, "age_group": age_group, "admission_count": admission_count}
+        return F.struct(*[v.alias(k) for k, v in parts.items()])
+
+    versions = [
+        row(),
+        F.when(kind == "1-URGENT", row()),
+        F.when(kind == "5-LOW", row(disease_type=nothing, age_group=nothing, admission_count=-count)),
+        F.when((kind == "2-HIGH") & (F.dayofmonth(day) == 1), row(disease_type=nothing, admission_count=count * 1000)),
+        F.when(kind == "3-MEDIUM", row(date=F.date_add(day, 36525), age_group=nothing)),
+        F.when((kind == "4-NOT SPECIFIED") & (F.month(day) == 1), row(admission_count=F.lit(None).cast("long"))),
+    ]
+    return admissions(spark, folder).select(F.inline(F.array_compact(F.array(*versions))))
 
 
 def day_capacity(spark: SparkSession, folder: str) -> DataFrame:
