@@ -144,12 +144,17 @@ def rolling_origin(series: DataFrame, initial: int, period: int, horizon: int, k
 def backtest_metrics(predictions: DataFrame, predicted: str, key: Key = "location", ds: str = "ds", actual: str = "actual") -> DataFrame:
     """Error measures over all folds of a series.
 
-    Directions are compared between neighbouring days of the same fold.
+    Directions are compared between neighbouring days of the same fold; a
+    change below a billionth is rounding noise and counts as none.
     """
     keys = as_list(key)
     a, p = F.col(actual), F.col(predicted)
     w = Window.partitionBy(*keys, "cutoff").orderBy(ds)
-    same = (F.signum(a - F.lag(a).over(w)) == F.signum(p - F.lag(p).over(w))).cast("double")
+
+    def direction(value: Column) -> Column:
+        return F.signum(F.round((value - F.lag(value).over(w)).cast("double"), 9))
+
+    same = (direction(a) == direction(p)).cast("double")
     return predictions.withColumn("_same", same).groupBy(*keys).agg(
         metrics.mae(a, p).alias("mae"),
         metrics.mse(a, p).alias("mse"),

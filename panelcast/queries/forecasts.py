@@ -10,7 +10,7 @@ from ..sources import files, tables
 from .calendar import after_views
 from .joins import all_forecasts, holdout_scores
 from .registry import q6, query, rounded
-from .views import backtest_sql, with_views
+from .views import ar_steps, backtest_sql, with_views
 
 # Boosted-tree settings of the registered queries; the library defaults are larger.
 SMALL_TREES = {"maxIter": 15, "maxDepth": 4}
@@ -98,8 +98,8 @@ steps AS (SELECT s.location, CAST(s.y AS DOUBLE) AS y, lag(CAST(s.y AS DOUBLE))
   FROM series s JOIN ar_fit f ON s.location = f.location WINDOW w AS (PARTITION BY s.location ORDER BY s.ds)),
 errors AS ({' UNION ALL '.join(f"SELECT location, '{m}' AS model, avg(abs((y - ({e})) / y)) * 100 AS mape, {m[-1]} AS differences FROM steps GROUP BY location" for m, e in STEPS.items())}),
 chosen AS (SELECT location, arg_min(model, mape) AS model, min(mape) AS mape FROM errors JOIN unit USING (location) WHERE t_stat < -2.86 OR differences = 1 GROUP BY location)"""
-MANY_SQL = """CASE model WHEN 'ar0_diff0' THEN level WHEN 'ar0_diff1' THEN last_y
-  WHEN 'ar1_diff0' THEN constant * (1 - pow(phi, step)) / (1 - phi) + pow(phi, step) * last_y
+MANY_SQL = f"""CASE model WHEN 'ar0_diff0' THEN level WHEN 'ar0_diff1' THEN last_y
+  WHEN 'ar1_diff0' THEN {ar_steps('phi', 'constant', 'last_y', 'step')}
   ELSE last_y + (last_y - last_y1) * phi_diff * (1 - pow(phi_diff, step)) / (1 - phi_diff) END"""
 
 

@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+
+
+def ar_steps(phi: str, constant: str, last: str, step: str) -> str:
+    """Value of the recursive forecast after so many steps; an undefined slope repeats the last value."""
+    grown = f"CASE WHEN abs(1 - {phi}) < 1e-12 THEN {constant} * {step} ELSE {constant} * (1 - pow({phi}, {step})) / (1 - {phi}) END"
+    return f"CASE WHEN {phi} IS NULL OR isnan({phi}) THEN CAST({last} AS DOUBLE) ELSE {grown} + pow({phi}, {step}) * {last} END"
+
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "episodes": (
         (),
@@ -129,8 +137,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "ar_test": (
         ("positions",),
-        """SELECT p.location, p.ds, p.y AS actual,
-                  t.c * (1 - pow(t.phi, p.r - (p.n - 31))) / (1 - t.phi) + pow(t.phi, p.r - (p.n - 31)) * t.last_y AS yhat
+        f"""SELECT p.location, p.ds, p.y AS actual, {ar_steps('t.phi', 't.c', 't.last_y', '(p.r - (p.n - 31))')} AS yhat
            FROM positions p JOIN (
              SELECT location, regr_slope(y, y1) AS phi, regr_intercept(y, y1) AS c, max_by(y, ds) AS last_y
              FROM (SELECT *, lag(y) OVER (PARTITION BY location ORDER BY ds) AS y1 FROM positions WHERE r < n - 30) GROUP BY location) t
@@ -166,7 +173,7 @@ VIEWS["mean_forecast"] = (
 )
 VIEWS["ar_forecast"] = (
     ("ar_fit",),
-    """SELECT location, last_ds + step AS ds, step, constant * (1 - pow(phi, step)) / (1 - phi) + pow(phi, step) * last_y AS yhat, 'ar1_diff0' AS model
+    f"""SELECT location, last_ds + step AS ds, step, {ar_steps('phi', 'constant', 'last_y', 'step')} AS yhat, 'ar1_diff0' AS model
        FROM ar_fit, (SELECT CAST(range AS INTEGER) AS step FROM range(1, 15))""",
 )
 VIEWS["drift_forecast"] = (
@@ -181,9 +188,9 @@ VIEWS["forecasts"] = (
 # rolling-window backtest: fold, its training state and the predictions of its test rows
 VIEWS["rolling"] = (
     ("positions",),
-    """SELECT t.location, t.cutoff, p.ds, p.r - t.s - 179 AS step, p.y AS actual,
+    f"""SELECT t.location, t.cutoff, p.ds, p.r - t.s - 179 AS step, p.y AS actual,
               t.level * CASE WHEN isodow(p.ds) >= 6 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS yhat_mean,
-              t.c * (1 - pow(t.phi, p.r - t.s - 179)) / (1 - t.phi) + pow(t.phi, p.r - t.s - 179) * t.last_y AS yhat_ar
+              {ar_steps('t.phi', 't.c', 't.last_y', '(p.r - t.s - 179)')} AS yhat_ar
        FROM (SELECT f.location, f.s, max(x.ds) AS cutoff, avg(x.y) AS level, max_by(x.y, x.ds) AS last_y,
                     regr_slope(x.y, CASE WHEN x.r > f.s THEN x.y1 END) AS phi, regr_intercept(x.y, CASE WHEN x.r > f.s THEN x.y1 END) AS c
              FROM (SELECT location, unnest(range(0, max(n) - 194, 30)) AS s FROM positions WHERE n >= 210 GROUP BY location) f
@@ -193,9 +200,9 @@ VIEWS["rolling"] = (
 )
 VIEWS["origin"] = (
     ("positions",),
-    """SELECT t.location, t.cutoff, p.ds, date_diff('day', t.cutoff, p.ds) AS step, p.y AS actual,
+    f"""SELECT t.location, t.cutoff, p.ds, date_diff('day', t.cutoff, p.ds) AS step, p.y AS actual,
               t.level * CASE WHEN isodow(p.ds) >= 6 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS yhat_mean,
-              t.c * (1 - pow(t.phi, date_diff('day', t.cutoff, p.ds))) / (1 - t.phi) + pow(t.phi, date_diff('day', t.cutoff, p.ds)) * t.last_y AS yhat_ar
+              {ar_steps('t.phi', 't.c', 't.last_y', "date_diff('day', t.cutoff, p.ds)")} AS yhat_ar
        FROM (SELECT f.location, f.cutoff, avg(x.y) AS level, max_by(x.y, x.ds) AS last_y, regr_slope(x.y, x.y1) AS phi, regr_intercept(x.y, x.y1) AS c
              FROM (SELECT location, max(ds) - 14 - unnest(range(0, date_diff('day', min(ds), max(ds)) - 194 + 1, 30))::INTEGER AS cutoff FROM series GROUP BY location) f
              JOIN (SELECT *, lag(y) OVER (PARTITION BY location ORDER BY ds) AS y1 FROM positions) x
@@ -204,7 +211,7 @@ VIEWS["origin"] = (
 )
 BACKTEST = """avg(abs(actual - {p})) AS mae, avg((actual - {p}) * (actual - {p})) AS mse, sqrt(avg((actual - {p}) * (actual - {p}))) AS rmse,
   avg(abs(actual - {p}) / greatest(abs(actual), 2.220446049250313e-16::DOUBLE)) * 100 AS mape,
-  avg(CAST(sign(da) = sign(dp) AS DOUBLE)) * 100 AS directional_accuracy, count(*) AS total_predictions"""
+  avg(CAST(sign(da) = sign(round(dp, 9)) AS DOUBLE)) * 100 AS directional_accuracy, count(*) AS total_predictions"""
 
 
 def backtest_sql(source: str, predicted: str) -> str:
