@@ -17,29 +17,24 @@ import itertools
 import json
 import math
 import random
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.dates import is_weekend
 from ..operators.keys import as_list
 from ..operators.ranking import row_positions
+from . import ridge
 from .baseline import HORIZON, Z95, extend
 from .folds import TUNING, horizon_metrics, mean_over_horizons
+from .ridge import CHANGEPOINT_RANGE, CHANGEPOINTS, MIN_ROWS, SEASONS, fitter, summing
 
-Key = str | Sequence[str]
+# Executors need not have this package installed: the solver travels with the job.
+cloudpickle.register_pickle_by_value(ridge)
 
-# Trend change points and the share of the history they cover,
-# seasonal blocks as (period in days, harmonics), shortest history.
-CHANGEPOINTS, CHANGEPOINT_RANGE = 10, 0.8
-SEASONS = {"yearly": (365.25, 5), "weekly": (7.0, 3), "monthly": (30.5, 5), "quarterly": (91.25, 8)}
-MIN_ROWS = 30
-# Assumed noise variance of a series scaled to 1; turns prior scales into penalties.
-NOISE = 0.01
+Key = str | Sequence[str]
 
 # Parameter sets of the forecaster, the backtest, the comparison
 # and the three ensemble members, and the search grid with its sample size.
@@ -75,23 +70,6 @@ GRID = {
 }
 GRID_SAMPLE, GRID_SEED = 20, 42
 
-FULL_FIT = -1
-
-
-def blocks() -> dict[str, slice]:
-    """Column ranges of the design array, by block."""
-    sizes = {"base": 2, "changepoint": CHANGEPOINTS, **{k: 2 * n for k, (_, n) in SEASONS.items()}, "regressors": 2}
-    ranges, start = {}, 0
-    for name, size in sizes.items():
-        ranges[name] = slice(start, start + size)
-        start += size
-    return ranges
-
-
-def width() -> int:
-    return blocks()["regressors"].stop
-
-
 def design_array(ds: Column, start: Column, end: Column) -> Column:
     """All candidate columns of one day; the trend position runs from 0 to 1 over the history."""
     position = F.datediff(ds, start) / F.greatest(F.datediff(end, start), F.lit(1))
@@ -107,24 +85,6 @@ def design_array(ds: Column, start: Column, end: Column) -> Column:
     return F.array(*terms)
 
 
-def _summing(keys: list[str]):
-    """Outer-product sums of the rows of a batch, one row per series and segment."""
-    size = width() + 2
-    upper = np.triu_indices(size)
-
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column("_v").flatten().to_numpy().reshape(-1, size)
-            ids = batch.select([*keys, "_segment", "_start", "_end"])
-            groups = list(ids.select([*keys, "_segment"]).to_pandas().groupby([*keys, "_segment"], sort=False).indices.values())
-            sums = [(values[rows].T @ values[rows])[upper] for rows in groups]
-            out = ids.take(pa.array([rows[0] for rows in groups], pa.int64()))
-            out = out.append_column("_n", pa.array([len(rows) for rows in groups], pa.int64()))
-            yield out.append_column("_s", pa.array(sums, pa.list_(pa.float64())))
-
-    return combine
-
-
 def segment_sums(rows: DataFrame, segment: Column, key: Key, ds: str, y: str) -> DataFrame:
     """Outer-product sums of design and targets per series and segment.
 
@@ -141,75 +101,7 @@ def segment_sums(rows: DataFrame, segment: Column, key: Key, ds: str, y: str) ->
     )
     arrays = bounded.filter(target.isNotNull()).select(*keys, "_segment", "_start", "_end", full.alias("_v"))
     sums = StructType.fromDDL("_n long, _s array<double>")
-    return arrays.mapInArrow(_summing(keys), StructType([*arrays.schema.fields[:-1], *sums.fields]))
-
-
-def _penalties(params: Mapping) -> tuple[np.ndarray, np.ndarray]:
-    """Ridge penalty per column, and which columns take part."""
-    ranges = blocks()
-    penalty = np.full(width(), NOISE / params["seasonality_prior_scale"] ** 2)
-    penalty[ranges["base"]] = 1e-8
-    penalty[ranges["changepoint"]] = NOISE / params["changepoint_prior_scale"] ** 2
-    active = np.ones(width(), dtype=bool)
-    for name in SEASONS:
-        active[ranges[name]] = bool(params[f"{name}_seasonality"])
-    active[ranges["regressors"]] = bool(params["regressors"])
-    return penalty, active
-
-
-def _solve(gram: np.ndarray, n: float, params: Mapping) -> tuple[list[float], float]:
-    size = width()
-    target = size + (params["seasonality_mode"] == "multiplicative")
-    penalty, active = _penalties(params)
-    picked = np.flatnonzero(active)
-    system = gram[np.ix_(picked, picked)] + np.diag(penalty[picked])
-    beta = np.zeros(size)
-    beta[picked] = np.linalg.solve(system, gram[picked, target])
-    squared = gram[target, target] - 2 * beta @ gram[:size, target] + beta @ gram[:size, :size] @ beta
-    return beta.tolist(), math.sqrt(max(squared, 0.0) / max(n, 1.0))
-
-
-def _fitter(keys: list[str], param_sets: Mapping[str, Mapping], training: str, span: int):
-    """Solver for one series: its segments in, one coefficient row per fold and parameter set out."""
-    size = width() + 2
-    upper = np.triu_indices(size)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_segment")
-        segments, counts = pdf["_segment"].to_numpy(), pdf["_n"].to_numpy(dtype=float)
-        sums = np.stack(pdf["_s"].to_numpy())
-        out = []
-        for fold in _folds(segments, training, span):
-            chosen = _training_segments(segments, fold, training, span)
-            n = counts[chosen].sum()
-            if n < MIN_ROWS:
-                continue
-            gram = np.zeros((size, size))
-            gram[upper] = sums[chosen].sum(axis=0)
-            gram = gram + np.triu(gram, 1).T
-            for name, params in param_sets.items():
-                beta, sigma = _solve(gram, n, params)
-                log_scale = params["seasonality_mode"] == "multiplicative"
-                ids = [pdf[k].iloc[0] for k in keys]
-                out.append((*ids, int(fold), name, beta, sigma, log_scale, pdf["_start"].iloc[0], pdf["_end"].iloc[0]))
-        return pd.DataFrame(out, columns=[*keys, "fold", "params", "beta", "sigma", "log_scale", "_start", "_end"])
-
-    return fit
-
-
-def _folds(segments: np.ndarray, training: str, span: int) -> list[int]:
-    if training == "full":
-        return [FULL_FIT]
-    last = int(segments.max())
-    return list(range(last + 1 if training == "expanding" else max(last - span + 2, 0)))
-
-
-def _training_segments(segments: np.ndarray, fold: int, training: str, span: int) -> np.ndarray:
-    if training == "full":
-        return np.ones(len(segments), dtype=bool)
-    if training == "expanding":
-        return segments >= fold
-    return (segments >= fold) & (segments < fold + span)
+    return arrays.mapInArrow(summing(keys), StructType([*arrays.schema.fields[:-1], *sums.fields]))
 
 
 def fit(rows: DataFrame, segment: Column, param_sets: Mapping[str, Mapping], training: str = "full", span: int = 1, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
@@ -225,7 +117,7 @@ def fit(rows: DataFrame, segment: Column, param_sets: Mapping[str, Mapping], tra
     )
     schema = StructType([*[rows.schema[k] for k in keys], *fitted.fields])
     sums = segment_sums(rows, segment, keys, ds, y)
-    return sums.groupBy(*keys).applyInPandas(_fitter(keys, param_sets, training, span), schema)
+    return sums.groupBy(*keys).applyInPandas(fitter(keys, param_sets, training, span), schema)
 
 
 def predict(days: DataFrame, ds: str = "ds") -> DataFrame:

@@ -1,8 +1,8 @@
 """Time-ordered validation folds and backtests over all series at once.
 
-Folds are arithmetic on row positions or days. Training statistics come from
-window frames ending at the fold's cut-off and are carried to its test rows, so
-expanding and rolling training sets are never materialised.
+Folds are arithmetic on row positions or days. Training sets are reduced to a
+few statistics per fold, by running windows or partial aggregates, and never
+copied to a fitting function.
 """
 
 from __future__ import annotations
@@ -73,27 +73,8 @@ def _require_disjoint(spacing: int, horizon: int) -> None:
         raise ValueError("test parts would overlap: the spacing of folds must not be below the horizon")
 
 
-def _training_state(frame, ds: str, y: str, key: Key) -> Column:
-    """Level, AR(1) coefficients and last value over a training frame."""
-    lagged = F.col("_y1")
-    inside = frame["inner"]
-    return F.struct(
-        F.avg(y).over(frame["rows"]).alias("level"),
-        F.coalesce(F.regr_slope(F.col(y).cast("double"), lagged).over(inside), F.lit(1.0)).alias("phi"),
-        F.coalesce(F.regr_intercept(F.col(y).cast("double"), lagged).over(inside), F.lit(0.0)).alias("constant"),
-        F.col(y).cast("double").alias("last_y"),
-        F.col(ds).alias("cutoff"),
-    )
-
-
-def _score(rows: DataFrame, is_origin: Column, is_test: Column, horizon: int, frame, key: Key, ds: str, y: str) -> DataFrame:
-    """Carry each origin's training state to its test rows and predict them."""
-    w = series_window(key, ds)
-    lagged = rows.withColumn("_y1", F.lag(F.col(y).cast("double")).over(w))
-    stated = lagged.withColumn("_s", F.when(is_origin, _training_state(frame, ds, y, key)))
-    carried = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    tests = stated.withColumn("_s", carried).filter(is_test & F.col("_s").isNotNull())
-    tests = tests.select("*", "_s.level", "_s.phi", "_s.constant", "_s.last_y", "_s.cutoff")
+def _predictions(tests: DataFrame, key: Key, ds: str, y: str) -> DataFrame:
+    """Both forecasts of rows that carry the training state of their fold."""
     step = F.datediff(F.col(ds), F.col("cutoff"))
     return tests.select(
         *as_list(key),
@@ -110,35 +91,58 @@ def rolling_backtest(series: DataFrame, window: int, step: int, horizon: int, ke
     """Predictions of fixed-length training windows moved forward by ``step`` rows.
 
     Expects gap-free panels, where rows are days. Series shorter than the
-    window plus thirty rows are left out.
+    window plus thirty rows are left out. A row unrolls into the few windows it
+    trains, ``window / step`` of them, and is summed up again right away in the
+    partition of its series.
     """
     _require_disjoint(step, horizon)
-    rows = row_positions(series, key, ds).filter(F.col("n") >= window + 30)
-    start = F.col("r") - (window - 1)
-    opens = (start >= 0) & (start % step == 0) & (start < F.col("n") - window - horizon)
-    w = series_window(key, ds)
-    frame = {"rows": w.rowsBetween(-(window - 1), 0), "inner": w.rowsBetween(-(window - 2), 0)}
-    past = F.col("r") - window
-    in_test = (past >= 0) & (past % step < horizon) & (past - past % step < F.col("n") - window - horizon)
-    return _score(rows, opens, in_test, horizon, frame, key, ds, y)
+    keys = as_list(key)
+    rows = row_positions(series, keys, ds).filter(F.col("n") >= window + 30)
+    value, r = F.col(y).cast("double"), F.col("r")
+    last_fold = F.ceil((F.col("n") - window - horizon) / step).cast("int") - 1
+    lagged = rows.withColumn("_y1", F.lag(value).over(series_window(keys, ds)))
+    first = F.greatest(F.lit(0), F.ceil((r - window + 1) / step).cast("int"))
+    final = F.least(F.floor(r / step).cast("int"), last_fold)
+    member = lagged.filter(first <= final).withColumn("fold", F.explode(F.sequence(first, final)))
+    pair = F.when(r > F.col("fold") * step, F.col("_y1"))
+    fits = member.groupBy(*keys, "fold").agg(
+        F.avg(value).alias("level"),
+        F.coalesce(F.regr_slope(value, pair), F.lit(1.0)).alias("phi"),
+        F.coalesce(F.regr_intercept(value, pair), F.lit(0.0)).alias("constant"),
+        F.max_by(value, ds).alias("last_y"),
+        F.max(ds).alias("cutoff"),
+    )
+    past = r - window
+    fold = F.floor(past / step).cast("int")
+    tests = rows.filter((past >= 0) & (past % step < horizon) & (fold <= last_fold)).withColumn("fold", fold)
+    return _predictions(tests.join(fits, [*keys, "fold"]), keys, ds, y)
 
 
 def rolling_origin(series: DataFrame, initial: int, period: int, horizon: int, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
-    """Predictions of expanding training sets at evenly spaced cut-offs."""
+    """Predictions of expanding training sets at evenly spaced cut-offs.
+
+    Expanding statistics are running window aggregates; the state at each
+    cut-off is carried to the test rows that follow it.
+    """
     _require_disjoint(period, horizon)
-    rows = row_positions(series, key, ds)
-    left = F.col("n") - 1 - F.col("r")
-    enough = F.col("r") >= initial
-    opens = (left >= horizon) & ((left - horizon) % period == 0) & enough
-    behind = F.pmod(horizon - 1 - left, F.lit(period))
-    in_test = behind < horizon
-    w = series_window(key, ds)
-    frame = {
-        "rows": w.rowsBetween(Window.unboundedPreceding, 0),
-        "inner": w.rowsBetween(Window.unboundedPreceding, 0),
-    }
-    scored = _score(rows, opens, in_test, horizon, frame, key, ds, y)
-    return scored.filter(F.col("step") <= horizon)
+    keys = as_list(key)
+    w = series_window(keys, ds)
+    value, left = F.col(y).cast("double"), F.col("n") - 1 - F.col("r")
+    rows = row_positions(series, keys, ds).withColumn("_y1", F.lag(value).over(w))
+    opens = (left >= horizon) & ((left - horizon) % period == 0) & (F.col("r") >= initial)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    state = F.struct(
+        F.avg(y).over(so_far).alias("level"),
+        F.coalesce(F.regr_slope(value, F.col("_y1")).over(so_far), F.lit(1.0)).alias("phi"),
+        F.coalesce(F.regr_intercept(value, F.col("_y1")).over(so_far), F.lit(0.0)).alias("constant"),
+        value.alias("last_y"),
+        F.col(ds).alias("cutoff"),
+    )
+    stated = rows.withColumn("_s", F.when(opens, state))
+    carried = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    in_test = F.pmod(horizon - 1 - left, F.lit(period)) < horizon
+    tests = stated.withColumn("_s", carried).filter(in_test & F.col("_s").isNotNull()).select("*", "_s.*")
+    return _predictions(tests, keys, ds, y).filter(F.col("step") <= horizon)
 
 
 def backtest_metrics(predictions: DataFrame, predicted: str, key: Key = "location", ds: str = "ds", actual: str = "actual") -> DataFrame:

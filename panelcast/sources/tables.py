@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.dates import is_weekend
 from ..operators import clean, panel
@@ -15,8 +16,15 @@ CITY_OF_REGION = {"AFRICA": "Can Tho", "AMERICA": "Ha Noi", "ASIA": "Ho Chi Minh
 DAY_SHIFT = 9496
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """Input table; its footer is read for the schema only once per process."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def customers_with_place(spark: SparkSession, folder: str, place: str = "r_name") -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.functions import metrics
-from panelcast.models import additive, autoregressive, baseline, ensemble, folds, trees, trend
+from panelcast.models import additive, autoregressive, baseline, ensemble, folds, ridge, trees, trend
 from panelcast.operators.features import numeric_features
 from panelcast.reports import summaries
 
@@ -148,7 +148,7 @@ def test_segment_fit_equals_direct_ridge(series_of):
     params = {**additive.FORECAST, "seasonality_mode": "additive"}
     fit = additive.fit(df, F.lit(0), {"p": params}).first()
     x = np.array([r[0] for r in df.orderBy("ds").select(additive.design_array(F.col("ds"), F.lit("2024-01-01").cast("date"), F.date_add(F.lit("2024-01-01").cast("date"), 299))).collect()])
-    penalty, active = additive._penalties(params)
+    penalty, active = ridge.penalties(params)
     xa = x[:, active]
     expected = np.linalg.solve(xa.T @ xa + np.diag(penalty[active]), xa.T @ np.array(y))
     fitted = xa @ np.array(fit.beta)[active]
