@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .keys import add, as_list, named, series_window
+from .keys import add, as_list, series_window
 
 Key = str | Sequence[str]
 
@@ -130,12 +130,11 @@ def fill_forward_back(df: DataFrame, columns: Sequence[str], key: Key = "locatio
     After a forward fill only leading nulls are left, and those all take the
     first known value, so the whole-series frame replaces a backward scan.
     """
-    back = series_window(key, ds).rowsBetween(Window.unboundedPreceding, 0)
-    whole = series_window(key, ds).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    fills = {
-        c: F.coalesce(F.last(named(c), ignorenulls=True).over(back), F.first(named(c), ignorenulls=True).over(whole)) for c in columns
-    }
-    return add(df, fills)
+    order = f"PARTITION BY {', '.join(f'`{k}`' for k in as_list(key))} ORDER BY `{ds}`"
+    back = f"OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    whole = f"OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    fill = "coalesce(last(`{0}`) IGNORE NULLS {1}, first(`{0}`) IGNORE NULLS {2})"
+    return add(df, {c: F.expr(fill.format(c, back, whole)) for c in columns})
 
 
 def interpolate(df: DataFrame, y: str = "y", key: Key = "location", ds: str = "ds") -> DataFrame:

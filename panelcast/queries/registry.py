@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,28 +22,20 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def r6(value: Column | str, name: str | None = None) -> Column:
-    """Six decimals and a plain zero, so that engines agree on the last digits."""
-    column = F.col(f"`{value}`") if isinstance(value, str) else value
-    rounded = F.round(column.cast("double"), 6) + F.lit(0.0)
-    return rounded.alias(name or (value if isinstance(value, str) else "value"))
-
-
 def q6(expression: str, name: str | None = None) -> str:
     """The same rounding in SQL."""
     return f"round(CAST({expression} AS DOUBLE), 6) + 0.0 AS {name or expression}"
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Round every double column and widen integers, keeping the order of columns."""
-    columns = []
-    for field in df.schema:
-        kind = field.dataType.simpleString()
-        column = F.col(f"`{field.name}`")
-        if kind in {"double", "float"}:
-            columns.append(r6(field.name))
-        elif kind in {"int", "smallint", "tinyint"}:
-            columns.append(column.cast("long").alias(field.name))
-        else:
-            columns.append(column)
-    return df.select(*columns)
+    """Six decimals for doubles and long integers, keeping the order of columns.
+
+    Adding zero turns a rounded negative zero into a plain one, so that engines
+    agree on the last digit. Written as SQL text: one call for all columns.
+    """
+    texts = {
+        "double": "round(`{0}`, 6) + 0.0D AS `{0}`",
+        "float": "round(CAST(`{0}` AS DOUBLE), 6) + 0.0D AS `{0}`",
+        "int": "CAST(`{0}` AS BIGINT) AS `{0}`",
+    }
+    return df.selectExpr(*[texts.get(kind, "`{0}`").format(name) for name, kind in df.dtypes])
