@@ -7,8 +7,10 @@ panel picks them up with one equi-join on the date.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .keys import LITERAL_ROWS, every
@@ -41,9 +43,9 @@ NEARBY = 3
 
 
 def holiday_table(spark: SparkSession, holidays: Mapping[str, Sequence[str]] = HOLIDAYS) -> DataFrame:
-    rows = [(name, day) for name, days in holidays.items() for day in days]
-    table = spark.createDataFrame(rows, "holiday string, ds string")
-    return table.withColumn("ds", F.col("ds").cast("date"))
+    rows = [(name, dt.date.fromisoformat(day)) for name, days in holidays.items() for day in days]
+    names, days = (list(column) for column in zip(*rows))
+    return spark.createDataFrame(pa.table({"holiday": pa.array(names), "ds": pa.array(days, pa.date32())}))
 
 
 def flags_by_day(holidays: DataFrame, flags: Mapping[str, str] = FLAGS) -> DataFrame:
@@ -70,6 +72,23 @@ def season_by_day(
     return days.distinct().withColumn(name, F.lit(1))
 
 
+def effects_by_day(holidays: DataFrame, flags: Mapping[str, str] = FLAGS, festival: str = FESTIVAL) -> DataFrame:
+    """All holiday columns per day from one unroll and one aggregate."""
+    first, last = -max(SEASON_BEFORE, NEARBY), max(SEASON_AFTER, NEARBY)
+    offsets = F.explode(F.sequence(F.lit(first), F.lit(last)))
+    touched = holidays.select("holiday", F.col("ds").alias("_h"), offsets.alias("_k"))
+    k = F.col("_k")
+    marks = {
+        "pre_holiday": k.between(-NEARBY, -1),
+        "post_holiday": k.between(1, NEARBY),
+        "on_holiday": k == 0,
+        **{flag: (k == 0) & (F.col("holiday") == name) for name, flag in flags.items()},
+        "is_major_holiday": k == 0,
+        "is_tet_season": (F.col("holiday") == festival) & k.between(-SEASON_BEFORE, SEASON_AFTER),
+    }
+    return touched.groupBy(F.date_add("_h", k).alias("ds")).agg(*[F.max(m.cast("int")).alias(n) for n, m in marks.items()])
+
+
 def attach_by_day(panel: DataFrame, by_day: DataFrame, bounded: bool, ds: str = "ds") -> DataFrame:
     """Left join on the day, zero where the day has no entry."""
     flags = [c for c in by_day.columns if c != "ds"]
@@ -93,12 +112,7 @@ def holiday_effects(
     in_code = not isinstance(holidays, DataFrame)
     table = holiday_table(panel.sparkSession, holidays) if in_code else holidays
     bounded = in_code and sum(len(days) for days in holidays.values()) <= LITERAL_ROWS
-    by_day = (
-        nearby_by_day(table)
-        .join(flags_by_day(table, flags), "ds", "full")
-        .join(season_by_day(table, festival), "ds", "full")
-    )
-    return attach_by_day(panel, by_day, bounded, ds)
+    return attach_by_day(panel, effects_by_day(table, flags, festival), bounded, ds)
 
 
 def is_member(panel: DataFrame, days: DataFrame, name: str, ds: str = "ds") -> DataFrame:
