@@ -29,7 +29,7 @@ from ..operators.ranking import row_positions
 from . import ridge
 from .baseline import HORIZON, Z95, extend
 from .folds import TUNING, horizon_metrics, mean_over_horizons
-from .ridge import CHANGEPOINT_RANGE, CHANGEPOINTS, MIN_ROWS, SEASONS, fitter, summing
+from .ridge import CHANGEPOINT_RANGE, CHANGEPOINTS, MIN_ROWS, SEASONS, fitter, summing, used_blocks
 
 # Executors need not have this package installed: the solver travels with the job.
 cloudpickle.register_pickle_by_value(ridge)
@@ -70,22 +70,23 @@ GRID = {
 }
 GRID_SAMPLE, GRID_SEED = 20, 42
 
-def design_array(ds: Column, start: Column, end: Column) -> Column:
-    """All candidate columns of one day; the trend position runs from 0 to 1 over the history."""
+def design_array(ds: Column, start: Column, end: Column, names: Sequence[str]) -> Column:
+    """Design columns of one day; the trend position runs from 0 to 1 over the history."""
     position = F.datediff(ds, start) / F.greatest(F.datediff(end, start), F.lit(1))
     terms = [F.lit(1.0), position]
     for j in range(1, CHANGEPOINTS + 1):
         terms.append(F.greatest(F.lit(0.0), position - CHANGEPOINT_RANGE * j / (CHANGEPOINTS + 1)))
     day = F.unix_date(ds)
-    for period, harmonics in SEASONS.values():
-        for k in range(1, harmonics + 1):
+    for name, (period, harmonics) in SEASONS.items():
+        for k in range(1, harmonics + 1) if name in names else ():
             angle = day * (2 * math.pi * k / period)
             terms += [F.sin(angle), F.cos(angle)]
-    terms += [is_weekend(ds).cast("double"), F.month(ds) / 12]
+    if "regressors" in names:
+        terms += [is_weekend(ds).cast("double"), F.month(ds) / 12]
     return F.array(*terms)
 
 
-def segment_sums(rows: DataFrame, segment: Column, key: Key, ds: str, y: str) -> DataFrame:
+def segment_sums(rows: DataFrame, segment: Column, names: Sequence[str], key: Key, ds: str, y: str) -> DataFrame:
     """Outer-product sums of design and targets per series and segment.
 
     Every batch is reduced inside its task, so what moves on is a fixed-size
@@ -96,12 +97,12 @@ def segment_sums(rows: DataFrame, segment: Column, key: Key, ds: str, y: str) ->
     bounded = rows.withColumns({"_start": F.min(ds).over(whole), "_end": F.max(ds).over(whole), "_segment": segment})
     target = F.col(y).cast("double")
     full = F.concat(
-        design_array(F.col(ds), F.col("_start"), F.col("_end")),
+        design_array(F.col(ds), F.col("_start"), F.col("_end"), names),
         F.array(target, F.log1p(F.greatest(target, F.lit(0.0)))),
     )
     arrays = bounded.filter(target.isNotNull()).select(*keys, "_segment", "_start", "_end", full.alias("_v"))
     sums = StructType.fromDDL("_n long, _s array<double>")
-    return arrays.mapInArrow(summing(keys), StructType([*arrays.schema.fields[:-1], *sums.fields]))
+    return arrays.mapInArrow(summing(keys, names), StructType([*arrays.schema.fields[:-1], *sums.fields]))
 
 
 def fit(rows: DataFrame, segment: Column, param_sets: Mapping[str, Mapping], training: str = "full", span: int = 1, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
@@ -116,13 +117,13 @@ def fit(rows: DataFrame, segment: Column, param_sets: Mapping[str, Mapping], tra
         "fold int, params string, beta array<double>, sigma double, log_scale boolean, _start date, _end date"
     )
     schema = StructType([*[rows.schema[k] for k in keys], *fitted.fields])
-    sums = segment_sums(rows, segment, keys, ds, y)
+    sums = segment_sums(rows, segment, used_blocks(param_sets), keys, ds, y)
     return sums.groupBy(*keys).applyInPandas(fitter(keys, param_sets, training, span), schema)
 
 
-def predict(days: DataFrame, ds: str = "ds") -> DataFrame:
+def predict(days: DataFrame, param_sets: Mapping[str, Mapping], ds: str = "ds") -> DataFrame:
     """Add yhat and a 95 % band to days that carry the coefficients of their fit."""
-    x = design_array(F.col(ds), F.col("_start"), F.col("_end"))
+    x = design_array(F.col(ds), F.col("_start"), F.col("_end"), used_blocks(param_sets))
     linear = F.aggregate(F.zip_with(x, F.col("beta"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     scored = days.withColumn("_f", linear)
 
@@ -139,7 +140,7 @@ def forecast(series: DataFrame, periods: int = HORIZON, param_sets: Mapping[str,
     param_sets = param_sets or {"additive": FORECAST}
     fits = fit(series, F.lit(0), param_sets, "full", 1, key, ds, y)
     days = extend(fits.withColumn("_origin", F.col("_end")), periods, "_origin", ds)
-    return predict(days, ds).select(*as_list(key), ds, "step", "yhat", "yhat_lower", "yhat_upper", F.col("params").alias("model"))
+    return predict(days, param_sets, ds).select(*as_list(key), ds, "step", "yhat", "yhat_lower", "yhat_upper", F.col("params").alias("model"))
 
 
 def _back_position(series: DataFrame, key: Key, ds: str) -> tuple[DataFrame, Column]:
@@ -159,7 +160,7 @@ def cross_validate(series: DataFrame, param_sets: Mapping[str, Mapping], initial
     ahead = (horizon + fold * period - left).cast("int")
     tests = rows.withColumns({"fold": fold, "step": ahead}).filter((F.col("step") >= 1) & (F.col("step") <= horizon))
     tests = tests.filter(F.col("n") - 1 - horizon - F.col("fold") * period >= initial)
-    scored = predict(tests.select(*keys, ds, "fold", "step", F.col(y).alias("actual")).join(fits, [*keys, "fold"]), ds)
+    scored = predict(tests.select(*keys, ds, "fold", "step", F.col(y).alias("actual")).join(fits, [*keys, "fold"]), param_sets, ds)
     return scored.withColumn("cutoff", F.date_sub(ds, F.col("step")))
 
 
@@ -168,9 +169,10 @@ def holdout(series: DataFrame, test_rows: int = 30, params: Mapping | None = Non
     keys = as_list(key)
     rows, left = _back_position(series, keys, ds)
     rows = rows.filter(F.col("n") >= test_rows + min_train)
-    fits = fit(rows.filter(left >= test_rows), F.lit(0), {"additive": params or FORECAST}, "full", 1, keys, ds, y)
+    chosen = {"additive": params or FORECAST}
+    fits = fit(rows.filter(left >= test_rows), F.lit(0), chosen, "full", 1, keys, ds, y)
     tests = rows.filter(left < test_rows).select(*keys, ds, F.col(y).alias("actual"))
-    return predict(tests.join(fits.drop("fold"), keys), ds)
+    return predict(tests.join(fits.drop("fold"), keys), chosen, ds)
 
 
 def rolling_backtest(series: DataFrame, window: int, step: int, horizon: int, params: Mapping | None = None, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
@@ -180,12 +182,13 @@ def rolling_backtest(series: DataFrame, window: int, step: int, horizon: int, pa
     keys = as_list(key)
     rows = row_positions(series, keys, ds).filter(F.col("n") >= window + 30)
     r, n = F.col("r"), F.col("n")
-    fits = fit(rows, F.floor(r / step).cast("int"), {"additive": params or BACKTEST}, "rolling", window // step, keys, ds, y)
+    chosen = {"additive": params or BACKTEST}
+    fits = fit(rows, F.floor(r / step).cast("int"), chosen, "rolling", window // step, keys, ds, y)
     past = r - window
     opened = past - past % step
     tests = rows.filter((past >= 0) & (past % step < horizon) & (opened < n - window - horizon))
     tests = tests.select(*keys, ds, (opened / step).cast("int").alias("fold"), (past % step + 1).cast("int").alias("step"), F.col(y).alias("actual"))
-    scored = predict(tests.join(fits, [*keys, "fold"]), ds)
+    scored = predict(tests.join(fits, [*keys, "fold"]), chosen, ds)
     return scored.withColumn("cutoff", F.date_sub(ds, F.col("step")))
 
 

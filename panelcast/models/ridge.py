@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,23 +20,30 @@ NOISE = 0.01
 FULL_FIT = -1
 
 
-def blocks() -> dict[str, slice]:
-    """Column ranges of the design array, by block."""
-    sizes = {"base": 2, "changepoint": CHANGEPOINTS, **{k: 2 * n for k, (_, n) in SEASONS.items()}, "regressors": 2}
+def used_blocks(param_sets: Mapping[str, Mapping]) -> tuple[str, ...]:
+    """Column blocks any of the parameter sets asks for; the others are never computed."""
+    seasons = [name for name in SEASONS if any(p[f"{name}_seasonality"] for p in param_sets.values())]
+    regressors = ["regressors"] if any(p["regressors"] for p in param_sets.values()) else []
+    return ("base", "changepoint", *seasons, *regressors)
+
+
+def column_ranges(names: Sequence[str]) -> dict[str, slice]:
+    """Position of each block in the design array."""
+    sizes = {"base": 2, "changepoint": CHANGEPOINTS, "regressors": 2, **{k: 2 * n for k, (_, n) in SEASONS.items()}}
     ranges, start = {}, 0
-    for name, size in sizes.items():
-        ranges[name] = slice(start, start + size)
-        start += size
+    for name in names:
+        ranges[name] = slice(start, start + sizes[name])
+        start += sizes[name]
     return ranges
 
 
-def width() -> int:
-    return blocks()["regressors"].stop
+def width(names: Sequence[str]) -> int:
+    return max(r.stop for r in column_ranges(names).values())
 
 
-def summing(keys: list[str]):
+def summing(keys: list[str], names: Sequence[str]):
     """Outer-product sums of the rows of a batch, one row per series and segment."""
-    size = width() + 2
+    size = width(names) + 2
     upper = np.triu_indices(size)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,23 +59,25 @@ def summing(keys: list[str]):
     return combine
 
 
-def penalties(params: Mapping) -> tuple[np.ndarray, np.ndarray]:
+def penalties(params: Mapping, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ridge penalty per column, and which columns take part."""
-    ranges = blocks()
-    penalty = np.full(width(), NOISE / params["seasonality_prior_scale"] ** 2)
+    ranges = column_ranges(names)
+    penalty = np.full(width(names), NOISE / params["seasonality_prior_scale"] ** 2)
     penalty[ranges["base"]] = 1e-8
     penalty[ranges["changepoint"]] = NOISE / params["changepoint_prior_scale"] ** 2
-    active = np.ones(width(), dtype=bool)
-    for name in SEASONS:
-        active[ranges[name]] = bool(params[f"{name}_seasonality"])
-    active[ranges["regressors"]] = bool(params["regressors"])
+    active = np.ones(width(names), dtype=bool)
+    for name, columns in ranges.items():
+        if name in SEASONS:
+            active[columns] = bool(params[f"{name}_seasonality"])
+        elif name == "regressors":
+            active[columns] = bool(params["regressors"])
     return penalty, active
 
 
-def solve(gram: np.ndarray, n: float, params: Mapping) -> tuple[list[float], float]:
-    size = width()
+def solve(gram: np.ndarray, n: float, params: Mapping, names: Sequence[str]) -> tuple[list[float], float]:
+    size = width(names)
     target = size + (params["seasonality_mode"] == "multiplicative")
-    penalty, active = penalties(params)
+    penalty, active = penalties(params, names)
     picked = np.flatnonzero(active)
     system = gram[np.ix_(picked, picked)] + np.diag(penalty[picked])
     beta = np.zeros(size)
@@ -79,7 +88,8 @@ def solve(gram: np.ndarray, n: float, params: Mapping) -> tuple[list[float], flo
 
 def fitter(keys: list[str], param_sets: Mapping[str, Mapping], training: str, span: int):
     """Solver for one series: its segments in, one coefficient row per fold and parameter set out."""
-    size = width() + 2
+    names = used_blocks(param_sets)
+    size = width(names) + 2
     upper = np.triu_indices(size)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -96,7 +106,7 @@ def fitter(keys: list[str], param_sets: Mapping[str, Mapping], training: str, sp
             gram[upper] = sums[chosen].sum(axis=0)
             gram = gram + np.triu(gram, 1).T
             for name, params in param_sets.items():
-                beta, sigma = solve(gram, n, params)
+                beta, sigma = solve(gram, n, params, names)
                 log_scale = params["seasonality_mode"] == "multiplicative"
                 ids = [pdf[k].iloc[0] for k in keys]
                 out.append((*ids, int(fold), name, beta, sigma, log_scale, pdf["_start"].iloc[0], pdf["_end"].iloc[0]))

@@ -42,7 +42,8 @@ BED_NOISE = 0.05
 
 
 def count_records(df: DataFrame, keys: Sequence[str], name: str = "admission_count") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias(name))
+    """Records per key combination; records with a missing key are left out."""
+    return df.na.drop(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias(name))
 
 
 def distinct_values(df: DataFrame, column: str) -> Column:
@@ -65,6 +66,7 @@ def dense_counts(
     """
     domains = domains or {}
     first, *rest = keys
+    df = df.na.drop(subset=list(keys))
     counts = count_records(df, keys, name)
     cells = df.select(first).distinct()
     for key in rest:
@@ -80,8 +82,8 @@ def daily_totals(
     count: str = "admission_count",
     severity: str = "disease_severity",
 ) -> DataFrame:
-    """One row per series and day: summed count and mean severity."""
-    return df.groupBy(*as_list(key), F.col(date).alias("ds")).agg(
+    """One row per series and day: summed count and mean severity. Rows without key or day are left out."""
+    return df.na.drop(subset=[*as_list(key), date]).groupBy(*as_list(key), F.col(date).alias("ds")).agg(
         F.sum(count).alias("y"), F.avg(severity).alias("disease_severity")
     )
 
@@ -114,7 +116,7 @@ def with_next_observation(panel: DataFrame, key: str | Sequence[str], ds: str, y
     observed = panel.withColumn("_next_y", F.lead(y).over(ahead)).withColumn(
         "_gap", F.coalesce(F.datediff(F.lead(ds).over(ahead), F.col(ds)), F.lit(1))
     )
-    return observed.withColumn("_step", F.explode(F.sequence(F.lit(0), F.col("_gap") - 1)))
+    return observed.withColumn("_step", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_gap") - 1, F.lit(0)))))
 
 
 def calendar_join(panel: DataFrame, key: str | Sequence[str] = "location", ds: str = "ds", y: str = "y") -> DataFrame:

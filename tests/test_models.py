@@ -147,8 +147,9 @@ def test_segment_fit_equals_direct_ridge(series_of):
     df = series_of(a=y)
     params = {**additive.FORECAST, "seasonality_mode": "additive"}
     fit = additive.fit(df, F.lit(0), {"p": params}).first()
-    x = np.array([r[0] for r in df.orderBy("ds").select(additive.design_array(F.col("ds"), F.lit("2024-01-01").cast("date"), F.date_add(F.lit("2024-01-01").cast("date"), 299))).collect()])
-    penalty, active = ridge.penalties(params)
+    x = np.array([r[0] for r in df.orderBy("ds").select(additive.design_array(F.col("ds"), F.lit("2024-01-01").cast("date"), F.date_add(F.lit("2024-01-01").cast("date"), 299), ridge.used_blocks({"p": params}))).collect()])
+    penalty, active = ridge.penalties(params, ridge.used_blocks({"p": params}))
+    assert active.all()
     xa = x[:, active]
     expected = np.linalg.solve(xa.T @ xa + np.diag(penalty[active]), xa.T @ np.array(y))
     fitted = xa @ np.array(fit.beta)[active]
@@ -183,7 +184,7 @@ def test_additive_beats_the_mean_on_seasonal_data(series_of):
 def test_additive_band_is_calibrated_on_the_fitted_days(series_of):
     df = series_of(a=seasonal())
     fits = additive.fit(df, F.lit(0), {"p": additive.FORECAST})
-    inside = additive.predict(df.join(fits, "location"))
+    inside = additive.predict(df.join(fits, "location"), {"p": additive.FORECAST})
     share = inside.agg(metrics.coverage(F.col("y"), F.col("yhat_lower"), F.col("yhat_upper"))).first()[0]
     assert 0.9 < share < 0.99
 
