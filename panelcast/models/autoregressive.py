@@ -25,21 +25,7 @@ ORDERS = ((0, 0), (0, 1), (1, 0), (1, 1))
 
 def stationarity(series: DataFrame, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
     """Unit-root t-statistic per series: slope of the change on the level before."""
-    w = series_window(key, ds)
-    steps = series.withColumn("_x", F.lag(y).over(w).cast("double")).withColumn("_d", F.col(y) - F.col("_x"))
-    pairs = steps.filter(F.col("_d").isNotNull())
-    sums = pairs.groupBy(*as_list(key)).agg(
-        F.count("*").alias("n_pairs"),
-        F.regr_slope("_d", "_x").alias("slope"),
-        F.regr_sxx("_d", "_x").alias("_sxx"),
-        F.regr_syy("_d", "_x").alias("_syy"),
-    )
-    sse = F.col("_syy") - F.col("slope") * F.col("slope") * F.col("_sxx")
-    usable = (F.col("n_pairs") > 2) & (F.col("_sxx") > 0) & (sse > 0)
-    error = F.when(usable, F.sqrt(F.greatest(sse, F.lit(0.0)) / (F.col("n_pairs") - 2) / F.col("_sxx")))
-    out = sums.withColumn("t_stat", F.col("slope") / error)
-    out = out.withColumn("is_stationary", F.coalesce(F.col("t_stat") < CRITICAL, F.lit(False)))
-    return out.select(*as_list(key), "n_pairs", "slope", "t_stat", "is_stationary")
+    return fit_autoregressions(series, key, ds, y).select(*as_list(key), "n_pairs", "slope", "t_stat", "is_stationary")
 
 
 def with_lags(series: DataFrame, key: Key, ds: str, y: str) -> DataFrame:
@@ -49,12 +35,14 @@ def with_lags(series: DataFrame, key: Key, ds: str, y: str) -> DataFrame:
 
 
 def fit_autoregressions(series: DataFrame, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
-    """Per series: level, AR(1) constant and slope, slope of the differences, last values.
+    """Per series: level, AR(1) constant and slope, slope of the differences, unit-root test, last values.
 
-    A constant lag leaves the slope undefined; the slope is then taken as one
-    with no constant, which repeats the last value.
+    All of it comes from one aggregate. A constant lag leaves the slope
+    undefined; the slope is then taken as one with no constant, which repeats
+    the last value.
     """
     d, d1 = F.col("_y") - F.col("_y1"), F.col("_y1") - F.col("_y2")
+    before = F.col("_y1")
     squares = F.sum(d1 * d1)
     fitted = with_lags(series, key, ds, y).groupBy(*as_list(key)).agg(
         F.count("*").alias("n"),
@@ -65,8 +53,16 @@ def fit_autoregressions(series: DataFrame, key: Key = "location", ds: str = "ds"
         F.max(ds).alias("last_ds"),
         F.max_by("_y", ds).alias("last_y"),
         F.max_by("_y1", ds).alias("last_y1"),
+        F.count(d).alias("n_pairs"),
+        F.regr_slope(d, before).alias("slope"),
+        F.regr_sxx(d, before).alias("_sxx"),
+        F.regr_syy(d, before).alias("_syy"),
     )
-    return fitted
+    sse = F.col("_syy") - F.col("slope") * F.col("slope") * F.col("_sxx")
+    usable = (F.col("n_pairs") > 2) & (F.col("_sxx") > 0) & (sse > 0)
+    error = F.when(usable, F.sqrt(F.greatest(sse, F.lit(0.0)) / (F.col("n_pairs") - 2) / F.col("_sxx")))
+    tested = fitted.withColumn("t_stat", F.col("slope") / error)
+    return tested.withColumn("is_stationary", F.coalesce(F.col("t_stat") < CRITICAL, F.lit(False))).drop("_sxx", "_syy")
 
 
 def one_step(order: tuple[int, int]) -> Column:
@@ -114,15 +110,17 @@ def in_sample_errors(series: DataFrame, key: Key = "location", ds: str = "ds", y
         # a missing prediction must not count, on either side of the quotient
         actual = F.when(predicted.isNotNull(), F.col("_y"))
         shares[_name(order)] = mape_raw(actual, predicted)
-    wide = rows.groupBy(*keys).agg(*[v.alias(k) for k, v in shares.items()])
+    tested = F.first("is_stationary").alias("is_stationary")
+    wide = rows.groupBy(*keys).agg(*[v.alias(k) for k, v in shares.items()], tested)
     pairs = F.array(*[F.struct(F.lit(_name(o)).alias("model"), F.col(_name(o)).alias("mape"), F.lit(o[1]).alias("differences")) for o in ORDERS])
-    return wide.select(*keys, F.explode(pairs).alias("_m")).select(*keys, "_m.*")
+    return wide.select(*keys, "is_stationary", F.explode(pairs).alias("_m")).select(*keys, "is_stationary", "_m.*")
 
 
 def select_order(series: DataFrame, key: Key = "location", ds: str = "ds", y: str = "y", fits: DataFrame | None = None) -> DataFrame:
     """Order with the lowest in-sample error; only differenced ones if a unit root is likely."""
     keys = as_list(key)
-    errors = in_sample_errors(series, key, ds, y, fits).join(stationarity(series, key, ds, y), keys)
+    fits = fit_autoregressions(series, key, ds, y) if fits is None else fits
+    errors = in_sample_errors(series, key, ds, y, fits)
     allowed = errors.filter(F.col("is_stationary") | (F.col("differences") == 1))
     best = F.min(F.struct("mape", "model"))
     return allowed.groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col("_b.model").alias("model"), F.col("_b.mape").alias("mape"))

@@ -100,7 +100,7 @@ def a05(spark, sf):
 )
 def a06(spark, sf):
     panel_rows = clean.clean(tables.dirty_admissions(spark, sf))
-    overall = summaries.value_statistics(panel_rows).withColumns({"location": F.lit("all"), "n": panel_rows.agg(F.count("admission_count")).scalar()})
+    overall = summaries.value_statistics(panel_rows).withColumn("location", F.lit("all"))
     return rounded(overall.unionByName(summaries.location_statistics(panel_rows), allowMissingColumns=True)).select(
         "location", "n", "mean_value", "std_value", "median_value", "min_value", "max_value"
     )

@@ -64,16 +64,6 @@ def collection_summary(admissions: DataFrame, capacity: DataFrame) -> DataFrame:
     ).drop("_c")
 
 
-def exact_median(df: DataFrame, value: str) -> Column:
-    """Median of a count column as a scalar.
-
-    Equal values are counted first, so the final step holds one entry per
-    distinct count instead of one per row.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_f"))
-    return counts.agg(F.percentile(value, F.lit(0.5), F.col("_f"))).scalar()
-
-
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Nulls per column in one pass, in long form."""
     columns = df.columns if columns is None else list(columns)
@@ -83,13 +73,19 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def value_statistics(df: DataFrame, value: str = "admission_count") -> DataFrame:
-    stats = df.agg(
+    """Overall statistics in one aggregate.
+
+    The exact median keeps one entry per distinct value, on both sides of the
+    shuffle; for counts that is far below the number of rows.
+    """
+    return df.agg(
+        F.count(value).alias("n"),
         F.avg(value).alias("mean_value"),
         F.stddev_samp(value).alias("std_value"),
+        F.median(value).alias("median_value"),
         F.min(value).alias("min_value"),
         F.max(value).alias("max_value"),
     )
-    return stats.withColumn("median_value", exact_median(df, value))
 
 
 def location_statistics(df: DataFrame, key: Key = "location", value: str = "admission_count") -> DataFrame:
@@ -102,7 +98,7 @@ def data_quality(df: DataFrame, value: str = "admission_count", date: str = "dat
     """Range, statistics and nulls of a panel in one row; nulls as a map."""
     columns = df.columns
     missing = F.create_map(*[part for c in columns for part in (F.lit(c), F.count_if(named(c).isNull()))])
-    report = df.agg(
+    return df.agg(
         F.count("*").alias("total_records"),
         iso_text(F.min(date)).alias("start_date"),
         iso_text(F.max(date)).alias("end_date"),
@@ -113,8 +109,8 @@ def data_quality(df: DataFrame, value: str = "admission_count", date: str = "dat
         F.stddev_samp(value).alias("std_daily_admissions"),
         F.min(value).alias("min_admissions"),
         F.max(value).alias("max_admissions"),
+        F.median(value).alias("median_daily_admissions"),
     )
-    return report.withColumn("median_daily_admissions", exact_median(df, value))
 
 
 def location_overview(series: DataFrame, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
