@@ -19,10 +19,32 @@ def test_dense_grouping_size_and_zeros(spark):
     assert dense.filter("admission_count > 0").count() == 2
 
 
-def test_dense_grouping_joins_without_cartesian_product(spark):
+def test_dense_grouping_joins_without_cartesian_product(spark, capsys):
     df = spark.createDataFrame([("p", day(0), "x", "0-18")], "location string, date date, disease_type string, age_group string")
-    plan = panel.dense_counts(df)._sc._jvm.PythonSQLUtils.explainString(panel.dense_counts(df)._jdf.queryExecution(), "simple")
-    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    panel.dense_counts(df).explain()
+    plan = capsys.readouterr().out
+    assert "Generate" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_records_without_key_or_day_are_left_out(spark):
+    rows = [("p", day(0), 1, 1), (None, day(0), 5, 1), ("p", None, 7, 1)]
+    df = spark.createDataFrame(rows, "location string, date date, admission_count int, disease_severity int")
+    assert [tuple(r)[:3] for r in panel.daily_totals(df).collect()] == [("p", day(0), 1)]
+
+
+def test_a_hot_key_is_one_row_per_day_after_counting(spark):
+    keys = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500))
+    df = spark.range(30_000).select(keys.alias("location"), F.date_add(F.lit(day(0)), (F.col("id") % 40).cast("int")).alias("date"), F.lit(1).alias("admission_count"), F.lit(1).alias("disease_severity"))
+    totals = panel.daily_totals(df)
+    assert totals.groupBy("location").count().agg(F.max("count")).first()[0] <= 40
+    assert totals.agg(F.sum("y")).first()[0] == 30_000
+
+
+def test_gap_filling_shuffles_once(spark, capsys):
+    df = spark.createDataFrame([("a", day(0), 1), ("a", day(3), 2)], "location string, ds date, y long")
+    windows.lag_columns(windows.moving_averages(panel.fill_date_gaps(df))).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1
 
 
 def test_gaps_are_interpolated_half_even(spark):
