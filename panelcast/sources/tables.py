@@ -52,8 +52,18 @@ def grouped_episodes(spark: SparkSession, folder: str, place: str = "r_name") ->
 
 
 def admissions(spark: SparkSession, folder: str, place: str = "r_name") -> DataFrame:
-    """Counts by day, place, condition and age group, with severity."""
-    counts = panel.count_records(grouped_episodes(spark, folder, place), ["date", "location", "disease_type", "age_group"])
+    """Counts by day, place, condition and age group, with severity.
+
+    Orders are counted per customer, day and priority before the join, so a
+    customer with a large share of all orders brings a few rows per day to it.
+    """
+    orders, people = table(spark, folder, "orders"), customers_with_place(spark, folder, place)
+    day, kind = F.to_date("o_orderdate").alias("date"), F.col("o_orderpriority").alias("disease_type")
+    counted = orders.groupBy("o_custkey", day, kind).agg(F.count("*").alias("n"))
+    age = clean.bin_half_open((F.col("c_acctbal") + 1000) / 100)
+    joined = counted.join(people, counted.o_custkey == people.c_custkey).withColumn("age_group", age)
+    keys = ["date", "location", "disease_type", "age_group"]
+    counts = joined.na.drop(subset=keys).groupBy(*keys).agg(F.sum("n").alias("admission_count"))
     return counts.withColumn("disease_severity", severity(F.col("disease_type")))
 
 
