@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -14,15 +13,11 @@ from ..functions.text import slug, unslug
 
 
 def workspace(spark: SparkSession, label: str) -> str:
-    """Fresh folder below the shared folder the session names for checkpoints.
+    """Fresh folder in storage the session names: its checkpoint folder, else its warehouse.
 
-    A machine-local folder is used only by local sessions that name none.
+    Both are shared by all executors.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="panelcast-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/panelcast/{label}-{uuid.uuid4().hex}"
 
 
