@@ -34,6 +34,8 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the number of ids of each text. Null is empty."""
+        if texts.offset:
+            texts = texts.take(pa.array(np.arange(len(texts))))  # string kernels misread sliced arrays
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring(texts, CUT)
         if not pc.any(odd).as_py():
