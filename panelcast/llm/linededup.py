@@ -98,7 +98,7 @@ def line_rows(docs: DataFrame, k: int, min_chars: int) -> DataFrame:
             if buckets:
                 yield _bucket_rows(buckets, ids, leads, places)
             n = len(heads[0])
-            columns = [pa.nulls(n, pa.int64()), pa.array(heads[0], pa.int64()), pa.array(heads[3], pa.int64()), pa.nulls(n, pa.bool_()), pa.array(heads[1], batch.schema.field("row_key").type), pa.array(heads[2], pa.int32())]
+            columns = [pa.nulls(n, pa.int64()), pa.array(heads[0], pa.int64()), pa.array(heads[3], pa.int64()), pa.nulls(n, pa.bool_()), pa.array(heads[1], KEY_TYPE), pa.array(heads[2], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["bucket", "id", "place", "lead", "row_key", "number"])
 
     return docs.select("row_key", "text").mapInArrow(emit, "bucket long, id long, place long, lead boolean, row_key struct<doc_id:long,twin:long>, number int")

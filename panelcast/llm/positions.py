@@ -171,7 +171,7 @@ def search(index: DataFrame, items: DataFrame, size: int = 13, span: int | None
 def _search_block(index: DataFrame, windows, span: int | None) -> DataFrame:
     terms = index.sparkSession.createDataFrame([(t,) for t in windows.value.terms], "term string")
     wanted = index.where("term IS NOT NULL").select("shard", "term", "places").join(terms, "term", "left_semi")
-    starts = index.where("term IS NULL").select("shard", "number", "n_words")
+    starts = index.where("term IS NULL").select(F.col("shard").alias("of"), "number", "n_words")
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
         found = {k: [] for k in ("shard", "number", "item_id", "kind", "start", "stop")}
@@ -203,7 +203,7 @@ def _search_block(index: DataFrame, windows, span: int | None) -> DataFrame:
         types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         return pa.table([pa.array(v, t) for v, t in zip(found.values(), types)], names=list(found))
 
-    return wanted.groupBy("shard").cogroup(starts.groupBy("shard")).applyInArrow(look, MATCH)
+    return wanted.groupBy("shard").cogroup(starts.groupBy("of")).applyInArrow(look, MATCH)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

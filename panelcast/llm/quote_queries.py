@@ -15,21 +15,21 @@ WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversation
 ), v AS (
   SELECT *, length(regexp_replace(regexp_extract(line, '^(?:[ \\t]*>)+', 0), '[^>]', '', 'g')) AS level, regexp_replace(line, '^(?:[ \\t]*>)+[ \\t]?', '') AS body FROM l
 ), p AS (SELECT *, CASE WHEN lag(level) OVER w = level THEN 0 ELSE 1 END AS opens FROM v WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)
-), r AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id, turn ORDER BY i) AS at FROM p
+), r AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id, turn ORDER BY i) AS pos FROM p
 ), q AS (
-  SELECT conv_id, turn, at, level, list(body ORDER BY i) AS lines FROM r GROUP BY ALL
+  SELECT conv_id, turn, pos, level, list(body ORDER BY i) AS lines FROM r GROUP BY ALL
 ), clean AS (
   SELECT conv_id, turn, trim(string_agg(body, chr(10) ORDER BY i), ' ' || chr(9) || chr(10) || chr(13)) AS clean FROM r WHERE level = 0 GROUP BY ALL
 ), u AS (
-  SELECT conv_id, turn, at, level, unnest(list_append(lines, array_to_string(lines, ' '))) AS raw FROM q
+  SELECT conv_id, turn, pos, level, unnest(list_append(lines, array_to_string(lines, ' '))) AS raw FROM q
   UNION ALL SELECT conv_id, turn, -1, 0, clean FROM clean
 ), n AS (
-  SELECT DISTINCT conv_id, turn, at, level, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS unit FROM u
+  SELECT DISTINCT conv_id, turn, pos, level, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS unit FROM u
 ), found AS (
-  SELECT a.conv_id, a.turn, a.at, a.level, length(a.unit) AS size, max(o.turn) AS found FROM n a JOIN n o ON a.conv_id = o.conv_id AND a.unit = o.unit AND o.level = 0 AND o.turn < a.turn
-  WHERE a.level > 0 AND length(a.unit) >= 8 GROUP BY a.conv_id, a.turn, a.at, a.level, a.unit
+  SELECT a.conv_id, a.turn, a.pos, a.level, length(a.unit) AS size, max(o.turn) AS found FROM n a JOIN n o ON a.conv_id = o.conv_id AND a.unit = o.unit AND o.level = 0 AND o.turn < a.turn
+  WHERE a.level > 0 AND length(a.unit) >= 8 GROUP BY a.conv_id, a.turn, a.pos, a.level, a.unit
 ), passage AS (
-  SELECT conv_id, turn, at, level, arg_max(found, size * 1000000 + found) AS found FROM found GROUP BY ALL
+  SELECT conv_id, turn, pos, level, arg_max(found, size * 1000000 + found) AS found FROM found GROUP BY ALL
 ), reply AS (
   SELECT conv_id, turn, count(*) AS n_linked, arg_max(found, found - level * 1000000) AS reply_to FROM passage GROUP BY ALL
 ), counts AS (SELECT conv_id, turn, count(*) AS n_quotes FROM q WHERE level > 0 GROUP BY ALL

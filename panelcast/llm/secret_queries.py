@@ -14,8 +14,8 @@ def _finds(rule: blobscan.Rule, rank: int) -> str:
     pattern = rule.pattern.replace("'", "''")
     return f"""
   SELECT doc_id, '{rule.kind}' AS kind, {rank} AS rank, stop - length(m) AS start, stop, length(part) AS n FROM (
-    SELECT doc_id, m, part, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY at) AS stop FROM (
-      SELECT doc_id, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, unnest(parts) AS part, unnest(range(len(ms))) AS at FROM (
+    SELECT doc_id, m, part, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM (
+      SELECT doc_id, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, unnest(parts) AS part, unnest(range(len(ms))) AS k FROM (
         SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', {rule.group}) AS parts FROM d))) WHERE length(part) >= {rule.least}"""
 
 
