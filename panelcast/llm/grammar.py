@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .tokenizing import ChunkEncoder, text_batches
+from .tokenizing import encoder, text_batches
 
 SHARD_IDS = 2_000_000
 MIN_COUNT = 6
@@ -133,11 +133,11 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, end_id: int, base: in
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = ChunkEncoder(tokenizer), TaskContext.get().partitionId()
+        coder, part = encoder(tokenizer), TaskContext.get().partitionId()
         start, number = 0, 0
         schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("base", pa.int32()), *((k, pa.binary()) for k in ("docs", "sizes", "sequence", "symbols", "left", "right", "expands", "rounds"))])
         for batch in text_batches(batches):
-            flat, lengths = encoder.encode(batch.column("text"))
+            flat, lengths = coder.encode(batch.column("text"))
             sizes = lengths + 1
             ends = np.cumsum(sizes)
             ids = np.full(int(ends[-1]), end_id, np.int32)

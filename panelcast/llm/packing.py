@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .store import written
-from .tokenizing import ChunkEncoder, text_batches
+from .tokenizing import encoder, text_batches
 
 
 class Group:
@@ -143,10 +143,10 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, folded: bo
     """Token pieces of every document, with their number among pieces of that length in the task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = ChunkEncoder(tokenizer, folded), TaskContext.get().partitionId()
+        coder, task = encoder(tokenizer, folded), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in text_batches(batches):
-            flat, lengths = encoder.encode(batch.column("text"))
+            flat, lengths = coder.encode(batch.column("text"))
             sizes = lengths + 1
             ends = np.cumsum(sizes)
             ids = np.full(int(ends[-1]), end_id, np.int32)

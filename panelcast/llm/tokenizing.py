@@ -10,6 +10,7 @@ gathered back. The ids are those of the whole text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,8 @@ from tokenizers import Tokenizer
 RARE_BLANKS = "\\t\\v\\f\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 BLANK = f"[ \\n{RARE_BLANKS}]"
 CUT, MARK = "\x00", "\x01"
-BATCH_CHARS = 24_000_000
+BATCH_CHARS = 9_000_000
+KEPT_CHUNKS = 600_000
 
 
 class ChunkEncoder:
@@ -30,6 +32,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.folded = folded
+        self.kept: dict[str, bytes] = {}
         self.mark = self.tokenizer.encode(f" {MARK}", add_special_tokens=False).ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,37 +69,44 @@ class ChunkEncoder:
         return ids, np.diff(bounds)
 
     def _distinct(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct chunks. Chunks led by a blank are joined by a mark, encoded in runs and cut at it."""
+        """Ids of distinct chunks; those of earlier batches are kept, up to a bound."""
+        found = list(map(self.kept.get, chunks))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(new, self._encoded([chunks[i] for i in new])):
+            found[i] = ids
+        if len(self.kept) + len(new) > KEPT_CHUNKS:
+            self.kept = dict(zip(chunks[:KEPT_CHUNKS], found))
+        else:
+            self.kept.update((chunks[i], found[i]) for i in new)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), np.int32), lengths
+
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks as bytes. Chunks led by a blank are joined by a mark, encoded in runs and cut at it."""
         if self.folded:
             chunks = [f" {c.lstrip(' ')}" for c in chunks]
+        out: list[bytes] = [b""] * len(chunks)
         joined = [i for i, c in enumerate(chunks) if c[:1] in (" ", "\n") and len(c) > 1 and not c[-1].isspace() and MARK not in c]
-        alone = np.ones(len(chunks), bool)
-        alone[joined] = False
-        places, pieces, lengths = [], [], np.zeros(len(chunks), np.int64)
+        size = len(self.mark)
         for low in range(0, len(joined), 2000):
             part = joined[low : low + 2000]
             text = f" {MARK}".join([chunks[i] for i in part]) + f" {MARK}"
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-            ends = np.flatnonzero(ids == self.mark[-1])
-            lengths[part] = np.diff(ends, prepend=-1) - len(self.mark)
-            keep = np.ones(len(ids), bool)
-            for back in range(len(self.mark)):
-                keep[ends - back] = False
-            places += part
-            pieces.append(ids[keep])
-        rest = np.flatnonzero(alone).tolist()
+            ends = (np.flatnonzero(ids == self.mark[-1]) + 1) * 4
+            data, start = ids.tobytes(), 0
+            for i, end in zip(part, ends.tolist()):
+                out[i] = data[start : end - 4 * size]
+                start = end
+        rest = sorted(set(range(len(chunks))).difference(joined))
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False)):
-            lengths[i] = len(e.ids)
-            places.append(i)
-            pieces.append(np.array(e.ids, np.int32))
-        flat = np.concatenate(pieces) if pieces else np.zeros(0, np.int32)
-        # the pieces lie in the order of `places`; a stable gather brings them into chunk order
-        order = np.array(places, np.int64)
-        sizes = lengths[order]
-        starts = np.empty(len(chunks), np.int64)
-        starts[order] = np.cumsum(sizes) - sizes
-        total = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-        return flat[total], lengths
+            out[i] = np.array(e.ids, np.int32).tobytes()
+        return out
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, folded: bool = False) -> ChunkEncoder:
+    """The worker's encoder of a file: tasks that run in one worker share what it keeps."""
+    return ChunkEncoder(path, folded)
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
