@@ -170,7 +170,7 @@ def search(index: DataFrame, items: DataFrame, size: int = 13, span: int | None
 
 def _search_block(index: DataFrame, windows, span: int | None) -> DataFrame:
     terms = index.sparkSession.createDataFrame([(t,) for t in windows.value.terms], "term string")
-    wanted = index.where("term IS NOT NULL").select("shard", "term", "places").join(terms, "term", "left_semi")
+    wanted = index.where("term IS NOT NULL").select("shard", "term", "places").join(F.broadcast(terms), "term", "left_semi")  # at most the words of a block
     starts = index.where("term IS NULL").select(F.col("shard").alias("of"), "number", "n_words")
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
