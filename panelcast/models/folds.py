@@ -68,6 +68,20 @@ def fold_rows(series: DataFrame, initial: int, period: int, horizon: int, key: K
     return joined.withColumn("is_test", F.col(ds) > F.col("cutoff"))
 
 
+def fold_sizes(series: DataFrame, initial: int, period: int, horizon: int, key: Key = "location", ds: str = "ds") -> DataFrame:
+    """Training and test rows of every fold of gap-free series, from row positions alone.
+
+    Two equi-joins look up the positions of the cutoff and of the last test day.
+    """
+    keys = as_list(key)
+    rows = row_positions(series, key, ds).select(*keys, ds, "r")
+    origins = cutoffs(series, initial, period, horizon, key, ds).withColumn("_end", F.date_add("cutoff", horizon))
+    first = rows.select(*keys, F.col(ds).alias("cutoff"), F.col("r").alias("_first"))
+    last = rows.select(*keys, F.col(ds).alias("_end"), F.col("r").alias("_last"))
+    found = origins.join(first, [*keys, "cutoff"]).join(last, [*keys, "_end"])
+    return found.select(*keys, "cutoff", (F.col("_first") + 1).cast("long").alias("train_rows"), (F.col("_last") - F.col("_first")).cast("long").alias("test_rows"))
+
+
 def _require_disjoint(spacing: int, horizon: int) -> None:
     if spacing < horizon:
         raise ValueError("test parts would overlap: the spacing of folds must not be below the horizon")

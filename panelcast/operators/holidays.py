@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .keys import LITERAL_ROWS, every
+from .keys import every
 
 # Calendar of holidays.
 HOLIDAYS = {
@@ -89,11 +89,11 @@ def effects_by_day(holidays: DataFrame, flags: Mapping[str, str] = FLAGS, festiv
     return touched.groupBy(F.date_add("_h", k).alias("ds")).agg(*[F.max(m.cast("int")).alias(n) for n, m in marks.items()])
 
 
-def attach_by_day(panel: DataFrame, by_day: DataFrame, bounded: bool, ds: str = "ds") -> DataFrame:
-    """Left join on the day, zero where the day has no entry."""
+def attach_by_day(panel: DataFrame, by_day: DataFrame, ds: str = "ds") -> DataFrame:
+    """Left join on the day, zero where the day has no entry. Spark's size estimate picks the join."""
     flags = [c for c in by_day.columns if c != "ds"]
     side = by_day.withColumnRenamed("ds", ds)
-    joined = panel.join(F.broadcast(side) if bounded else side, ds, "left")
+    joined = panel.join(side, ds, "left")
     return joined.select(*every(panel), *[F.coalesce(c, F.lit(0)).alias(c) for c in flags])
 
 
@@ -104,15 +104,9 @@ def holiday_effects(
     festival: str = FESTIVAL,
     ds: str = "ds",
 ) -> DataFrame:
-    """All holiday columns with a single join.
-
-    A calendar given as a dict is broadcast after a check of its length; one
-    given as a DataFrame is left to Spark's own size estimate.
-    """
-    in_code = not isinstance(holidays, DataFrame)
-    table = holiday_table(panel.sparkSession, holidays) if in_code else holidays
-    bounded = in_code and sum(len(days) for days in holidays.values()) <= LITERAL_ROWS
-    return attach_by_day(panel, effects_by_day(table, flags, festival), bounded, ds)
+    """All holiday columns with a single join, from a calendar in code or in a table."""
+    table = holidays if isinstance(holidays, DataFrame) else holiday_table(panel.sparkSession, holidays)
+    return attach_by_day(panel, effects_by_day(table, flags, festival), ds)
 
 
 def is_member(panel: DataFrame, days: DataFrame, name: str, ds: str = "ds") -> DataFrame:

@@ -6,9 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-# Literal tables are written in code, so their size is known before the plan is built.
-LITERAL_ROWS = 10_000
-
+from ..sources.files import checkpointed
 
 def as_list(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
@@ -43,38 +41,22 @@ def lookup(key: Column, mapping: Mapping, default=None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def row_index(df: DataFrame, order: str, name: str = "row_index", groups: int = 32) -> DataFrame:
-    """0-based global row number along a unique, orderable column.
+def row_index(df: DataFrame, order: str, name: str = "row_index") -> DataFrame:
+    """0-based global row number along an orderable column; ties in no set order.
 
-    A single ordered window would pull the table into one task. Instead the
-    rows are cut into ``groups**2`` slices at fixed boundaries (read off a
-    hash-ordered sample of bounded size), numbered inside each slice, and
-    shifted by the number of rows in the slices before it.
+    Range partitioning puts the rows into ordered partitions, written once so
+    that all later reads see the same bounds, and each is numbered by itself. One
+    row per partition carries the running offset, so no task sees more than its
+    range.
     """
-    wanted = groups * groups
-    sample = df.select(order).orderBy(F.xxhash64(order), order).limit(wanted * 16)
-    ordered = [r[0] for r in sample.orderBy(order).collect()]
-    step = max(1, len(ordered) // wanted)
-    bounds = ordered[step::step]
-    blocks = [bounds[i : i + groups] for i in range(0, len(bounds), groups)]
-    cut = df.withColumn("_slice", _slice_number(F.col(order), blocks, groups) if blocks else F.lit(0))
-    counts = cut.groupBy("_slice").agg(F.count("*").alias("n"))
-    sizes = counts.withColumn("_all", counts.agg(F.collect_list(F.struct("_slice", "n"))).scalar())
-    before = F.filter("_all", lambda s: s["_slice"] < F.col("_slice"))
-    starts = sizes.select("_slice", F.aggregate(before, F.lit(0).cast("long"), lambda total, s: total + s["n"]).alias("_start"))
+    ranged = checkpointed(df.repartitionByRange(order).withColumn("_slice", F.spark_partition_id()), "ranges")
     inside = F.row_number().over(Window.partitionBy("_slice").orderBy(order)) - 1
+    counts = ranged.groupBy("_slice").agg(F.count("*").alias("n"))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
     return (
-        cut.withColumn("_inside", inside)
+        ranged.withColumn("_inside", inside)
         .join(starts, "_slice")
         .withColumn(name, F.col("_inside") + F.col("_start"))
         .drop("_slice", "_inside", "_start")
     )
-
-
-def _slice_number(value: Column, blocks: list[list], groups: int) -> Column:
-    """How many boundaries are at or below the value: first the block, then inside it."""
-    heads = F.array(*[F.lit(block[0]) for block in blocks])
-    tables = F.array(*[F.array(*[F.lit(b) for b in block]) for block in blocks])
-    block_no = F.size(F.filter(heads, lambda b: b <= value))
-    passed = F.size(F.filter(F.element_at(tables, F.greatest(block_no, F.lit(1))), lambda b: b <= value))
-    return F.when(block_no == 0, 0).otherwise((block_no - 1) * groups + passed)

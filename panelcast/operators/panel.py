@@ -64,13 +64,16 @@ def dense_counts(
     bounded by the calendar, labels by their code list). Nothing is shuffled
     until the counts are joined on.
     """
+    return dense_grid(count_records(df, keys, name), keys, domains, name)
+
+
+def dense_grid(counts: DataFrame, keys: Sequence[str], domains: Mapping[str, Sequence] | None = None, name: str = "admission_count") -> DataFrame:
+    """The same from counts, of which there is one row per occurring combination."""
     domains = domains or {}
     first, *rest = keys
-    df = df.na.drop(subset=list(keys))
-    counts = count_records(df, keys, name)
-    cells = df.select(first).distinct()
+    cells = counts.select(first).distinct()
     for key in rest:
-        values = F.array(*map(F.lit, domains[key])) if key in domains else distinct_values(df, key)
+        values = F.array(*map(F.lit, domains[key])) if key in domains else distinct_values(counts, key)
         cells = cells.withColumn(key, F.explode(values))
     return cells.join(counts, list(keys), "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
@@ -144,7 +147,7 @@ def fill_date_gaps(
     start, step = F.col(y), F.col("_step")
     value = F.when(step == 0, start.cast("double")).otherwise(start + (F.col("_next_y") - start) * step / F.col("_gap"))
     day = F.date_add(ds, step)
-    columns = [*as_list(key), day.alias("ds"), F.bround(value).cast("int").alias("y")]
+    columns = [*as_list(key), day.alias("ds"), F.bround(value).cast("long").alias("y")]
     columns += [is_weekend(day).alias("is_weekend"), F.month(day).alias("month")]
     if severity in panel.columns:
         columns.append(F.col(severity))
@@ -179,6 +182,12 @@ def location_date_skeleton(df: DataFrame, location: str = "location", date: str
     return df.select(location).distinct().withColumn(date, F.explode(distinct_values(df, date)))
 
 
+def wide_by_day(df: DataFrame, ids: Sequence[str], value: str, ds: str = "ds") -> DataFrame:
+    """One column per day that occurs, named by its ISO text; the calendar bounds their number."""
+    text = F.date_format(ds, "yyyy-MM-dd")
+    return df.withColumn("_day", text).groupBy(*ids).pivot("_day").agg(F.sum(value))
+
+
 def column_sums(wide: DataFrame, ids: Sequence[str], name: str) -> DataFrame:
     """Table with one column per ISO day to one summed row per day.
 

@@ -80,12 +80,15 @@ def ewm_columns(df: DataFrame, alphas: Sequence[float] = ALPHAS, prefix: str = "
     the part from the block before. Inside a block the weights are taken
     relative to the block start, which turns the sum into a plain running sum;
     the earlier block enters through its total. Blocks are long enough that
-    anything older weighs less than 1e-17, and short enough that the rescaling
-    stays far from overflow. Work per row is constant, whatever the span.
+    anything older weighs less than 1e-17 beside the row's own value, and short
+    enough that the rescaling stays far from overflow. A row without a value
+    keeps the mean of the last row with one, however far back, since all weights
+    shrink alike. A factor of 1 is the last value. Work per row is constant.
     """
     keys = as_list(key)
-    block = math.ceil(max(-17 * math.log(10) / math.log1p(-a) for a in alphas))
-    if any(block * -math.log10(1 - a) > 300 for a in alphas):
+    fading = [a for a in alphas if a < 1]
+    block = math.ceil(max((-17 * math.log(10) / math.log1p(-a) for a in fading), default=1))
+    if any(block * -math.log10(1 - a) > 300 for a in fading):
         raise ValueError("smoothing factors too far apart for one pass; split them over two calls")
     rows = df.withColumn("_r", F.row_number().over(series_window(keys, ds)) - 1)
     rows = rows.withColumns({"_b": F.floor(F.col("_r") / block), "_o": F.col("_r") % block})
@@ -93,14 +96,17 @@ def ewm_columns(df: DataFrame, alphas: Sequence[float] = ALPHAS, prefix: str = "
     before = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-1, -1)
     terms = {"_v": F.coalesce(F.col(y).cast("double"), F.lit(0.0)), "_w": F.col(y).isNotNull().cast("double")}
     sums = {}
-    for number, alpha in enumerate(alphas):
+    for number, alpha in enumerate(fading):
         keep = F.lit(1 - alpha)
         for name, term in terms.items():
             near = F.sum(term * F.pow(keep, -F.col("_o"))).over(running) * F.pow(keep, F.col("_o"))
             far = F.sum(term * F.pow(keep, (block - 1) - F.col("_o"))).over(before) * F.pow(keep, F.col("_o") + 1)
             sums[f"{name}{number}"] = near + F.coalesce(far, F.lit(0.0))
-    out = add(add(rows, sums), {f"{prefix}{a}": F.try_divide(f"_v{i}", f"_w{i}") for i, a in enumerate(alphas)})
-    return out.drop("_r", "_b", "_o", *sums)
+    so_far = series_window(keys, ds).rowsBetween(Window.unboundedPreceding, 0)
+    means = {a: F.try_divide(f"_v{i}", f"_w{i}") for i, a in enumerate(fading)}
+    at_values = {f"{prefix}{a}": F.when(F.col(y).isNotNull(), means.get(a, F.col(y).cast("double"))) for a in alphas}
+    held = {name: F.last(value, ignorenulls=True).over(so_far) for name, value in at_values.items()}
+    return add(add(rows, sums), held).drop("_r", "_b", "_o", *sums)
 
 
 def row_trend(df: DataFrame, name: str = "trend", key: Key = "location", ds: str = "ds") -> DataFrame:
@@ -155,7 +161,7 @@ def interpolate(df: DataFrame, y: str = "y", key: Key = "location", ds: str = "d
     filled = F.when(F.col(y).isNotNull(), F.col(y).cast("double")).when(
         F.col("_l").isNotNull() & F.col("_r").isNotNull(), between
     ).otherwise(F.coalesce(lv, rv))
-    return sides.withColumn(y, F.bround(filled).cast("int")).drop("_l", "_r")
+    return sides.withColumn(y, F.bround(filled).cast("long")).drop("_l", "_r")
 
 
 def split_last_rows(df: DataFrame, rows: int = 30, name: str = "is_test", key: Key = "location", ds: str = "ds") -> DataFrame:

@@ -81,7 +81,7 @@ def c02(spark, sf):
 @query("c03_holiday_flags", with_views(f"SELECT location, ds, {HOLIDAY_SQL} FROM cities c", "cities", "holidays"))
 def c03(spark, sf):
     flags = holidays.flags_by_day(holidays.holiday_table(spark))
-    return rounded(holidays.attach_by_day(days(spark, sf), flags, True))
+    return rounded(holidays.attach_by_day(days(spark, sf), flags))
 
 
 @query("c04_near_holidays", with_views(f"SELECT location, ds, {NEARBY_SQL} FROM cities c", "cities", "holidays"))

@@ -55,7 +55,7 @@ def j02(spark, sf):
     with_views("SELECT l.location, d.date FROM (SELECT DISTINCT location FROM episodes) l CROSS JOIN (SELECT DISTINCT date FROM episodes) d", "episodes"),
 )
 def j03(spark, sf):
-    return panel.location_date_skeleton(tables.episodes(spark, sf))
+    return panel.location_date_skeleton(tables.admissions(spark, sf))
 
 
 @query(
@@ -82,13 +82,13 @@ SEASON_SQL = "CAST(EXISTS (SELECT 1 FROM holidays WHERE holiday = 'tet' AND c.ds
 @query("j05_range_join", with_views(f"SELECT location, ds, {NEARBY_SQL} FROM cities c", "cities", "holidays"))
 def j05(spark, sf):
     days = tables.city_series(spark, sf).select("location", "ds")
-    return rounded(holidays.attach_by_day(days, holidays.nearby_by_day(holidays.holiday_table(spark)), True).select("location", "ds", "pre_holiday", "post_holiday", "on_holiday"))
+    return rounded(holidays.attach_by_day(days, holidays.nearby_by_day(holidays.holiday_table(spark))).select("location", "ds", "pre_holiday", "post_holiday", "on_holiday"))
 
 
 @query("j06_interval_join", with_views(f"SELECT location, ds, {SEASON_SQL} FROM cities c", "cities", "holidays"))
 def j06(spark, sf):
     days = tables.city_series(spark, sf).select("location", "ds")
-    return rounded(holidays.attach_by_day(days, holidays.season_by_day(holidays.holiday_table(spark)), True).select("location", "ds", "is_tet_season"))
+    return rounded(holidays.attach_by_day(days, holidays.season_by_day(holidays.holiday_table(spark))).select("location", "ds", "is_tet_season"))
 
 
 @query(
@@ -137,8 +137,7 @@ def j09(spark, sf):
     ),
 )
 def j10(spark, sf):
-    rows = folds.fold_rows(tables.series(spark, sf).select("location", "ds"), **folds.CV)
-    return rows.groupBy("location", "cutoff").agg(F.count_if(~F.col("is_test")).alias("train_rows"), F.count_if("is_test").alias("test_rows"))
+    return folds.fold_sizes(tables.series(spark, sf).select("location", "ds"), **folds.CV)
 
 
 @query(

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -33,14 +32,9 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, on whatever file system it names. Reads no data."""
-    try:
-        spark.read.text(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+    """Whether a path is there, on whatever file system it names. Lists and reads nothing."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def read_series(spark: SparkSession, path: str, schema: StructType | str, date_format: str = "yyyy-MM-dd") -> DataFrame:
@@ -96,16 +90,16 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_by(df: DataFrame, path: str, *partitions: str) -> None:
     """One folder per partition value, all written by one job.
 
-    Rows are not regrouped first: a hot value is written by every task that
-    holds some of its rows, instead of by one.
+    Rebalancing brings the rows of a value together, so each folder holds few
+    files, and adaptive execution splits a hot value over several tasks.
     """
-    df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
+    df.hint("rebalance", *partitions).write.mode("overwrite").partitionBy(*partitions).parquet(path)
 
 
 def write_slugged(df: DataFrame, folder: str, name: str = "location", prefix: str = "forecast_", suffix: str = ".csv") -> None:
     """Text files per series, foldered by the slug of the series name."""
     file = F.concat(F.lit(prefix), slug(F.col(name)), F.lit(suffix))
-    df.withColumn("file", file).drop(name).write.mode("overwrite").partitionBy("file").csv(folder, header=True)
+    df.withColumn("file", file).drop(name).hint("rebalance", "file").write.mode("overwrite").partitionBy("file").csv(folder, header=True)
 
 
 def write_json(df: DataFrame, path: str) -> None:
