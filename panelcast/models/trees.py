@@ -1,35 +1,38 @@
-"""Boosted trees over all series in one pooled model."""
+"""Boosted trees, one model per series."""
 
 from __future__ import annotations
 
+import json
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.dates import calendar_parts, is_weekend
 from ..operators.features import numeric_features
 from ..operators.keys import add, as_list, named
-from ..operators.windows import lag_columns, leak_free_rolling
+from ..operators.windows import lag_columns, leak_free_rolling, split_last_rows
+from . import boosting
 from .baseline import HORIZON, LAST_ROWS, extend
 from .folds import split_members
 
 Key = str | Sequence[str]
 
 # Default model settings, shortest history and search ranges.
-DEFAULTS = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 3}
+DEFAULTS = {"rounds": 200, "depth": 6, "rate": 0.1, "rows": 0.8, "columns": 0.8, "min_rows": 3}
 SEED = 42
 MIN_ROWS = 60
 TRIALS = 50
 RANGES = {
-    "maxIter": (50, 300),
-    "maxDepth": (3, 10),
-    "stepSize": (0.01, 0.3),
-    "subsamplingRate": (0.6, 1.0),
-    "featureSubsetStrategy": (0.6, 1.0),
-    "minInstancesPerNode": (1, 10),
+    "rounds": (50, 300),
+    "depth": (3, 10),
+    "rate": (0.01, 0.3),
+    "rows": (0.6, 1.0),
+    "columns": (0.6, 1.0),
+    "min_rows": (1, 10),
 }
 
 
@@ -45,33 +48,56 @@ def model_features(series: DataFrame, key: Key = "location", ds: str = "ds", y:
     return out.fillna(0, subset=numeric_features(out))
 
 
-def assemble(df: DataFrame, features: Sequence[str], y: str = "y") -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(df.withColumn("label", F.col(y).cast("double")))
+def _fields(df: DataFrame, names: Sequence[str]) -> str:
+    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def train(frame: DataFrame, features: Sequence[str], params: Mapping | None = None, y: str = "y") -> GBTRegressionModel:
-    settings = {**DEFAULTS, **(params or {})}
-    return GBTRegressor(seed=SEED, **settings).fit(assemble(frame, features, y))
+def _matrix(rows: pa.Table, names: Sequence[str]) -> np.ndarray:
+    return np.column_stack([rows.column(n).to_numpy().astype(np.float64) for n in names])
 
 
-def score(model: GBTRegressionModel, frame: DataFrame, features: Sequence[str]) -> DataFrame:
-    vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(frame)
-    return model.transform(vectors).withColumnRenamed("prediction", "yhat").drop("features")
+def _model(x: np.ndarray, y: np.ndarray, settings: Mapping) -> tuple:
+    edges = boosting.bin_edges(x)
+    return edges, *boosting.fit(boosting.bin_codes(x, edges), y, settings, SEED)
 
 
-def split_holdout(frame: DataFrame, test_rows: int = LAST_ROWS, key: Key = "location", ds: str = "ds") -> tuple[DataFrame, DataFrame]:
-    w = Window.partitionBy(*as_list(key)).orderBy(F.desc(ds))
-    ranked = frame.withColumn("_back", F.row_number().over(w))
-    return ranked.filter(F.col("_back") > test_rows).drop("_back"), ranked.filter(F.col("_back") <= test_rows).drop("_back")
+def fit_predict(frame: DataFrame, features: Sequence[str], params: Mapping | None = None, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
+    """Trains on the rows of each series marked ``is_train`` and predicts its others: key, ds, y, yhat."""
+    settings, keys, names = {**DEFAULTS, **(params or {})}, as_list(key), list(features)
+    wanted = frame.select(*keys, ds, F.col(y).cast("double").alias(y), "is_train", *[named(n).cast("double").alias(n) for n in names])
 
+    def run(rows: pa.Table) -> pa.Table:
+        train, test = (rows.filter(rows.column("is_train") if part else pc.invert(rows.column("is_train"))).sort_by(ds) for part in (True, False))
+        yhat = np.zeros(len(test))
+        if len(train) and len(test):
+            edges, base, trees, _ = _model(_matrix(train, names), train.column(y).to_numpy(), settings)
+            yhat = boosting.predict(base, trees, boosting.bin_codes(_matrix(test, names), edges), settings)
+        return test.select([*keys, ds, y]).append_column("yhat", pa.array(yhat))
 
-def importances(model: GBTRegressionModel, features: Sequence[str], spark) -> DataFrame:
-    """Importance per feature, as long as the feature list."""
-    rows = [(name, float(value)) for name, value in zip(features, model.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, importance double")
+    return wanted.groupBy(*keys).applyInArrow(run, f"{_fields(wanted, [*keys, ds, y])}, yhat double")
 
 
-def forecast(model: GBTRegressionModel, frame: DataFrame, features: Sequence[str], periods: int = HORIZON, key: Key = "location", ds: str = "ds") -> DataFrame:
+def holdout(frame: DataFrame, features: Sequence[str], params: Mapping | None = None, test_rows: int = LAST_ROWS, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
+    """Predictions of each series' last rows from a model of the rows before: key, ds, actual, yhat."""
+    marked = split_last_rows(frame, test_rows, "_test", key, ds).withColumn("is_train", ~F.col("_test"))
+    return fit_predict(marked, features, params, key, ds, y).withColumnRenamed(y, "actual")
+
+
+def importances(frame: DataFrame, features: Sequence[str], params: Mapping | None = None, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
+    """Share of each feature in the gain of its series' model: key, feature, importance."""
+    settings, keys, names = {**DEFAULTS, **(params or {})}, as_list(key), list(features)
+    wanted = frame.select(*keys, ds, F.col(y).cast("double").alias(y), *[named(n).cast("double").alias(n) for n in names])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(ds)
+        gains = _model(_matrix(rows, names), rows.column(y).to_numpy(), settings)[-1]
+        own = rows.select(keys).slice(0, 1).take(pa.array(np.zeros(len(names), np.int64)))
+        return own.append_column("feature", pa.array(names)).append_column("importance", pa.array(gains / max(gains.sum(), 1e-300)))
+
+    return wanted.groupBy(*keys).applyInArrow(run, f"{_fields(wanted, keys)}, feature string, importance double")
+
+
+def forecast(frame: DataFrame, features: Sequence[str], periods: int = HORIZON, params: Mapping | None = None, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
     """Predictions of the next days from the last known lags and rolling values.
 
     Calendar features follow the day; lag and rolling features stay at their
@@ -84,38 +110,58 @@ def forecast(model: GBTRegressionModel, frame: DataFrame, features: Sequence[str
     parts = calendar_parts(F.col(ds))
     fresh = {**parts, "day_of_month": parts["day"], "is_weekend": is_weekend(F.col(ds))}
     columns = {c: fresh.get(c, F.lit(0)) for c in features if c not in held}
-    return score(model, add(days, columns), features).select(*keys, ds, "yhat")
+
+    def cast(df: DataFrame, target, train: bool) -> DataFrame:
+        return df.select(*keys, ds, target.cast("double").alias(y), F.lit(train).alias("is_train"), *[named(c).cast("double").alias(c) for c in features])
+
+    both = cast(frame, F.col(y), True).unionByName(cast(add(days, columns), F.lit(0), False))
+    return fit_predict(both, features, params, key, ds, y).drop(y)
 
 
 def random_trials(n: int = TRIALS, ranges: Mapping[str, tuple] = RANGES, seed: int = SEED) -> list[dict]:
     """Seeded random settings inside the search ranges."""
     draw = random.Random(seed)
-    trials = []
-    for _ in range(n):
-        trial = {k: draw.randint(a, b) if isinstance(a, int) else round(draw.uniform(a, b), 4) for k, (a, b) in ranges.items()}
-        trial["featureSubsetStrategy"] = str(trial["featureSubsetStrategy"])
-        trials.append(trial)
-    return trials
+    return [{k: draw.randint(a, b) if isinstance(a, int) else round(draw.uniform(a, b), 4) for k, (a, b) in ranges.items()} for _ in range(n)]
 
 
 def search(frame: DataFrame, features: Sequence[str], trials: Sequence[Mapping], splits: int = 3, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
-    """Mean absolute error of every trial over time-ordered expanding splits.
+    """Mean absolute error of every trial and series over time-ordered expanding splits.
 
-    Each fit is a distributed job over all series; only one number per trial
-    and fold comes back.
+    A series is packed into one row, the rows are multiplied by the trials, and
+    each (series, trial) is a task of its own that fits the trial's folds.
     """
-    spark = frame.sparkSession
-    folds = split_members(assemble(frame, features, y), splits, key, ds).select("features", "label", F.coalesce("fold", F.lit(0)).alias("fold")).persist()
-    results = []
-    try:
-        for number, trial in enumerate(trials):
-            for fold in range(1, splits + 1):
-                model = GBTRegressor(seed=SEED, **{**DEFAULTS, **trial}).fit(folds.filter(F.col("fold") < fold))
-                tests = model.transform(folds.filter(F.col("fold") == fold))
-                error = tests.agg(F.avg(F.abs(F.col("label") - F.col("prediction")))).first()[0]
-                results.append((number, str(dict(trial)), fold, error))
-    finally:
-        folds.unpersist()
-    table = spark.createDataFrame(results, "trial int, params string, fold int, mae double")
-    means = table.groupBy("trial", "params").agg(F.avg("mae").alias("mae"))
-    return means.withColumn("is_best", F.col("trial") == means.agg(F.min_by("trial", F.struct("mae", "trial"))).scalar())
+    keys, names = as_list(key), list(features)
+    rows = split_members(frame, splits, key, ds)
+    rows = rows.select(*keys, ds, F.coalesce("fold", F.lit(0)).alias("fold"), F.col(y).cast("double").alias(y), *[named(n).cast("double").alias(n) for n in names])
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by(ds)
+        own = group.select(keys).slice(0, 1)
+        arrays = {"folds": group.column("fold").to_numpy().astype(np.int64), "targets": group.column(y).to_numpy(), "inputs": _matrix(group, names)}
+        for name, values in arrays.items():
+            own = own.append_column(name, pa.array([np.ascontiguousarray(values).tobytes()], pa.binary()))
+        return own
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            errors = []
+            for row in batch.to_pylist():
+                settings = {**DEFAULTS, **json.loads(row["params"])}
+                fold, target = np.frombuffer(row["folds"], np.int64), np.frombuffer(row["targets"])
+                x = np.frombuffer(row["inputs"]).reshape(len(target), len(names))
+                found = []
+                for k in range(1, splits + 1):
+                    train, test = fold < k, fold == k
+                    if train.any() and test.any():
+                        edges, base, trees, _ = _model(x[train], target[train], settings)
+                        found.append(np.abs(target[test] - boosting.predict(base, trees, boosting.bin_codes(x[test], edges), settings)).mean())
+                errors.append(float(np.mean(found)) if found else None)
+            kept = batch.select([*keys, "trial", "params"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(errors, pa.float64())], [*kept.schema.names, "mae"])
+
+    packed = rows.groupBy(*keys).applyInArrow(pack, f"{_fields(rows, keys)}, folds binary, targets binary, inputs binary")
+    settings = F.array(*[F.struct(F.lit(i).alias("trial"), F.lit(json.dumps(dict(t), sort_keys=True)).alias("params")) for i, t in enumerate(trials)])
+    spread = packed.withColumn("_t", F.explode(settings)).select("*", "_t.trial", "_t.params").drop("_t")
+    scored = spread.repartition(*keys, "trial").mapInArrow(score, f"{_fields(rows, keys)}, trial int, params string, mae double")
+    best = F.min_by("trial", F.struct("mae", "trial")).over(Window.partitionBy(*keys))
+    return scored.withColumn("is_best", F.col("trial") == best)

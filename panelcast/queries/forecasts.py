@@ -6,16 +6,12 @@ from pyspark.sql import functions as F
 
 from ..models import additive, autoregressive, baseline, ensemble, folds, trees, trend
 from ..operators.features import numeric_features
-from ..sources import files, tables
+from ..sources import tables
 from .calendar import after_views
 from .joins import all_forecasts, holdout_scores
 from .registry import q6, query, rounded
 from .views import ar_steps, backtest_sql, with_views
 
-# Boosted-tree settings of the registered queries; the library defaults are larger.
-SMALL_TREES = {"maxIter": 15, "maxDepth": 4}
-
-
 @query(
     "m01_mean_forecast",
     with_views(
@@ -58,29 +54,27 @@ def m03(spark, sf):
 
 
 def tree_frame(spark, sf):
-    """Model inputs written to shared storage, since every boosting round reads them."""
-    frame = files.checkpointed(trees.model_features(tables.series(spark, sf)), "tree-features")
+    """Model inputs of all series and their names."""
+    frame = trees.model_features(tables.series(spark, sf))
     return frame, numeric_features(frame)
 
 
 @query("m04_boosted_trees")
 def m04(spark, sf):
     frame, names = tree_frame(spark, sf)
-    train, test = trees.split_holdout(frame)
-    scored = trees.score(trees.train(train, names, SMALL_TREES), test, names)
-    return rounded(folds.error_table(scored.withColumnRenamed("y", "actual"), "location"))
+    return rounded(folds.error_table(trees.holdout(frame, names), "location"))
 
 
 @query("m05_feature_importance")
 def m05(spark, sf):
     frame, names = tree_frame(spark, sf)
-    return rounded(trees.importances(trees.train(frame, names, SMALL_TREES), names, spark))
+    return rounded(trees.importances(frame, names))
 
 
 @query("m06_tree_forecast")
 def m06(spark, sf):
     frame, names = tree_frame(spark, sf)
-    return rounded(trees.forecast(trees.train(frame, names, SMALL_TREES), frame, names))
+    return rounded(trees.forecast(frame, names))
 
 
 STEPS = {
@@ -151,8 +145,7 @@ def m10(spark, sf):
 @query("m11_random_search")
 def m11(spark, sf):
     frame, names = tree_frame(spark, sf)
-    ranges = {**trees.RANGES, "maxIter": (5, 10), "maxDepth": (3, 4)}
-    return rounded(trees.search(frame, names, trees.random_trials(2, ranges)))
+    return rounded(trees.search(frame, names, trees.random_trials()))
 
 
 @query(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.functions import metrics
-from panelcast.models import additive, autoregressive, baseline, ensemble, folds, ridge, trees, trend
+from panelcast.models import additive, autoregressive, baseline, boosting, ensemble, folds, ridge, trees, trend
 from panelcast.operators.features import numeric_features
 from panelcast.reports import summaries
 
@@ -217,15 +217,35 @@ def test_tree_model_and_frozen_lags(spark, series_of):
     frame = trees.model_features(series_of(a=seasonal(200), short=[1.0] * 30)).cache()
     names = numeric_features(frame)
     assert frame.select("location").distinct().count() == 1
-    train, test = trees.split_holdout(frame)
-    assert test.count() == 30
-    model = trees.train(train, names, {"maxIter": 10, "maxDepth": 3})
-    scored = trees.score(model, test, names).agg(metrics.mape_positive(F.col("y"), F.col("yhat"))).first()[0]
-    assert scored < 25
-    assert trees.forecast(model, frame, names, 5).count() == 5
+    scored = trees.holdout(frame, names, {"rounds": 40, "depth": 3})
+    assert scored.count() == 30
+    assert scored.agg(metrics.mape_positive(F.col("actual"), F.col("yhat"))).first()[0] < 25
+    assert sorted(scored.collect()) == sorted(trees.holdout(frame, names, {"rounds": 40, "depth": 3}).collect())
+    assert trees.forecast(frame, names, 5, {"rounds": 5}).count() == 5
+    shares = trees.importances(frame, names, {"rounds": 20}).collect()
+    assert len(shares) == len(names) and sum(r.importance for r in shares) == pytest.approx(1)
     assert trees.random_trials(3) == trees.random_trials(3)
 
 
+def test_trees_learn_steps_and_search_picks_the_least_error(spark, series_of):
+    x = np.arange(300) % 10
+    codes = boosting.bin_codes(x[:, None], boosting.bin_edges(x[:, None]))
+    settings = {**trees.DEFAULTS, "columns": 1.0}
+    base, grown, gains = boosting.fit(codes, np.where(x > 4, 10.0, -10.0), settings, 1)
+    assert np.abs(boosting.predict(base, grown, codes, settings) - np.where(x > 4, 10.0, -10.0)).max() < 0.1
+    frame = trees.model_features(series_of(a=seasonal(200), b=seasonal(150)))
+    rows = trees.search(frame, numeric_features(frame), [{"rounds": 1, "depth": 1}, {"rounds": 30, "depth": 3}]).collect()
+    assert len(rows) == 4 and {r.trial for r in rows if r.is_best} == {1}
+
+
+def test_every_tree_model_beats_the_average(spark, series_of):
+    frame = trees.model_features(series_of(a=seasonal(300), b=seasonal(260)))
+    mape = metrics.mape_positive(F.col("actual"), F.col("yhat"))
+    ours = {r.location: r[1] for r in trees.holdout(frame, numeric_features(frame)).groupBy("location").agg(mape).collect()}
+    plain = {r.location: r[1] for r in baseline.holdout_forecast(frame.select("location", "ds", "y", "is_weekend")).groupBy("location").agg(mape).collect()}
+    assert all(ours[k] <= plain[k] for k in ours)
+
+
 def test_polynomial_trend_recovers_a_cubic(spark):
     rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), 2.0 + 0.5 * i + 1e-5 * i**3) for i in range(1100)]
     out = trend.polynomial_trend(spark.createDataFrame(rows, "ds date, y double"))

@@ -1,8 +1,12 @@
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
 
-from panelcast.operators import holidays, windows
+from pyspark.sql import functions as F
+
+from panelcast.operators import holidays, keys, panel, windows
 from panelcast.operators.features import all_features
 
 
@@ -90,3 +94,24 @@ def test_feature_frame_keeps_rows_and_has_no_gaps(spark, series_of):
     assert len(out.columns) == 100  # the 99 columns and on_holiday
     row = out.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in out.columns]).first()
     assert sum(row) == 0
+
+
+def test_old_values_survive_long_gaps(spark):
+    days = [(1, i, 10.0 if i == 0 else None) for i in range(2001)]
+    df = spark.createDataFrame(days, "location long, ds int, y double")
+    out = windows.ewm_columns(df, (0.1, 1.0)).orderBy("ds").collect()
+    assert out[-1]["y_ema_0.1"] == pytest.approx(10.0) and out[-1]["y_ema_1.0"] == 10.0
+
+
+def test_totals_beyond_32_bits(spark):
+    rows = [("a", dt.date(2024, 1, 1), 3_000_000_000, 1.0), ("a", dt.date(2024, 1, 3), 3_000_000_002, 1.0)]
+    filled = panel.fill_date_gaps(spark.createDataFrame(rows, "location string, ds date, y long, disease_severity double"))
+    assert [r.y for r in filled.orderBy("ds").collect()] == [3_000_000_000, 3_000_000_001, 3_000_000_002]
+    sparse = spark.createDataFrame([("a", dt.date(2024, 1, d), v) for d, v in ((1, 3_000_000_000), (2, None), (3, 3_000_000_004))], "location string, ds date, y long")
+    assert [r.y for r in windows.interpolate(sparse).orderBy("ds").collect()] == [3_000_000_000, 3_000_000_002, 3_000_000_004]
+
+
+def test_row_numbers_over_many_ranges(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"))
+    rows = keys.row_index(df.repartition(20), "k").collect()
+    assert all(r.k == r.row_index for r in rows) and len(rows) == 5000
