@@ -20,7 +20,7 @@ doc_ids are separate rows of one class; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,29 +28,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .backoff import word_lists
 from .linking import link_classes, shared_buckets
 from .store import written
+from .tokenizing import text_batches
 
-WORDS = re.compile("[^\\x20\\x09-\\x0D]+")
-UPPER = bytes(range(65, 91))
 CELL_BITS, RANGE_BITS = 22, 6
+BATCH_CHARS = 6_000_000
 PARTS = 16
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words, A-Z folded."""
-    found = WORDS.findall(_fold(text))
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter(map(digest, found), np.uint64, len(found))
-
-
-FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def _fold(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(FOLD)
-
-
 def mixed(hashes: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit numbers."""
     h = hashes ^ (hashes >> np.uint64(31))
@@ -60,16 +47,34 @@ def mixed(hashes: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams."""
-    hashes = word_hashes(text) if text else np.zeros(0, np.uint64)
-    if len(hashes) == 0:
-        return hashes
-    width = min(n, len(hashes))
-    gram = np.full(len(hashes) - width + 1, width, np.uint64)
+def shingles(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the word n-grams of each text.
+
+    Each distinct word is hashed once; the hashes of all n-grams are mixed from
+    them over the whole array, then cut at the texts' ends.
+    """
+    words, counts = word_lists(texts)
+    coded = words.dictionary_encode()
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    hashes = own[coded.indices.to_numpy()]
+    ends = np.cumsum(counts)
+    grams = _mix(hashes, n)
+    out = []
+    for end, count in zip(ends.tolist(), counts.tolist()):
+        if count >= n:
+            out.append(np.unique(grams[end - count : end - n + 1]))
+        else:
+            out.append(_mix(hashes[end - count : end], count) if count else hashes[:0])
+    return out
+
+
+def _mix(hashes: np.ndarray, width: int) -> np.ndarray:
+    """One hash per run of ``width`` words."""
+    runs = max(0, len(hashes) - width + 1)
+    gram = np.full(runs, width, np.uint64)
     for i in range(width):
-        gram = mixed(gram + hashes[i : len(hashes) - width + 1 + i])
-    return np.unique(gram)
+        gram = mixed(gram + hashes[i : runs + i])
+    return gram
 
 
 def frequency_cells(docs: DataFrame, n: int) -> np.ndarray:
@@ -77,16 +82,8 @@ def frequency_cells(docs: DataFrame, n: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in batches:
-            held, size = [], 0
-            for text in batch.column("text"):
-                held.append(cell_of(shingles(text.as_py(), n)))
-                size += len(held[-1])
-                if size > 1_000_000:
-                    cells += np.bincount(np.concatenate(held), minlength=len(cells))
-                    held, size = [], 0
-            if held:
-                cells += np.bincount(np.concatenate(held), minlength=len(cells))
+        for batch in text_batches(batches, chars=BATCH_CHARS):
+            cells += np.bincount(cell_of(np.concatenate(shingles(batch.column("text"), n))), minlength=len(cells))
         width = len(cells) >> RANGE_BITS
         for i in range(1 << RANGE_BITS):
             part = cells[i * width : (i + 1) * width]
@@ -121,12 +118,11 @@ def prefixes(docs: DataFrame, n: int, percent: int, cells: np.ndarray) -> DataFr
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+        for batch in text_batches(batches, chars=BATCH_CHARS):
+            ids = batch.column("doc_id").to_pylist()
             out: dict[str, list] = {k: [] for k in ("doc", "set", "size", "parts")}
             buckets, owners, places = [], [], []
-            for doc, text in zip(ids, texts):
-                tokens = shingles(text.as_py(), n)
+            for doc, tokens in zip(ids, shingles(batch.column("text"), n)):
                 size = len(tokens)
                 own = set_id(tokens) if size else None
                 out["doc"].append(doc)
@@ -143,7 +139,6 @@ def prefixes(docs: DataFrame, n: int, percent: int, cells: np.ndarray) -> DataFr
                     # the rarest tokens; ties by hash, so the order is one for all sets
                     bar = np.partition(rank, length - 1)[length - 1]
                     tokens = np.concatenate((tokens[rank < bar], tokens[rank == bar][: length - int((rank < bar).sum())]))
-                    rank = np.sort(rank)[:length]
                 order = np.lexsort((tokens, logs.value[cell_of(tokens)]))
                 buckets.append(tokens[order].view(np.int64))
                 owners.append(np.full(len(tokens), own))
@@ -165,8 +160,8 @@ def token_sets(docs: DataFrame, n: int) -> DataFrame:
     """(id, tokens) of documents."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t.as_py(), n) for t in batch.column("text")]
+        for batch in text_batches(batches, chars=BATCH_CHARS):
+            sets = shingles(batch.column("text"), n)
             for low in range(0, len(sets), 256):
                 some = [s for s in sets[low : low + 256] if len(s)]
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in some]))), pa.int32()), pa.array(np.concatenate(some or [np.zeros(0, np.uint64)]).view(np.int64)))
@@ -175,15 +170,31 @@ def token_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(build, "id long, tokens array<bigint>")
 
 
+def by_size(postings: DataFrame, percent: int) -> DataFrame:
+    """Length filter on buckets: each is split into classes of sizes within the ratio.
+
+    An item goes to the class of its size and to the next, so two sizes within
+    the ratio always share one.
+    """
+    # one part in a thousand wider, so that rounding never parts a pair
+    width = math.log(100 / percent) * 1.001 + 1e-9
+    own = F.floor(F.log(F.shiftright("place", 32).cast("double")) / width).cast("int")
+    spread = postings.withColumn("class", F.explode(F.array(own, own + 1)))
+    return spread.select(F.xxhash64("bucket", "class").alias("bucket"), "id", "place", "lead")
+
+
 def size_and_position(percent: int):
-    """Length and positional filter on places (size in the upper half, position in the lower)."""
+    """Length and positional filter on places (size in the upper half, position in the lower).
+
+    The overlap is at most what is left from the shared token on if it is the
+    rarest one in common; similar sets pass in the bucket of that token.
+    """
 
     def could_link(x: Column, y: Column) -> Column:
         size_x, size_y = F.shiftright(x, 32), F.shiftright(y, 32)
         left = F.least(size_x - x.bitwiseAND(0xFFFFFFFF), size_y - y.bitwiseAND(0xFFFFFFFF))
         longest, shortest = F.greatest(size_x, size_y), F.least(size_x, size_y)
-        behind = F.least(x.bitwiseAND(0xFFFFFFFF), y.bitwiseAND(0xFFFFFFFF))
-        return (100 * shortest >= percent * longest) & ((100 + percent) * (left + behind) >= percent * (size_x + size_y))
+        return (100 * shortest >= percent * longest) & ((100 + percent) * left >= percent * (size_x + size_y))
 
     return could_link
 
@@ -196,12 +207,12 @@ def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rows = written(prefixes(docs, n, percent, frequency_cells(docs, n)), "prefixes")
     heads = rows.where("bucket IS NULL").select("doc_id", F.col("id").alias("set_id"), F.col("place").alias("n_shingles"), "parts")
     tokens = rows.where("bucket IS NOT NULL").select("bucket", "id", "place", F.lit(True).alias("lead"))
-    postings = shared_buckets(tokens, "postings")
+    postings = shared_buckets(by_size(shared_buckets(tokens, "tokens-met"), percent), "postings")
     parts = heads.where("parts IS NOT NULL").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("size"), F.first("parts").alias("parts"))
     wanted = postings.select("id").distinct()
     known = written(parts.join(wanted, "id", "left_semi"), "sets")
     chosen = docs.select("doc_id", "text").join(known.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    sets = written(token_sets(chosen, n).dropDuplicates(["id"]), "tokens")
+    sets = written(token_sets(chosen, n), "tokens")
 
     def verify(pairs: DataFrame) -> DataFrame:
         def side(name: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import random
 
-import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,7 +112,7 @@ def test_line_dedup_of_repeated_and_missing_ids(docs_of):
 
 
 def jaccard_brute(texts, n, percent):
-    sets = [set(jaccard.shingles(t, n).tolist()) for t in texts]
+    sets = [set(x.tolist()) for x in jaccard.shingles(pa.array(texts, pa.string()), n)]
     links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
     return [len(s) for s in sets], components_of(len(sets), links)
 
@@ -150,9 +150,27 @@ def test_jaccard_of_a_large_group_and_of_nothing(docs_of):
     assert len(twins) == 3 and {r["component_id"] for r in twins} == {3}
 
 
-def test_shingles_fold_ascii_letters_only():
-    assert (jaccard.shingles("A B C D", 4) == jaccard.shingles("a\tb\x0bc\nd", 4)).all()
-    assert len(np.intersect1d(jaccard.shingles("Ä b c d", 4), jaccard.shingles("ä b c d", 4))) == 0
+def test_shingles_are_sets_of_word_runs():
+    def grams(text, n):
+        words = "".join(c.lower() if c.isascii() else c for c in text).split()
+        return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} if words else set()
+
+    texts = ["A B C D", "a\tb\x0bc\nd", "Ä b c d", "ä b c d", "a b", "b a", "a b c d a b c d e", "", "x"]
+    sets = [set(s.tolist()) for s in jaccard.shingles(pa.array(texts), 4)]
+    for i, x in enumerate(texts):
+        assert len(sets[i]) == len(grams(x, 4))
+        for j, y in enumerate(texts):
+            assert len(sets[i] & sets[j]) == len(grams(x, 4) & grams(y, 4))
+
+
+def test_size_classes_keep_pairs_within_the_ratio(spark):
+    rows = spark.range(1, 300).select(F.lit(1).alias("bucket"), "id", F.shiftleft("id", 32).alias("place"), F.lit(True).alias("lead"))
+    spread = jaccard.by_size(rows, 85).collect()
+    held = {}
+    for r in spread:
+        held.setdefault(r["id"], set()).add(r["bucket"])
+    assert all(held[a] & held[b] for a in held for b in held if 100 * min(a, b) >= 85 * max(a, b))
+    assert not held[100] & held[200]
 
 
 def test_filters_keep_every_similar_pair(spark):
