@@ -25,9 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import bloom
 from .backoff import word_lists
 from .linking import link_classes, shared_buckets
 from .store import written
@@ -156,18 +158,21 @@ def prefixes(docs: DataFrame, n: int, percent: int, cells: np.ndarray) -> DataFr
     return rows.mapInArrow(emit, "bucket long, id long, place long, doc_id long, parts array<int>")
 
 
-def token_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(id, tokens) of documents."""
+def token_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+    """(id, tokens) of the documents with a wanted doc_id; a Bloom filter leaves most others out."""
+    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted.where("doc_id IS NOT NULL")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, chars=BATCH_CHARS):
-            sets = shingles(batch.column("text"), n)
+            keys = batch.column("doc_id")
+            let_in = bloom.passes(bits.value, pc.fill_null(keys, 0).to_numpy()) | keys.is_null().to_numpy(zero_copy_only=False)
+            sets = shingles(batch.column("text").filter(pa.array(let_in)), n)
             for low in range(0, len(sets), 256):
                 some = [s for s in sets[low : low + 256] if len(s)]
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in some]))), pa.int32()), pa.array(np.concatenate(some or [np.zeros(0, np.uint64)]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in some], pa.int64()), tokens], ["id", "tokens"])
 
-    return docs.select("text").mapInArrow(build, "id long, tokens array<bigint>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, "id long, tokens array<bigint>")
 
 
 def by_size(postings: DataFrame, percent: int) -> DataFrame:
@@ -211,8 +216,8 @@ def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     parts = heads.where("parts IS NOT NULL").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("size"), F.first("parts").alias("parts"))
     wanted = postings.select("id").distinct()
     known = written(parts.join(wanted, "id", "left_semi"), "sets")
-    chosen = docs.select("doc_id", "text").join(known.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    sets = written(token_sets(chosen, n), "tokens")
+    found = token_sets(docs, n, known.select(F.col("first").alias("doc_id")))
+    sets = written(found.join(known.select("id"), "id", "left_semi"), "tokens")
 
     def verify(pairs: DataFrame) -> DataFrame:
         def side(name: str) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import bloom
 from .editdistance import within
 from .linking import link_classes, shared_buckets
 from .store import written
@@ -61,27 +62,36 @@ def line_id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def line_rows(docs: DataFrame, k: int, min_chars: int) -> DataFrame:
-    """Rows of two kinds: a long line (bucket null) with its place, and buckets of lines new to the task."""
+def line_places(docs: DataFrame, min_chars: int) -> DataFrame:
+    """Every long line: id, row_key, number in its text, chars."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ids, numbers, chars = [], [], [], []
+            for row, text in enumerate(batch.column("text")):
+                for number, raw in enumerate((text.as_py() or "").split("\n")):
+                    line = raw.strip(EDGES)
+                    if len(line) >= min_chars:
+                        rows.append(row), ids.append(line_id(line)), numbers.append(number), chars.append(len(raw))
+            keys = batch.column("row_key").take(pa.array(rows, pa.int64())).cast(KEY_TYPE)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), keys, pa.array(numbers, pa.int32()), pa.array(chars, pa.int64())], ["id", "row_key", "number", "chars"])
+
+    return docs.select("row_key", "text").mapInArrow(emit, "id long, row_key struct<doc_id:long,twin:long>, number int, chars long")
+
+
+def line_buckets(docs: DataFrame, k: int, min_chars: int) -> DataFrame:
+    """Buckets of the long lines, of each distinct line once per task."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[int, list] = {}
         seen: set[int] = set()
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            heads: list[list] = [[], [], [], []]
             buckets, ids, leads, places = [], [], [], []
-            for key, text in zip(batch.column("row_key").to_pylist(), batch.column("text")):
-                value = text.as_py()
-                if value is None:
-                    continue
-                for number, raw in enumerate(value.split("\n")):
+            for text in batch.column("text"):
+                for raw in (text.as_py() or "").split("\n"):
                     line = raw.strip(EDGES)
-                    if len(line) < min_chars:
-                        continue
-                    own = line_id(line)
-                    heads[0].append(own), heads[1].append(key), heads[2].append(number), heads[3].append(len(raw))
-                    if own in seen:
+                    if len(line) < min_chars or (own := line_id(line)) in seen:
                         continue
                     seen.add(own)
                     size = len(line)
@@ -97,21 +107,17 @@ def line_rows(docs: DataFrame, k: int, min_chars: int) -> DataFrame:
                     buckets, ids, leads, places = [], [], [], []
             if buckets:
                 yield _bucket_rows(buckets, ids, leads, places)
-            n = len(heads[0])
-            columns = [pa.nulls(n, pa.int64()), pa.array(heads[0], pa.int64()), pa.array(heads[3], pa.int64()), pa.nulls(n, pa.bool_()), pa.array(heads[1], KEY_TYPE), pa.array(heads[2], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "id", "place", "lead", "row_key", "number"])
 
-    return docs.select("row_key", "text").mapInArrow(emit, "bucket long, id long, place long, lead boolean, row_key struct<doc_id:long,twin:long>, number int")
+    return docs.select("text").mapInArrow(emit, "bucket long, id long, place long, lead boolean")
 
 
 KEY_TYPE = pa.struct([("doc_id", pa.int64()), ("twin", pa.int64())])
 
 
 def _bucket_rows(buckets: list, ids: list, leads: list, places: list) -> pa.RecordBatch:
-    n = len(buckets)
     repeat = np.array([p[1] for p in places])
-    columns = [pa.array(np.array(buckets, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), repeat)), pa.array(np.repeat(np.array([p[0] for p in places], np.int64), repeat)), pa.array(leads, pa.bool_()), pa.nulls(n, KEY_TYPE), pa.nulls(n, pa.int32())]
-    return pa.RecordBatch.from_arrays(columns, ["bucket", "id", "place", "lead", "row_key", "number"])
+    columns = [pa.array(np.array(buckets, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), repeat)), pa.array(np.repeat(np.array([p[0] for p in places], np.int64), repeat)), pa.array(leads, pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "id", "place", "lead"])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -119,8 +125,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row_key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("twin")))
 
 
-def line_texts(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(id, line) of the long lines, by built-in functions only where the id allows."""
+def line_texts(docs: DataFrame, min_chars: int, wanted: DataFrame) -> DataFrame:
+    """(id, line) of the long lines with a wanted id; a Bloom filter keeps the others out of the shuffle."""
+    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -133,9 +140,10 @@ def line_texts(docs: DataFrame, min_chars: int) -> DataFrame:
                         seen.add(own)
                         ids.append(own)
                         lines.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
+            found = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
+            yield found.filter(pa.array(bloom.passes(bits.value, np.array(ids, np.int64)), pa.bool_()))
 
-    return docs.select("text").mapInArrow(emit, "id long, line string")
+    return docs.select("text").mapInArrow(emit, "id long, line string").join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
 def edit_filter(k: int):
@@ -156,11 +164,9 @@ def verified(k: int):
 
 def duplicate_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Long lines (row_key, number, chars, dropped) of keyed documents."""
-    rows = written(line_rows(docs, k, min_chars), "lines")
-    lines = rows.where("bucket IS NULL").select("id", "row_key", "number", F.col("place").alias("chars"))
-    postings = shared_buckets(rows.where("bucket IS NOT NULL").select("bucket", "id", "place", "lead"), "segments")
-    texts = line_texts(docs, min_chars).join(postings.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    texts = written(texts, "line-texts")
+    lines = written(line_places(docs, min_chars), "lines")
+    postings = shared_buckets(line_buckets(docs, k, min_chars), "segments")
+    texts = written(line_texts(docs, min_chars, postings.select("id").distinct()), "line-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
