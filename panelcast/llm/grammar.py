@@ -45,10 +45,13 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, min_count: int = MIN
         own = table[slot] == key
         own &= ~last[:-1]
         count = np.bincount(slot[own], minlength=1 << bits).astype(np.int32)
-        weight = np.where(own, count[slot], 0)
-        weight[weight < min_count] = 0
-        pick = weight > 0
-        pick[1:] &= weight[1:] > weight[:-1]
+        weight = np.where(own, count[slot], 0).astype(np.int64)
+        # equal counts are told apart by the pair, so that repeated passages shrink all along
+        weight = np.where(weight < min_count, 0, weight << bits | slot)
+        even = np.arange(len(weight))
+        even = (even - np.maximum.accumulate(np.where(np.diff(weight, prepend=-1) != 0, even, 0))) % 2 == 0
+        pick = (weight > 0) & even  # of a run of one pair every other place
+        pick[1:] &= weight[1:] >= weight[:-1]
         pick[:-1] &= weight[:-1] >= weight[1:]
         at = np.flatnonzero(pick)
         used = np.bincount(slot[at], minlength=1 << bits)

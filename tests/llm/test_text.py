@@ -43,16 +43,16 @@ def quality_brute(rows, min_docs, host_percent, keep_percent):
 
 
 def test_quality_against_plain_python(docs_of):
-    texts = [f"{BODY} {i}\n{NOTE}" for i in range(8)] + [f"x\n{NOTE}\n{NOTE.upper()} \n{NOTE}\n{NOTE}" for _ in range(3)]
+    texts = [f"{BODY} {'abcdefgh'[i]}\n{NOTE}" for i in range(8)] + [f"x\n{NOTE}\n{NOTE.upper()} \n{NOTE}\n{NOTE}" for _ in range(3)]
     texts += [None, "", " \n\t\x0b", "a b c d e " * 4, "#*$%&|<> a|b " + BODY, "é\n" + BODY + "\né\n", "a b c d e f a b c d e g h i j k l m n o p q r s t u v w", BODY, BODY, "u\x85v w\xa0x " + BODY]
     sources = ["s"] * 11 + ["s", None, None, "t", "t", "t", "t", "s", "s", "t"]
-    want = quality_brute(list(zip(range(len(texts)), texts, sources)), 2, 5, 60)
+    want = quality_brute(list(zip(range(len(texts)), texts, sources)), 2, 5, 50)
     docs = docs_of(texts, sources=sources).withColumnRenamed("lang", "host")
-    got = quality.assess(docs, min_docs=2, keep_percent=60).collect()
+    got = quality.assess(docs, min_docs=2, keep_percent=50).collect()
     assert {r["doc_id"]: tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")) for r in got} == want
-    kept = {r["doc_id"]: r["text"] for r in quality.clean(docs, min_docs=2, keep_percent=60).collect()}
+    kept = {r["doc_id"]: r["text"] for r in quality.clean(docs, min_docs=2, keep_percent=50).collect()}
     assert set(kept) == {d for d, v in want.items() if v[-1]}
-    assert kept[0] == texts[0] and kept[1] == f"{BODY} 1"
+    assert kept[0] == texts[0] and kept[1] == f"{BODY} b"
 
 
 def test_quality_of_missing_and_repeated_rows(docs_of):
@@ -206,7 +206,7 @@ def test_search_of_empty_tables_and_repeated_ids(spark, docs_of):
 
 def test_proximity_finds_reordered_terms(spark, docs_of):
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    docs = docs_of(["gamma x beta alpha", "alpha " + "x " * 30 + "beta gamma", "alpha beta gamma", "beta gamma"])
+    docs = docs_of(["gamma x beta alpha", "alpha " + "x " * 30 + "beta gamma", "alpha beta gamma", "beta gamma"]).coalesce(1)
     found = positions.search(positions.build_index(docs), items, 3, span=6).collect()
     assert {(r["number"], r["kind"], r["start"], r["stop"]) for r in found} == {(0, "near", 0, 4), (2, "near", 0, 3), (2, "phrase", 0, 3)}
 
