@@ -16,10 +16,18 @@ def _long(values: dict[str, Column], name: str, value: str) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(k).alias(name), v.alias(value)) for k, v in values.items()]))
 
 
+def absolute_correlation(x: Column, y: Column) -> Column:
+    """Absolute correlation, 0 where one side does not vary (``corr`` itself divides by zero there)."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    flat = F.min(a).eqNullSafe(F.max(a)) | F.min(b).eqNullSafe(F.max(b))
+    share = F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+    return F.when(flat, F.lit(0.0)).otherwise(F.coalesce(F.abs(share), F.lit(0.0)))
+
+
 def correlations(df: DataFrame, features: Sequence[str], y: str = "y") -> DataFrame:
-    """Absolute correlation of every feature with the target, in one aggregate."""
+    """Absolute correlation of every feature with the target, in one aggregate; 0 for a constant."""
     target = F.col(y).cast("double")
-    wide = df.agg(*[F.abs(F.corr(named(f).cast("double"), target)).alias(f) for f in features])
+    wide = df.agg(*[absolute_correlation(named(f).cast("double"), target).alias(f) for f in features])
     return wide.select(_long({f: named(f) for f in features}, "feature", "correlation").alias("_x")).select("_x.*")
 
 

@@ -6,26 +6,38 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..models import baseline, folds
-from ..operators import clean, panel, relevance, windows
+from ..operators import clean, features, panel, relevance, windows
 from ..reports import summaries
 from ..sources import files, tables
+from .calendar import FULL_SQL
 from .joins import holdout_scores
 from .registry import q6, query, rounded
 from .views import backtest_sql, with_views
 
-FEATURE_SQL = """SELECT location, ds, y, is_weekend, month, disease_severity, lag(y, 1) OVER w AS lag_1, lag(y, 7) OVER w AS lag_7,
-  avg(y) OVER (PARTITION BY location ORDER BY ds ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS rolling_mean_7
-  FROM series WINDOW w AS (PARTITION BY location ORDER BY ds)"""
-FEATURES = ["is_weekend", "month", "disease_severity", "lag_1", "lag_7", "rolling_mean_7"]
+# The whole feature frame in long form: location, ds, y, feature, x.
+LONG_SQL = f"""f AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY population_category) - 1 AS population_category_code FROM ({FULL_SQL})),
+long AS MATERIALIZED (UNPIVOT (SELECT location, ds, y, CAST(COLUMNS(* EXCLUDE (location, ds, y, population_category)) AS DOUBLE) FROM f)
+  ON COLUMNS(* EXCLUDE (location, ds, y)) INTO NAME feature VALUE x)"""
+CORRELATION = "CASE WHEN min(x) = max(x) OR min(y) = max(y) THEN 0.0 ELSE coalesce(abs(corr(x, y)), 0.0) END"
+CORRELATION_SQL = f"{LONG_SQL},\nc AS (SELECT feature, {CORRELATION} AS correlation FROM long GROUP BY feature)"
+INFORMATION_SQL = f"""{LONG_SQL},
+ranges AS (SELECT feature, min(x) AS lo, max(x) AS hi, CAST(min(y) AS DOUBLE) AS ylo, CAST(max(y) AS DOUBLE) AS yhi FROM long GROUP BY feature),
+cells AS (SELECT feature, CASE WHEN hi > lo THEN least(9, floor((x - lo) / (hi - lo) * 10)) ELSE 0 END AS bx,
+  least(9, floor((CAST(y AS DOUBLE) - ylo) / (yhi - ylo) * 10)) AS by_ FROM long JOIN ranges USING (feature)),
+joint AS (SELECT feature, bx, by_, count(*) AS n FROM cells GROUP BY ALL),
+shares AS (SELECT *, sum(n) OVER (PARTITION BY feature, bx) AS nx, sum(n) OVER (PARTITION BY feature, by_) AS ny, sum(n) OVER (PARTITION BY feature) AS nn FROM joint),
+mi AS (SELECT feature, sum(CAST(n AS DOUBLE) / nn * ln(CAST(n AS DOUBLE) * nn / (CAST(nx AS DOUBLE) * ny))) AS mutual_information FROM shares GROUP BY feature)"""
 
 
-def small_features(spark, sf):
-    series = windows.lag_columns(tables.series(spark, sf), (1, 7))
-    return windows.rolling_columns(series, (7,), ("mean",), "rolling_", full=False, shift=1)
+def with_clause(clause: str, body: str) -> str:
+    return f"WITH {clause}\n{body}"
 
 
-def correlation_sql(source: str) -> str:
-    return " UNION ALL ".join(f"SELECT '{f}' AS feature, abs(corr({f}, y)) AS correlation FROM {source}" for f in FEATURES)
+def feature_frame(spark, sf):
+    """The whole feature frame to six decimals, labels coded, and the names of its inputs; written once."""
+    frame = features.encode_labels(features.all_features(tables.city_series(spark, sf)), "population_category")
+    frame = files.checkpointed(rounded(frame), "feature-frame")
+    return frame, features.numeric_features(frame)
 
 
 @query(
@@ -154,58 +166,25 @@ def a09(spark, sf):
     return rounded(row.select("total_admissions", "avg_daily_admissions", "max_daily_admissions", "avg_total_beds", "avg_icu_beds"))
 
 
-@query(
-    "a10_correlation",
-    with_views(f"SELECT feature, {q6('correlation')} FROM ({correlation_sql('f')}) ORDER BY correlation DESC", "series").replace(
-        "\nSELECT feature", f",\nf AS ({FEATURE_SQL})\nSELECT feature", 1
-    ),
-)
+@query("a10_correlation", with_clause(CORRELATION_SQL, f"SELECT feature, {q6('correlation')} FROM c ORDER BY correlation DESC"))
 def a10(spark, sf):
-    return rounded(relevance.correlations(small_features(spark, sf), FEATURES)).orderBy(F.desc("correlation"))
+    return rounded(relevance.correlations(*feature_frame(spark, sf))).orderBy(F.desc("correlation"))
 
 
-MI_CELLS = " UNION ALL ".join(
-    f"""SELECT '{f}' AS feature, CASE WHEN hi > lo THEN least(9, floor((x - lo) / (hi - lo) * 10)) ELSE 0 END AS bx,
-        least(9, floor((CAST(y AS DOUBLE) - ylo) / (yhi - ylo) * 10)) AS by_
-        FROM (SELECT CAST({f} AS DOUBLE) AS x, y FROM f), (SELECT CAST(min({f}) AS DOUBLE) AS lo, CAST(max({f}) AS DOUBLE) AS hi,
-        CAST(min(y) AS DOUBLE) AS ylo, CAST(max(y) AS DOUBLE) AS yhi FROM f) WHERE x IS NOT NULL"""
-    for f in FEATURES
-)
-
-
-@query(
-    "a11_mutual_information",
-    with_views("SELECT feature, ", "series").replace(
-        "\nSELECT feature, ",
-        f""",
-f AS ({FEATURE_SQL}),
-cells AS ({MI_CELLS}),
-joint AS (SELECT feature, bx, by_, count(*) AS n FROM cells GROUP BY ALL),
-shares AS (SELECT *, sum(n) OVER (PARTITION BY feature, bx) AS nx, sum(n) OVER (PARTITION BY feature, by_) AS ny, sum(n) OVER (PARTITION BY feature) AS nn FROM joint)
-SELECT feature, {q6('sum(CAST(n AS DOUBLE) / nn * ln(CAST(n AS DOUBLE) * nn / (CAST(nx AS DOUBLE) * ny)))', 'mutual_information')} FROM shares GROUP BY feature""",
-        1,
-    ),
-)
+@query("a11_mutual_information", with_clause(INFORMATION_SQL, f"SELECT feature, {q6('mutual_information')} FROM mi"))
 def a11(spark, sf):
-    return rounded(relevance.mutual_information(small_features(spark, sf), FEATURES))
+    return rounded(relevance.mutual_information(*feature_frame(spark, sf)))
 
 
-@query(
-    "a12_correlation_classes",
-    with_views("SELECT ", "series").replace(
-        "\nSELECT ",
-        f""",
-f AS ({FEATURE_SQL}),
-c AS ({correlation_sql('f')})
-SELECT count(*) AS total_features, count(*) FILTER (WHERE correlation > 0.3) AS highly_correlated,
+CLASSES_SQL = """count(*) AS total_features, count(*) FILTER (WHERE correlation > 0.3) AS highly_correlated,
        count(*) FILTER (WHERE correlation > 0.1 AND correlation <= 0.3) AS moderately_correlated,
        count(*) FILTER (WHERE correlation <= 0.1) AS low_correlated,
-       count(*) FILTER (WHERE correlation > 0.5) AS very_highly_correlated, count(*) FILTER (WHERE correlation < 0.05) AS negligible FROM c""",
-        1,
-    ),
-)
+       count(*) FILTER (WHERE correlation > 0.5) AS very_highly_correlated, count(*) FILTER (WHERE correlation < 0.05) AS negligible"""
+
+
+@query("a12_correlation_classes", with_clause(CORRELATION_SQL, f"SELECT {CLASSES_SQL} FROM c"))
 def a12(spark, sf):
-    return relevance.correlation_classes(relevance.correlations(small_features(spark, sf), FEATURES))
+    return relevance.correlation_classes(relevance.correlations(*feature_frame(spark, sf)))
 
 
 @query("a13_trend_slope", with_views(f"SELECT location, {q6('regr_slope(y, r)', 'slope')} FROM positions GROUP BY location", "positions"))

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..models import trees
 from ..operators import features, ranking, relevance
+from ..operators.keys import named
 from ..sources import tables
-from .aggregates import FEATURE_SQL, FEATURES, MI_CELLS, correlation_sql, small_features
-from .calendar import after_views
+from .aggregates import CORRELATION, INFORMATION_SQL, LONG_SQL, feature_frame, with_clause
 from .joins import all_forecasts, holdout_scores
 from .registry import q6, query, rounded
 from .views import with_views
@@ -19,53 +19,45 @@ def k01(spark, sf):
     return rounded(tables.series(spark, sf)).orderBy("location", "ds")
 
 
-TOP_SQL = f"""f AS ({FEATURE_SQL}),
-cells AS ({MI_CELLS}),
-joint AS (SELECT feature, bx, by_, count(*) AS n FROM cells GROUP BY ALL),
-shares AS (SELECT *, sum(n) OVER (PARTITION BY feature, bx) AS nx, sum(n) OVER (PARTITION BY feature, by_) AS ny, sum(n) OVER (PARTITION BY feature) AS nn FROM joint),
-mi AS (SELECT feature, sum(CAST(n AS DOUBLE) / nn * ln(CAST(n AS DOUBLE) * nn / (CAST(nx AS DOUBLE) * ny))) AS score FROM shares GROUP BY feature),
-co AS ({correlation_sql('f')})"""
+TOP = 20
 
 
 @query(
     "k02_top_features",
-    after_views(
-        f"""SELECT * FROM (SELECT 'correlation' AS measure, feature, {q6('correlation', 'score')} FROM co ORDER BY correlation DESC, feature LIMIT 3)
-            UNION ALL SELECT * FROM (SELECT 'mutual_information', feature, {q6('score')} FROM mi ORDER BY score DESC, feature LIMIT 3)""",
-        TOP_SQL,
-        "series",
+    with_clause(
+        f"{INFORMATION_SQL},\nc AS (SELECT feature, {CORRELATION} AS correlation FROM long GROUP BY feature)",
+        f"""SELECT * FROM (SELECT 'correlation' AS measure, feature, {q6('correlation', 'score')} FROM c ORDER BY score DESC, feature LIMIT {TOP})
+            UNION ALL SELECT * FROM (SELECT 'mutual_information', feature, {q6('mutual_information', 'score')} FROM mi ORDER BY score DESC, feature LIMIT {TOP})""",
     ),
 )
 def k02(spark, sf):
-    frame = small_features(spark, sf)
-    scores = relevance.correlations(frame, FEATURES).withColumnRenamed("correlation", "score").withColumn("measure", F.lit("correlation"))
-    shared = relevance.mutual_information(frame, FEATURES).withColumnRenamed("mutual_information", "score")
+    frame, names = feature_frame(spark, sf)
+    scores = relevance.correlations(frame, names).withColumnRenamed("correlation", "score").withColumn("measure", F.lit("correlation"))
+    shared = relevance.mutual_information(frame, names).withColumnRenamed("mutual_information", "score")
     shared = shared.withColumn("measure", F.lit("mutual_information"))
-    best = [ranking.top_rows(s, 3, F.desc("score"), F.asc("feature")) for s in (scores, shared)]
-    return rounded(best[0].unionByName(best[1]).select("measure", "feature", "score"))
+    best = [ranking.top_rows(rounded(s), TOP, F.desc("score"), F.asc("feature")) for s in (scores, shared)]
+    return best[0].unionByName(best[1]).select("measure", "feature", "score")
 
 
-LOCAL_SQL = " UNION ALL ".join(f"SELECT location, '{f}' AS feature, abs(corr({f}, y)) AS importance FROM f GROUP BY location" for f in FEATURES)
-
-
-def local_importances(spark, sf):
+def local_importances(frame, names):
     """Absolute correlation with the target per series and feature."""
-    wide = small_features(spark, sf).groupBy("location").agg(*[F.abs(F.corr(F.col(f).cast("double"), F.col("y").cast("double"))).alias(f) for f in FEATURES])
-    return wide.unpivot(["location"], FEATURES, "feature", "importance")
+    target = F.col("y").cast("double")
+    wide = frame.groupBy("location").agg(*[relevance.absolute_correlation(named(f).cast("double"), target).alias(f) for f in names])
+    return wide.unpivot(["location"], [named(f) for f in names], "feature", "importance").withColumn("feature", F.translate("feature", "`", ""))
 
 
 @query(
     "k03_top_features_per_location",
-    after_views(
-        f"""SELECT location, feature, {q6('round(importance, 4)', 'importance')} FROM (SELECT *, row_number() OVER (PARTITION BY location ORDER BY importance DESC, feature) AS k
-            FROM ({LOCAL_SQL})) WHERE k <= 3""",
-        f"f AS ({FEATURE_SQL})",
-        "series",
+    with_clause(
+        LONG_SQL,
+        f"""SELECT location, feature, importance FROM (SELECT *, row_number() OVER (PARTITION BY location ORDER BY importance DESC, feature) AS k FROM
+            (SELECT location, feature, {q6(f'round({CORRELATION}, 4)', 'importance')} FROM long GROUP BY location, feature)) WHERE k <= {TOP}""",
     ),
 )
 def k03(spark, sf):
-    best = ranking.top_per_key(local_importances(spark, sf), 3, "location", F.desc("importance"), F.asc("feature"))
-    return rounded(best.select("location", "feature", F.round("importance", 4).alias("importance")))
+    scores = local_importances(*feature_frame(spark, sf)).withColumn("importance", F.round("importance", 4))
+    best = ranking.top_per_key(rounded(scores), TOP, "location", F.desc("importance"), F.asc("feature"))
+    return best.select("location", "feature", "importance")
 
 
 @query("k04_top_locations", with_views(f"SELECT location, {q6('accuracy')} FROM mean_scores ORDER BY accuracy DESC, location LIMIT 3", "mean_scores"))

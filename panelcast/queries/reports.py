@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..models import baseline, folds
 from ..operators import relevance
 from ..operators.features import CATEGORY_FRAGMENTS, categorise
+from ..operators.keys import named
 from ..reports import summaries
 from ..sources import tables
-from .aggregates import FEATURE_SQL, FEATURES, correlation_sql, cv_scores, small_features
-from .calendar import after_views
+from .aggregates import CLASSES_SQL, CORRELATION_SQL, LONG_SQL, cv_scores, feature_frame, with_clause
 from .joins import all_forecasts, holdout_scores
 from .registry import q6, query, rounded
 from .views import with_views
@@ -109,42 +109,32 @@ def q06(spark, sf):
     return rounded(overall_performance(spark, sf))
 
 
-def group_sql(column: str) -> str:
-    groups = [g for g, n in categorise([column], CATEGORY_FRAGMENTS)]
-    return ",".join(groups)
-
-
-REPORT_TYPES = {"location": "string", "ds": "date", "y": "int", "is_weekend": "int", "month": "int", "disease_severity": "double", "lag_1": "int", "lag_7": "int", "rolling_mean_7": "double"}
+FRAGMENT_SQL = ", ".join(f"({i}, '{g}', '{p}')" for i, (g, parts) in enumerate(CATEGORY_FRAGMENTS.items()) for p in parts)
+GROUP_SQL = f"SELECT DISTINCT t.i, t.category, n.name FROM names n JOIN (VALUES {FRAGMENT_SQL}) t(i, category, part) ON contains(n.name, t.part)"
 
 
 @query(
     "q07_feature_report",
-    after_views(
-        " UNION ALL ".join(
-            f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS missing, '{t}' AS data_type, '{group_sql(c)}' AS categories FROM f"
-            for c, t in REPORT_TYPES.items()
-        ),
-        f"f AS ({FEATURE_SQL})",
-        "series",
+    with_clause(
+        f"""{LONG_SQL},
+names AS (UNPIVOT (SELECT count(*) - count(COLUMNS(*)) FROM f) ON COLUMNS(*) INTO NAME name VALUE missing),
+kinds AS (UNPIVOT (SELECT typeof(COLUMNS(*)) FROM f LIMIT 1) ON COLUMNS(*) INTO NAME name VALUE kind),
+groups AS ({GROUP_SQL})""",
+        """SELECT n.name AS column_name, n.missing, CASE WHEN k.kind = 'DOUBLE' THEN 'double' WHEN k.kind = 'DATE' THEN 'date' WHEN k.kind = 'VARCHAR' THEN 'string' ELSE 'bigint' END AS data_type,
+                  coalesce(string_agg(g.category, ',' ORDER BY g.i), '') AS categories
+           FROM names n JOIN kinds k USING (name) LEFT JOIN groups g USING (name) GROUP BY ALL""",
     ),
 )
 def q07(spark, sf):
-    return summaries.feature_report(small_features(spark, sf))
+    return summaries.feature_report(feature_frame(spark, sf)[0])
 
 
 @query(
     "q08_importance_report",
-    after_views(
-        """SELECT count(*) AS total_features, count(*) FILTER (WHERE correlation > 0.3) AS highly_correlated,
-                  count(*) FILTER (WHERE correlation > 0.1 AND correlation <= 0.3) AS moderately_correlated, count(*) FILTER (WHERE correlation <= 0.1) AS low_correlated,
-                  count(*) FILTER (WHERE correlation > 0.5) AS very_highly_correlated, count(*) FILTER (WHERE correlation < 0.05) AS negligible,
-                  count(*) FILTER (WHERE correlation > 0.5) > 0 AS use_strong_features, count(*) FILTER (WHERE correlation < 0.05) > 10 AS drop_weak_features FROM c""",
-        f"f AS ({FEATURE_SQL}),\nc AS ({correlation_sql('f')})",
-        "series",
-    ),
+    with_clause(CORRELATION_SQL, f"SELECT {CLASSES_SQL}, count(*) FILTER (WHERE correlation > 0.5) > 0 AS use_strong_features, count(*) FILTER (WHERE correlation < 0.05) > 10 AS drop_weak_features FROM c"),
 )
 def q08(spark, sf):
-    return summaries.importance_report(relevance.correlations(small_features(spark, sf), FEATURES))
+    return summaries.importance_report(relevance.correlations(*feature_frame(spark, sf)))
 
 
 @query(
@@ -244,22 +234,17 @@ def q16(spark, sf):
     return rounded(summaries.training_summary(holdout_scores(spark, sf), all_forecasts(spark, sf)))
 
 
-S06_COLUMNS = ("is_weekend", "month", "disease_severity", "lag_1", "lag_7", "rolling_mean_7")
-
-
 @query(
     "s06_feature_groups",
-    after_views(
-        " UNION ALL ".join(f"SELECT '{g}' AS category, '{n}' AS feature, count({n}) AS n_values FROM f" for g, n in categorise(S06_COLUMNS)),
-        f"f AS ({FEATURE_SQL})",
-        "series",
+    with_clause(
+        f"{LONG_SQL},\nnames AS (SELECT feature AS name, count(x) AS n FROM long GROUP BY feature),\ngroups AS ({GROUP_SQL})",
+        "SELECT g.category, n.name AS feature, n.n AS n_values FROM names n JOIN groups g USING (name)",
     ),
 )
 def s06(spark, sf):
     """Feature groups by name, with the values each member holds."""
-    frame = small_features(spark, sf)
-    counts = frame.agg(*[F.count(c).alias(c) for c in S06_COLUMNS]).unpivot([], list(S06_COLUMNS), "feature", "n_values")
-    groups = spark.createDataFrame(categorise(S06_COLUMNS), "category string, feature string")
-    return groups.join(counts, "feature").select("category", "feature", "n_values")
-
-
+    frame, names = feature_frame(spark, sf)
+    counts = summaries.null_counts(frame.select(*[named(c) for c in names])).withColumnRenamed("column_name", "feature")
+    groups = spark.createDataFrame(categorise(names), "category string, feature string")
+    total = frame.agg(F.count("*")).scalar()
+    return groups.join(counts, "feature").select("category", "feature", (total - F.col("missing")).alias("n_values"))
