@@ -2,11 +2,13 @@
 
 Items are put into buckets so that two similar items share one (prefix n-grams,
 segments). Only classes of linked items are asked for, so two items that are
-already in one class need no comparison. Rounds: a leader per bucket is compared
-with the members outside its class, each item with the one leader it shares most
-buckets with; after two such rounds all pairs that are still in different
-classes and were never compared are compared. Every pair that shares a bucket
-thus ends in one class or is verified, once.
+already in one class need no comparison. In the first round each item is
+compared with the one bucket leader it meets most often. In the next ones, items
+outside the largest class of a bucket are compared with a growing number of
+leaders, which finds a link for nearly every member of a large group. At last
+all pairs that still are in different classes and were never compared are
+compared. Every pair that shares a bucket thus ends in one class or is verified,
+once.
 
 Ids are 64-bit hashes of the items, so the least id is a random member.
 """
@@ -15,11 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from .store import written
 
-STAR_ROUNDS = 2
+LEADERS = (1, 8, 64)
 Check = Callable[[DataFrame], DataFrame]
 Filter = Callable[[Column, Column], Column]
 
@@ -45,16 +47,19 @@ def link_classes(postings: DataFrame, verify: Check, could_link: Filter) -> Data
     pairs (a, b) and returns those that are.
     """
     edges, tested, labels = None, None, None
-    for step in range(STAR_ROUNDS + 1):
+    for step in range(len(LEADERS) + 1):
         rows = _labelled(postings, labels)
-        pairs = _star(rows, step, could_link) if step < STAR_ROUNDS else _rest(rows, could_link)
+        if step == 0:
+            pairs = _star(rows, could_link)
+        elif step < len(LEADERS):
+            pairs = _loose(rows, step, LEADERS[step])
+        else:
+            pairs = _rest(rows, could_link)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
-            if step < STAR_ROUNDS:
-                continue
-            break
+            continue
         found = written(verify(pairs), "links")
         tested = pairs if tested is None else tested.unionAll(pairs)
         edges = found if edges is None else edges.unionAll(found)
@@ -70,24 +75,36 @@ def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     return postings.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def _star(rows: DataFrame, step: int, could_link: Filter) -> DataFrame:
-    """Each item with the leader it shares most buckets with, if their classes differ."""
-    item = F.struct(F.xxhash64("id", F.lit(step)).alias("order"), "id", "place", "label")
-    led = rows.groupBy("bucket").agg(F.min(F.when(F.col("lead"), item)).alias("leader"), F.min("label").alias("low"), F.max("label").alias("high"))
-    leaders = led.where("low != high").select("bucket", "leader")
-    met = rows.join(leaders, "bucket").where((F.col("label") != F.col("leader.label")) & could_link(F.col("place"), F.col("leader.place")))
+def _star(rows: DataFrame, could_link: Filter) -> DataFrame:
+    """Each item with the leader it shares most buckets with."""
+    item = F.struct("id", "place")
+    leaders = rows.groupBy("bucket").agg(F.min(F.when(F.col("lead"), item)).alias("leader"))
+    met = rows.join(leaders, "bucket").where((F.col("id") != F.col("leader.id")) & could_link(F.col("place"), F.col("leader.place")))
     votes = met.groupBy("id", F.col("leader.id").alias("other")).agg(F.count("*").alias("n"))
     best = votes.groupBy("id").agg(F.max(F.struct("n", "other")).alias("best"))
     return _ordered(best.select("id", F.col("best.other").alias("other")))
 
 
+def _loose(rows: DataFrame, step: int, fan: int) -> DataFrame:
+    """Items outside the largest class of a bucket, with up to ``fan`` members of their fullest such bucket."""
+    sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mains = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("members"), F.count("*").alias("classes")).where("classes > 1")
+    loose = rows.join(mains, "bucket").where(F.col("label") != F.col("main.label"))
+    chosen = loose.groupBy("id", "label").agg(F.max(F.struct("members", "bucket"))["bucket"].alias("bucket"))
+    slot = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(fan)).alias("slot")
+    item = F.struct(F.xxhash64("id", F.lit(-step)).alias("order"), "id", "label")
+    met = rows.where("lead").join(chosen.select("bucket").distinct(), "bucket", "left_semi")
+    leaders = met.groupBy("bucket", slot).agg(F.min(item).alias("leader")).select("bucket", F.col("leader.id").alias("other"), F.col("leader.label").alias("other_label"))
+    return _ordered(chosen.join(leaders, "bucket").where("label != other_label"))
+
+
 def _rest(rows: DataFrame, could_link: Filter) -> DataFrame:
     """All pairs of a bucket that are in different classes, one of them leading."""
     mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
     left = rows.join(mixed.select("bucket"), "bucket", "left_semi")
     right = left.where("lead").select("bucket", F.col("id").alias("other"), F.col("place").alias("other_place"), F.col("label").alias("other_label"))
     differ = (F.col("label") != F.col("other_label")) & could_link(F.col("place"), F.col("other_place"))
-    return _ordered(left.join(right, "bucket").where(differ).select("id", "other"))
+    return _ordered(left.join(right, "bucket").where(differ))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -101,14 +118,12 @@ def components(edges: DataFrame) -> DataFrame:
     item (large and small stars) until the edges stay as they are; each pass is
     written, so the lineage stays short.
     """
-    now = written(_ordered(edges.select(F.col("a").alias("id"), F.col("b").alias("other"))).where("a != b"), "edges")
-    mark = _mark(now)
+    now, mark = _marked(_ordered(edges.select(F.col("a").alias("id"), F.col("b").alias("other"))).where("a != b"))
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select("b", "a"))
         large = _hook(both, F.col("v") > F.col("u"))
         small = _hook(large.select(F.col("b").alias("u"), F.col("a").alias("v")), F.lit(True), closing=True)
-        now = written(small, "edges")
-        seen = _mark(now)
+        now, seen = _marked(small)
         if seen == mark:
             return now.select(F.col("b").alias("id"), F.col("a").alias("label")).unionAll(now.select(F.col("a").alias("id"), F.col("a").alias("label"))).distinct()
         mark = seen
@@ -123,7 +138,9 @@ def _hook(rows: DataFrame, wanted: Column, closing: bool = False) -> DataFrame:
     return hooked.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Row count and an order-free hash: equal for equal edges."""
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges written, with their number and an order-free hash: equal for equal edges."""
+    seen = Observation()
     hashed = F.xxhash64("a", "b").cast("decimal(38,0)")
-    return tuple(edges.agg(F.count("*"), F.sum(hashed)).first())
+    table = written(edges.observe(seen, F.count("*").alias("n"), F.sum(hashed).alias("hash")), "edges")
+    return table, (seen.get["n"], seen.get["hash"])
