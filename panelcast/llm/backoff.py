@@ -72,10 +72,17 @@ def vocabulary(counts: DataFrame, bits: int = VOCABULARY_BITS) -> tuple[np.ndarr
         if room < 0:
             least = r["step"] + 1
             break
-    kept = counts.where(step >= least).select("word", "n").toPandas()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, kept["word"]), np.uint64, len(kept))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = np.fromiter(map(xxhash.xxh3_64_intdigest, batch.column("word").to_pylist()), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64)), batch.column("n")], ["hash", "n"])
+
+    # two numbers a word, 2**bits words at most
+    kept = counts.where(step >= least).select("word", "n").mapInArrow(hashed, "hash long, n long").toArrow()
+    hashes, numbers = kept.column("hash").to_numpy().view(np.uint64), kept.column("n").to_numpy()
     order = np.argsort(hashes)
-    return hashes[order], kept["n"].to_numpy(np.int64)[order], total
+    return hashes[order], numbers[order], total
 
 
 def encoded(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
