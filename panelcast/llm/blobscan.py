@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..sources.files import exists
+from .store import written
 
 
 @dataclass(frozen=True)
@@ -120,7 +121,8 @@ def summaries(findings: DataFrame, rules: list[Rule] | None = None) -> DataFrame
 
 def by_path(versions: DataFrame, ledger: str, rules: list[Rule] | None = None, path: str = "doc_id") -> DataFrame:
     """Every version with the findings of its blob: path, blob, counts, base_sha256, spans."""
-    found = summaries(stored(versions.sparkSession, ledger, "findings", FINDING), rules)
+    # written, so that the join can split a blob that holds a large share of the versions
+    found = written(summaries(stored(versions.sparkSession, ledger, "findings", FINDING), rules), "summaries")
     paths = versions.select(F.col(path), blob_of(F.col("text")).alias("blob"))
     counts = [f"n_{r.kind}" for r in BASE]
     joined = paths.join(found, "blob", "left").na.fill(0, counts).na.fill("", ["base", "spans"])

@@ -236,5 +236,6 @@ def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     labels = link_classes(postings, verify, size_and_position(percent))
     found = heads.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
     classed = found.select("doc_id", "n_shingles", F.coalesce("label", "set_id").alias("class"))
-    least = classed.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    # written, so that the join can split a class that holds a large share of the rows
+    least = written(classed.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least")), "classes")
     return classed.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

@@ -175,7 +175,8 @@ def duplicate_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CH
 
     labels = link_classes(postings, verify, edit_filter(k))
     classed = lines.join(labels, "id", "left").select(F.coalesce("label", "id").alias("class"), "row_key", "number", "chars")
-    first = classed.groupBy("class").agg(F.min(F.struct("row_key", "number")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # written, so that the join can split a line that holds a large share of the rows
+    first = written(classed.groupBy("class").agg(F.min(F.struct("row_key", "number")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first-lines")
     found = classed.join(first, "class", "left")
     dropped = F.coalesce(F.struct("row_key", "number") != F.col("first"), F.lit(False))
     return found.select("row_key", "number", "chars", dropped.alias("dropped"))
