@@ -23,6 +23,10 @@ HEADLINE = [
     "a10_correlation",
     "a11_mutual_information",
     "m02_additive_holdout",
+    "m10_grid_search",
+    "p07_date_discovery",
+    "p21_label_encode",
+    "a21_wide_ratio",
     "m07_autoregression",
     "m13_rolling_origin",
     "m14_rolling_backtest",
