@@ -92,7 +92,7 @@ def test_records_to_admission_schema(spark):
 @pytest.mark.parametrize("rows", [1, 7, 5000])
 def test_row_index_is_consecutive(spark, rows):
     df = spark.range(rows).select((F.col("id") * F.col("id") * 7 % 1000003 * 100000 + F.col("id")).alias("k"))
-    numbered = row_index(df, "k", groups=8).orderBy("k").collect()
+    numbered = row_index(df, "k").orderBy("k").collect()
     assert [r.row_index for r in numbered] == list(range(rows))
 
 
