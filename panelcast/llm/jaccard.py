@@ -188,6 +188,16 @@ def by_size(postings: DataFrame, percent: int) -> DataFrame:
     return spread.select(F.xxhash64("bucket", "class").alias("bucket"), "id", "place", "lead")
 
 
+def size_alone(percent: int):
+    """Length filter on places."""
+
+    def could_link(x: Column, y: Column) -> Column:
+        size_x, size_y = F.shiftright(x, 32), F.shiftright(y, 32)
+        return 100 * F.least(size_x, size_y) >= percent * F.greatest(size_x, size_y)
+
+    return could_link
+
+
 def size_and_position(percent: int):
     """Length and positional filter on places (size in the upper half, position in the lower).
 
@@ -233,7 +243,7 @@ def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         common = F.size(F.array_intersect("tokens_a", "tokens_b"))
         return both.where(100 * common >= percent * (F.col("total") - common)).select("a", "b")
 
-    labels = link_classes(postings, verify, size_and_position(percent))
+    labels = link_classes(postings, verify, size_and_position(percent), size_alone(percent))
     found = heads.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
     classed = found.select("doc_id", "n_shingles", F.coalesce("label", "set_id").alias("class"))
     # written, so that the join can split a class that holds a large share of the rows

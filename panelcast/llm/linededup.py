@@ -126,7 +126,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_texts(docs: DataFrame, min_chars: int, wanted: DataFrame) -> DataFrame:
-    """(id, line) of the long lines with a wanted id; a Bloom filter keeps the others out of the shuffle."""
+    """(id, line, signature) of the long lines with a wanted id; a Bloom filter keeps the others out of the shuffle."""
     bits = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,14 +141,29 @@ def line_texts(docs: DataFrame, min_chars: int, wanted: DataFrame) -> DataFrame:
                         ids.append(own)
                         lines.append(line)
             found = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
-            yield found.filter(pa.array(bloom.passes(bits.value, np.array(ids, np.int64)), pa.bool_()))
+            found = found.filter(pa.array(bloom.passes(bits.value, np.array(ids, np.int64)), pa.bool_()))
+            marks = pa.array([signature(x) for x in found.column("line").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*found.columns, marks], ["id", "line", "signature"])
 
-    return docs.select("text").mapInArrow(emit, "id long, line string").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    return docs.select("text").mapInArrow(emit, "id long, line string, signature long").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+
+
+def signature(line: str) -> int:
+    """Sixteen counters of four bits: how many characters fall into each class, modulo sixteen."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") % 16
+    counts = np.bincount(codes, minlength=16) % 16
+    return int((counts.astype(np.uint64) << np.arange(0, 64, 4, dtype=np.uint64)).sum().astype(np.int64))
 
 
 def edit_filter(k: int):
+    """Filter on places (length, signature): an edit changes the length by one and two counters by one each, at most."""
+
     def could_link(x: Column, y: Column) -> Column:
-        return F.abs(x - y) <= k
+        apart = F.lit(0)
+        for shift in range(0, 64, 4):
+            step = (F.shiftright(x["signature"], shift) - F.shiftright(y["signature"], shift)).bitwiseAND(15)
+            apart = apart + F.least(step, 16 - step)
+        return (F.abs(x["length"] - y["length"]) <= k) & (apart <= 2 * k)
 
     return could_link
 
@@ -173,7 +188,9 @@ def duplicate_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CH
         both = left.join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
         return both.select("a", "b", "line_a", "line_b").mapInArrow(verified(k), "a long, b long")
 
-    labels = link_classes(postings, verify, edit_filter(k))
+    place = F.struct(F.col("place").alias("length"), "signature")
+    marked = postings.join(texts.select("id", "signature"), "id").withColumn("place", place).drop("signature")
+    labels = link_classes(written(marked, "segments"), verify, edit_filter(k))
     classed = lines.join(labels, "id", "left").select(F.coalesce("label", "id").alias("class"), "row_key", "number", "chars")
     # written, so that the join can split a line that holds a large share of the rows
     first = written(classed.groupBy("class").agg(F.min(F.struct("row_key", "number")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first-lines")

@@ -39,11 +39,12 @@ def shared_buckets(postings: DataFrame, label: str) -> DataFrame:
     return written(crowded.join(kept, "bucket", "left_semi").distinct(), label)
 
 
-def link_classes(postings: DataFrame, verify: Check, could_link: Filter) -> DataFrame:
+def link_classes(postings: DataFrame, verify: Check, could_link: Filter, loosely: Filter | None = None) -> DataFrame:
     """(id, label) for all items with a link; the label is the least id of the class.
 
     ``postings`` come from ``shared_buckets``. ``could_link`` takes the places of
-    two items in a bucket and says whether they may be similar; ``verify`` takes
+    two items in a bucket and says whether they may be similar by what this bucket
+    tells, ``loosely`` whether by what any bucket tells; ``verify`` takes
     pairs (a, b) and returns those that are.
     """
     edges, tested, labels = None, None, None
@@ -52,7 +53,7 @@ def link_classes(postings: DataFrame, verify: Check, could_link: Filter) -> Data
         if step == 0:
             pairs = _star(rows, could_link)
         elif step < len(LEADERS):
-            pairs = _loose(rows, step, LEADERS[step])
+            pairs = _loose(rows, step, LEADERS[step], loosely or could_link)
         else:
             pairs = _rest(rows, could_link)
         if tested is not None:
@@ -85,17 +86,18 @@ def _star(rows: DataFrame, could_link: Filter) -> DataFrame:
     return _ordered(best.select("id", F.col("best.other").alias("other")))
 
 
-def _loose(rows: DataFrame, step: int, fan: int) -> DataFrame:
+def _loose(rows: DataFrame, step: int, fan: int, could_link: Filter) -> DataFrame:
     """Items outside the largest class of a bucket, with up to ``fan`` members of their fullest such bucket."""
     sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mains = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("members"), F.count("*").alias("classes")).where("classes > 1")
     loose = rows.join(mains, "bucket").where(F.col("label") != F.col("main.label"))
-    chosen = loose.groupBy("id", "label").agg(F.max(F.struct("members", "bucket"))["bucket"].alias("bucket"))
+    chosen = loose.groupBy("id", "label").agg(F.max(F.struct("members", "bucket", "place")).alias("best")).select("id", "label", "best.bucket", "best.place")
     slot = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(fan)).alias("slot")
-    item = F.struct(F.xxhash64("id", F.lit(-step)).alias("order"), "id", "label")
+    item = F.struct(F.xxhash64("id", F.lit(-step)).alias("order"), "id", "label", "place")
     met = rows.where("lead").join(chosen.select("bucket").distinct(), "bucket", "left_semi")
-    leaders = met.groupBy("bucket", slot).agg(F.min(item).alias("leader")).select("bucket", F.col("leader.id").alias("other"), F.col("leader.label").alias("other_label"))
-    return _ordered(chosen.join(leaders, "bucket").where("label != other_label"))
+    leaders = met.groupBy("bucket", slot).agg(F.min(item).alias("leader")).select("bucket", F.col("leader.id").alias("other"), F.col("leader.label").alias("other_label"), F.col("leader.place").alias("other_place"))
+    differ = (F.col("label") != F.col("other_label")) & could_link(F.col("place"), F.col("other_place"))
+    return _ordered(chosen.join(leaders, "bucket").where(differ))
 
 
 def _rest(rows: DataFrame, could_link: Filter) -> DataFrame:

@@ -74,6 +74,18 @@ def test_segment_probes_miss_no_pair():
         assert own & {(other, i, long[at : at + n]) for other, i, at, n, _ in linededup.probes(len(long), k)}
 
 
+def test_signatures_never_part_a_pair(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(300):
+        a = "".join(rng.choice("abcdefé𝄞") for _ in range(rng.randrange(3, 60)))
+        b = edited(rng, a, 2)
+        rows.append((len(a), linededup.signature(a), len(b), linededup.signature(b)))
+    rows = spark.createDataFrame(rows, "la long, sa long, lb long, sb long")
+    side = lambda k: F.struct(F.col(f"l{k}").alias("length"), F.col(f"s{k}").alias("signature"))
+    assert rows.where(~linededup.edit_filter(2)(side("a"), side("b"))).count() == 0
+
+
 def line_brute(texts, k, least):
     """Dropped line numbers per document by comparing all pairs of long lines."""
     where = [(d, n, raw.strip(linededup.EDGES)) for d, t in enumerate(texts) if t is not None for n, raw in enumerate(t.split("\n"))]
