@@ -32,7 +32,7 @@ from .store import written
 from .tokenizing import text_batches
 
 VOCABULARY_BITS, MIN_PAIRS, BACKOFF = 20, 2, 0.4
-SHARD_CHARS, BUCKET_WORDS = 16_000_000, 8_000_000
+SHARD_CHARS, BUCKET_WORDS = 8_000_000, 2_000_000
 SHARD = "shard long, n long, docs binary, sizes binary, words binary"
 
 
