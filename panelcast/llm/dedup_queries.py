@@ -27,16 +27,16 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 OP10_SQL = f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
-), s AS (
+), s AS MATERIALIZED (
   SELECT doc_id, words, CASE WHEN len(words) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(words) < {SHINGLE_WORDS} THEN [array_to_string(words, ' ')]
     ELSE list_distinct(list_transform(range(1, len(words) - {SHINGLE_WORDS - 2}), lambda i: array_to_string(words[i:i + {SHINGLE_WORDS - 1}], ' '))) END AS grams FROM w
-), n AS (SELECT doc_id, len(grams) AS n FROM s
-), g AS (SELECT doc_id, unnest(grams) AS gram FROM s
-), rare AS (SELECT gram FROM g GROUP BY gram HAVING count(*) > 1
+), n AS MATERIALIZED (SELECT doc_id, len(grams) AS n FROM s
+), g AS MATERIALIZED (SELECT doc_id, unnest(grams) AS gram FROM s
+), shared AS (SELECT gram, row_number() OVER () AS k FROM g GROUP BY gram HAVING count(*) > 1
+), gk AS MATERIALIZED (SELECT doc_id, k FROM g JOIN shared USING (gram)
 ), common AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id
-  WHERE x.gram IN (SELECT gram FROM rare) GROUP BY ALL
-), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM gk x JOIN gk y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
   SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= {SIMILAR_PERCENT} * (p.n + q.n - c)
 ), reach AS (
   SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a
