@@ -1,16 +1,19 @@
-"""Stupid-backoff scores of documents under a bigram model of the whole corpus.
-
-A word given the word before it scores count(pair) / count(before) if the pair
-occurs at least twice in the corpus, else 0.4 times its share of all words; a
-document's score is the sum of the natural logarithms over its words.
-
-The vocabulary is the most frequent words, at most 2**20 of them (a bound on what
-is sent to the tasks); all other words share one entry. Documents are encoded
-into shards of a bounded number of words. A shard reduces its pairs to distinct
-ones, sorted, and sends them to buckets by hash; a bucket adds the shards' counts
-up and answers each shard in the order it asked, so a frequent pair costs one
-entry per shard, never one per occurrence. The answers meet the shard again and
-are summed per document.
+"""Stupid-backoff scores of documents under an n-gram model of the whole corpus.
+
+A word given the words before it scores count(n-gram) / count(context) if the
+n-gram occurs at least twice in the corpus, else 0.4 times its score given one
+word less, down to its share of all words; a document's score is the sum of the
+natural logarithms over its words. The order is two unless asked for otherwise.
+
+There is no vocabulary: words and n-grams are keyed by 64-bit hashes, so each
+keeps its own count however many there are (two of a billion n-grams share a key
+with a probability of about 3 %). Documents are encoded into shards of a bounded
+number of characters. A shard reduces the n-grams of every order to distinct
+ones, sorted, and sends them to buckets by ranges of the hash; a bucket adds the
+shards' counts up and answers each shard in the order it asked, so a frequent
+n-gram costs one entry per shard, never one per occurrence. The answers meet the
+shard again and are summed per document. The driver learns one number, the count
+of all words.
 
 Rows: null and blank texts have no words, score 0; equal doc_ids are separate
 rows; an empty table gives no rows; other columns are ignored.
@@ -31,9 +34,10 @@ from pyspark.sql import DataFrame, functions as F
 from .store import written
 from .tokenizing import text_batches
 
-VOCABULARY_BITS, MIN_PAIRS, BACKOFF = 20, 2, 0.4
+ORDER, MIN_PAIRS, BACKOFF = 2, 2, 0.4
 SHARD_CHARS, BUCKET_WORDS = 8_000_000, 2_000_000
-SHARD = "shard long, n long, docs binary, sizes binary, words binary"
+SHARD = "shard long, n long, docs binary, sizes binary, hashes binary, words binary"
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -47,47 +51,8 @@ def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pc.not_equal(flat, "")), np.diff(real[bounds - bounds[0]])
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents, counted in the tasks first."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, chars=SHARD_CHARS):
-            found = word_lists(batch.column("text"))[0].value_counts()
-            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], ["word", "n"])
-
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(counts: DataFrame, bits: int = VOCABULARY_BITS) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted word hashes, their counts, and the number of all words.
-
-    The least count that keeps the vocabulary in bounds is read off a histogram
-    over logarithmic steps of the counts.
-    """
-    step = F.floor(F.log2("n") * 16).cast("int")
-    histogram = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
-    total, room, least = sum(r["n"] for r in histogram), 1 << bits, 0
-    for r in histogram:
-        room -= r["words"]
-        if room < 0:
-            least = r["step"] + 1
-            break
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests = np.fromiter(map(xxhash.xxh3_64_intdigest, batch.column("word").to_pylist()), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64)), batch.column("n")], ["hash", "n"])
-
-    # two numbers a word, 2**bits words at most
-    kept = counts.where(step >= least).select("word", "n").mapInArrow(hashed, "hash long, n long").toArrow()
-    hashes, numbers = kept.column("hash").to_numpy().view(np.uint64), kept.column("n").to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], numbers[order], total
-
-
-def encoded(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """Shards of documents as word numbers: 0 for words out of the vocabulary; written."""
-    known = docs.sparkSession.sparkContext.broadcast(hashes)
+def encoded(docs: DataFrame) -> DataFrame:
+    """Shards of documents: hashes of their distinct words, and every word as a number among them; written."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
@@ -95,95 +60,114 @@ def encoded(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
             words, sizes = word_lists(batch.column("text"))
             coded = words.dictionary_encode()
             own = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-            at = np.searchsorted(known.value, own)
-            hit = at < len(known.value)
-            hit[hit] = known.value[at[hit]] == own[hit]
-            numbers = np.where(hit, at + 1, 0).astype(np.uint32)[coded.indices.to_numpy()]
+            numbers = coded.indices.to_numpy().astype(np.uint32)
             docs_ = batch.column("doc_id")
             missing = docs_.is_null().to_numpy(zero_copy_only=False)
             ids = np.where(missing, -(2**63), pc.fill_null(docs_, 0).to_numpy()).astype(np.int64)
-            row = {"shard": task << 24 | made, "n": len(numbers), "docs": ids.tobytes(), "sizes": sizes.astype(np.int64).tobytes(), "words": numbers.tobytes()}
+            row = {"shard": task << 24 | made, "n": len(numbers), "docs": ids.tobytes(), "sizes": sizes.astype(np.int64).tobytes(), "hashes": own.tobytes(), "words": numbers.tobytes()}
             made += 1
-            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary())]))
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary()), ("words", pa.binary())]))
 
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, SHARD), "encoded")
 
 
-def _pairs(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of the pair that ends at each word, and which words have one."""
-    key = np.zeros(len(words), np.uint64)
-    key[1:] = words[:-1].astype(np.uint64) << np.uint64(32) | words[1:]
-    paired = np.ones(len(words), bool)
+def _grams(hashes: bytes, words: bytes, sizes: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys of the n-grams of each order that end at each word, and the number of words before it, ``order - 1`` at most."""
+    keys = [np.frombuffer(hashes, np.uint64)[np.frombuffer(words, np.uint32)]]
+    for _ in range(order - 1):
+        longer = keys[0].copy()
+        longer[1:] += (keys[-1][:-1] + np.uint64(1)) * MIX
+        keys.append(longer)
+    before = np.full(len(keys[0]), order - 1, np.int8)
     ends = np.cumsum(sizes)
-    paired[(ends - sizes)[sizes > 0]] = False
-    return key, paired
+    starts = (ends - sizes)[sizes > 0]
+    for n in range(order - 2, -1, -1):
+        at = starts + n
+        before[at[at < ends[sizes > 0]]] = n
+    return keys, before
+
+
+def _distinct(keys: list[np.ndarray], before: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sorted distinct keys, their place per n-gram, and their counts, by order."""
+    return [np.unique(k[before >= n], return_inverse=True, return_counts=True) for n, k in enumerate(keys)]
+
+
+def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bounds of the buckets, which are even ranges of the hash, in sorted keys."""
+    return np.searchsorted(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Bytes of the numbers, highest bytes together, so that zeros compress."""
+    return numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
 
 
-def _bucketed(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order that groups sorted keys by bucket, and the bounds of the buckets."""
-    place = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
-    order = np.argsort(place, kind="stable")
-    return order, np.searchsorted(place[order], np.arange(buckets + 1))
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def pair_counts(shards: DataFrame, buckets: int) -> DataFrame:
-    """(shard, bucket, totals): corpus counts of a shard's distinct pairs, in its own order."""
+def gram_counts(shards: DataFrame, buckets: int, order: int = ORDER) -> DataFrame:
+    """(shard, n, bucket, totals): corpus counts of a shard's distinct n-grams of n + 1 words, in its own order."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("shard", pa.int64()), ("steps", pa.binary()), ("counts", pa.binary())])
         for batch in batches:
-            for shard, sizes, words in zip(*(batch.column(c).to_pylist() for c in ("shard", "sizes", "words"))):
-                key, paired = _pairs(np.frombuffer(words, np.uint32), np.frombuffer(sizes, np.int64))
-                keys, n = np.unique(key[paired], return_counts=True)
-                order, bounds = _bucketed(keys, buckets)
-                for b in range(buckets):
-                    some = order[bounds[b] : bounds[b + 1]]
-                    if len(some):
-                        steps = np.diff(keys[some], prepend=np.uint64(0))
-                        yield pa.RecordBatch.from_pylist([{"bucket": b, "shard": shard, "steps": steps.tobytes(), "counts": n[some].astype(np.uint32).tobytes()}], schema=pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("steps", pa.binary()), ("counts", pa.binary())]))
+            for row in batch.to_pylist():
+                found = _distinct(*_grams(row["hashes"], row["words"], np.frombuffer(row["sizes"], np.int64), order))
+                for n, (keys, _, counts) in enumerate(found):
+                    bounds = _bounds(keys, buckets)
+                    for b in np.flatnonzero(np.diff(bounds)).tolist():
+                        part = slice(bounds[b], bounds[b + 1])
+                        steps = np.diff(keys[part], prepend=np.uint64(0))
+                        yield pa.RecordBatch.from_pylist([{"bucket": b, "n": n, "shard": row["shard"], "steps": _planes(steps), "counts": _planes(counts[part].astype(np.uint32))}], schema=kinds)
 
     def answer(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("shard")
-        keys = [np.cumsum(np.frombuffer(s, np.uint64)) for s in rows.column("steps").to_pylist()]
-        counts = [np.frombuffer(c, np.uint32) for c in rows.column("counts").to_pylist()]
+        keys = [np.cumsum(_numbers(s, np.uint64), dtype=np.uint64) for s in rows.column("steps").to_pylist()]
+        counts = [_numbers(c, np.uint32) for c in rows.column("counts").to_pylist()]
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(inverse, weights=np.concatenate(counts))[inverse].astype(np.uint32)
+        totals = np.bincount(inverse, weights=np.concatenate(counts))[inverse].astype(np.int64)
         ends = np.cumsum([len(k) for k in keys])
-        parts = [t.tobytes() for t in np.split(totals, ends[:-1])]
-        return pa.table({"shard": rows.column("shard"), "bucket": rows.column("bucket"), "totals": pa.array(parts, pa.binary())})
+        parts = [_planes(t) for t in np.split(totals, ends[:-1])]
+        return pa.table({"shard": rows.column("shard"), "n": rows.column("n"), "bucket": rows.column("bucket"), "totals": pa.array(parts, pa.binary())})
 
-    asked = shards.select("shard", "sizes", "words").mapInArrow(ask, "bucket int, shard long, steps binary, counts binary")
-    return written(asked.groupBy("bucket").applyInArrow(answer, "shard long, bucket int, totals binary"), "pair-counts")
+    asked = shards.select("shard", "sizes", "hashes", "words").mapInArrow(ask, "bucket int, n int, shard long, steps binary, counts binary")
+    return written(asked.groupBy("n", "bucket").applyInArrow(answer, "shard long, n int, bucket int, totals binary"), "gram-counts")
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_backoff (words without a frequent pair), log_score."""
-    counts = written(word_counts(docs), "word-counts")
-    hashes, known, total = vocabulary(counts)
-    numbers = np.concatenate(([max(0, total - int(known.sum()))], known)).astype(np.int64)
-    shards = encoded(docs, hashes)
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """Per document: doc_id, n_words, n_backoff (words whose longest n-gram isn't frequent), log_score."""
+    shards = encoded(docs)
+    total = shards.agg(F.sum("n")).first()[0] or 0
     buckets = total // BUCKET_WORDS + 1
-    answers = pair_counts(shards, buckets)
-    table = docs.sparkSession.sparkContext.broadcast(numbers)
+    answers = gram_counts(shards, buckets, order)
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"doc_id": [], "n_words": [], "n_backoff": [], "log_score": []}
         for row in left.to_pylist():
-            words, sizes = np.frombuffer(row["words"], np.uint32), np.frombuffer(row["sizes"], np.int64)
-            key, paired = _pairs(words, sizes)
-            keys, inverse = np.unique(key[paired], return_inverse=True)
-            order, bounds = _bucketed(keys, buckets)
-            totals = np.zeros(len(keys), np.int64)
-            for bucket, data in zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist()):
-                totals[order[bounds[bucket] : bounds[bucket + 1]]] = np.frombuffer(data, np.uint32)
-            pair = np.zeros(len(words), np.int64)
-            pair[paired] = totals[inverse]
-            alone = np.log(np.maximum(table.value[words], 1)) - math.log(max(total, 1))
-            before = np.log(np.maximum(table.value[np.concatenate(([0], words[:-1])).astype(np.int64)], 1)) if len(words) else alone
-            frequent = pair >= MIN_PAIRS
-            logs = np.where(frequent, np.log(np.maximum(pair, 1)) - before, alone + np.where(paired, math.log(BACKOFF), 0.0))
+            sizes = np.frombuffer(row["sizes"], np.int64)
+            keys, before = _grams(row["hashes"], row["words"], sizes, order)
+            told = [dict() for _ in range(order)]
+            for n, bucket, data in zip(*(right.column(c).to_pylist() for c in ("n", "bucket", "totals"))):
+                told[n][bucket] = _numbers(data, np.int64)
+            counts = []
+            for n, (_, inverse, _) in enumerate(_distinct(keys, before)):
+                held = np.zeros(row["n"], np.int64)
+                if len(inverse):
+                    held[before >= n] = np.concatenate([told[n][b] for b in sorted(told[n])])[inverse]
+                counts.append(held)
+            logs = np.log(np.maximum(counts[0], 1)) - math.log(max(total, 1))
+            frequent = np.ones(row["n"], bool)
+            for n in range(1, order):
+                context = np.log(np.maximum(np.concatenate(([0], counts[n - 1][:-1])), 1)) if row["n"] else logs
+                # words with fewer words before them keep what a shorter n-gram gave
+                longer, often = before >= n, counts[n] >= MIN_PAIRS
+                logs = np.where(longer, np.where(often, np.log(np.maximum(counts[n], 1)) - context, logs + math.log(BACKOFF)), logs)
+                frequent = np.where(longer, often, frequent)
             ends = np.concatenate(([0], np.cumsum(sizes)))
             sums = np.array([math.fsum(logs[a:b]) for a, b in zip(ends[:-1], ends[1:])])
-            misses = np.concatenate(([0], np.cumsum(paired & ~frequent)))
+            misses = np.concatenate(([0], np.cumsum(~frequent)))
             ids = np.frombuffer(row["docs"], np.int64)
             out["doc_id"] += [None if i == -(2**63) else i for i in ids.tolist()]
             out["n_words"] += sizes.tolist()

@@ -117,6 +117,39 @@ def test_scores_of_empty_and_repeated_rows(docs_of):
     assert len(backoff.score(docs_of(["a b", "a b"], [1, 1])).collect()) == 2
 
 
+def test_every_word_keeps_its_own_count(spark):
+    words = F.transform(F.sequence(F.col("id") * 110_000, F.col("id") * 110_000 + 109_999), lambda i: F.conv(i.cast("string"), 10, 36))
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    total = 1_100_000  # all distinct, more than 2**20
+    for row in backoff.score(docs).collect():
+        assert (row["n_words"], row["n_backoff"]) == (110_000, 109_999)
+        assert row["log_score"] == pytest.approx(110_000 * math.log(1 / total) + 109_999 * math.log(0.4))
+
+
+def trigram_brute(split, least=2):
+    grams = Counter(tuple(s[i : i + n]) for s in split for n in (1, 2, 3) for i in range(len(s) - n + 1))
+    total, out = sum(map(len, split)), []
+    for s in split:
+        score = misses = 0
+        for i in range(len(s)):
+            n = m = min(i + 1, 3)
+            while n > 1 and grams[tuple(s[i - n + 1 : i + 1])] < least:
+                n -= 1
+            score += math.log(grams[tuple(s[i - n + 1 : i + 1])] / (grams[tuple(s[i - n + 1 : i])] if n > 1 else total)) + (m - n) * math.log(0.4)
+            misses += n < m
+        out.append((len(s), misses, score))
+    return out
+
+
+def test_scores_of_order_three(docs_of, monkeypatch):
+    monkeypatch.setattr(backoff, "BUCKET_WORDS", 20)
+    texts = ["the cat sat on the mat", "the cat ran on the mat", None, "one", "on the", "the cat sat", "a b a b a b c", "x " * 50]
+    got = {r["doc_id"]: r for r in backoff.score(docs_of(texts), 3).collect()}
+    for i, (n, misses, score) in enumerate(trigram_brute([(t or "").split() for t in texts])):
+        assert (got[i]["n_words"], got[i]["n_backoff"]) == (n, misses)
+        assert got[i]["log_score"] == pytest.approx(score)
+
+
 def spans_brute(text):
     found = []
     for rank, rule in enumerate(blobscan.BASE):
