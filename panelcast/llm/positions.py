@@ -6,7 +6,8 @@ on over the shard's documents, with a gap no phrase can bridge. Postings of all
 training tokens are kept. A search reads the postings of terms that the items
 use, per shard, and intersects the lists of a window from the shard's rarest
 term on, each shifted by its offset in the window, until a list empties it.
-Proximity looks for the terms of a window near its rarest term, in any order.
+Proximity finds every least span that holds all terms of a window in any order,
+by a merge of the terms' lists around the places of the rarest one.
 
 Items are searched in blocks of bounded size; blocks only add rows.
 
@@ -85,12 +86,11 @@ def build_index(docs: DataFrame) -> DataFrame:
 
 
 class Windows:
-    """Windows of a block of items: term numbers per window, and the items they come from."""
+    """Windows of a block of items, and their sets of terms: term numbers, and the items they come from."""
 
     def __init__(self, items: list[tuple[int, str | None]], size: int):
         self.terms: dict[str, int] = {}
         found: dict[tuple[int, ...], set[int]] = {}
-        self.disjoint: set[tuple[int, ...]] = set()
         words, counts = word_lists(pa.array([t for _, t in items], pa.string()))
         flat, end = words.to_pylist(), 0
         for (item, _), count in zip(items, counts.tolist()):
@@ -100,9 +100,12 @@ class Windows:
             for i in range(len(own) - width + 1 if own else 0):
                 window = tuple(own[i : i + width])
                 found.setdefault(window, set()).add(item)
-                if i % width == 0:
-                    self.disjoint.add(window)
-        self.windows = [(np.array(w), sorted(i for i in items_), w in self.disjoint) for w, items_ in found.items()]
+        self.windows = [(np.array(w), sorted(items_)) for w, items_ in found.items()]
+        sets: dict[tuple[int, ...], set[int]] = {}
+        for window, items_ in found.items():
+            sets.setdefault(tuple(sorted(set(window))), set()).update(items_)
+        #: terms of windows in any order, for proximity
+        self.sets = [(np.array(t), sorted(items_)) for t, items_ in sets.items()]
 
 
 class Postings:
@@ -112,8 +115,9 @@ class Postings:
         self.lists: list[np.ndarray | None] = [None] * len(terms)
         for term, places in zip(batch.column("term").to_pylist(), batch.column("places").to_pylist()):
             if term in terms:
-                self.lists[terms[term]] = np.cumsum(np.frombuffer(places, "<i4"))
+                self.lists[terms[term]] = np.cumsum(np.frombuffer(places, "<i4"), dtype=np.int64)
         self.sizes = np.array([0 if x is None else len(x) for x in self.lists])
+        self.paired: dict[tuple[int, ...], np.ndarray] = {}
 
     def phrase(self, window: np.ndarray) -> np.ndarray:
         """Places where the window begins."""
@@ -127,32 +131,56 @@ class Postings:
                 break
         return starts
 
-    def near(self, window: np.ndarray, span: int) -> list[tuple[int, int]]:
-        """(first, last) place of spans around the rarest term that hold each term where it is nearest."""
-        terms = np.unique(window)
+    def near(self, terms: np.ndarray, span: int) -> list[tuple[int, int]]:
+        """(first, last) place of every least span of at most ``span`` words that holds all of the distinct terms."""
         order = terms[np.argsort(self.sizes[terms], kind="stable")]
-        anchor = self.lists[order[0]]
-        low, high = anchor.copy(), anchor.copy()
-        for term in order[1:]:
-            other = self.lists[term]
-            spot = np.searchsorted(other, anchor)
-            before, after = other[np.maximum(spot - 1, 0)], other[np.minimum(spot, len(other) - 1)]
-            nearest = np.where(np.abs(anchor - before) <= np.abs(after - anchor), before, after)
-            low, high = np.minimum(low, nearest), np.maximum(high, nearest)
-            inside = high - low < span
-            anchor, low, high = anchor[inside], low[inside], high[inside]
+        pair = tuple(order[:2].tolist())
+        if pair not in self.paired:
+            self.paired[pair] = self._beside(self.lists[pair[0]], pair[-1], span)
+        anchor = self.paired[pair]
+        for term in order[2:]:
             if not len(anchor):
-                break
-        return list(zip(low.tolist(), high.tolist()))
+                return []
+            anchor = self._beside(anchor, term, span)
+        if not len(anchor):
+            return []
+        # stretches of places that a span around an anchor can reach
+        apart = np.flatnonzero(np.diff(anchor) >= 2 * span - 1)
+        low = anchor[np.concatenate(([0], apart + 1))] - span + 1
+        high = anchor[np.concatenate((apart, [len(anchor) - 1]))] + span - 1
+        reached = []
+        for term in order:
+            other = self.lists[term]
+            first, last = np.searchsorted(other, low), np.searchsorted(other, high, side="right")
+            n = last - first
+            reached.append(other[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        places = np.concatenate(reached)
+        which = np.repeat(np.arange(len(order)), [len(r) for r in reached])
+        merged = np.argsort(places, kind="stable")
+        places, which = places[merged], which[merged]
+        # the shortest span that ends at a place begins at the term that was seen last the longest ago
+        begin = places.copy()
+        for t in range(len(order)):
+            begin = np.minimum(begin, np.maximum.accumulate(np.where(which == t, places, -(2**62))))
+        least = np.concatenate(([True], begin[1:] > begin[:-1])) & (places - begin < span)
+        return list(zip(begin[least].tolist(), places[least].tolist()))
+
+    def _beside(self, anchor: np.ndarray, term: int, span: int) -> np.ndarray:
+        """Anchors with a place of the term less than ``span`` away."""
+        other = self.lists[term]
+        spot = np.searchsorted(other, anchor - span + 1)
+        return anchor[(spot < len(other)) & (other[np.minimum(spot, len(other) - 1)] < anchor + span)]
 
 
 def search(index: DataFrame, items: DataFrame, size: int = 13, span: int | None = None) -> DataFrame:
     """Matches (shard, number, item_id, kind, start, stop): words start..stop of a document.
 
     ``phrase`` rows cover runs of overlapping window occurrences of an item;
-    ``near`` rows, asked for by ``span``, are spans of at most so many words that
-    hold all terms of one of the item's disjoint windows.
+    ``near`` rows, asked for by ``span``, cover runs of overlapping least spans of
+    at most so many words that hold all terms of one of the item's windows.
     """
+    if span and span > GAP:
+        raise ValueError(f"span is at most {GAP} words")
     spark = index.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -183,15 +211,19 @@ def _search_block(index: DataFrame, windows, span: int | None) -> DataFrame:
             postings, plan = Postings(windows.value.terms, left), windows.value
             hits: dict[int, list[tuple[int, int]]] = {}
             nears: dict[int, list[tuple[int, int]]] = {}
-            for window, owners, disjoint in plan.windows:
+            for window, owners in plan.windows:
                 if not postings.sizes[window].all():
                     continue
                 places = [(p, p + len(window)) for p in postings.phrase(window).tolist()]
-                near = [(a, b + 1) for a, b in postings.near(window, span)] if span and disjoint else []
-                for item in owners:
-                    if places:
+                if places:
+                    for item in owners:
                         hits.setdefault(item, []).extend(places)
-                    if near:
+            for terms, owners in plan.sets if span else []:
+                if not postings.sizes[terms].all():
+                    continue
+                near = [(a, b + 1) for a, b in postings.near(terms, span)]
+                if near:
+                    for item in owners:
                         nears.setdefault(item, []).extend(near)
             for kind, by_item in (("phrase", hits), ("near", nears)):
                 for item, spans in by_item.items():
@@ -220,7 +252,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, span: int |
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near.
 
     ``n_hit`` counts words inside any window occurrence; a document is
-    contaminated if they are at least one in ``parts_of``.
+    contaminated if they are at least one in ``parts_of``. ``n_near`` counts the
+    items with a ``near`` match, if ``span`` is given; the verdict leaves it out.
     """
     index = build_index(docs)
     matches = written(search(index, items, size, span), "matches")

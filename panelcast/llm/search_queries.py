@@ -9,6 +9,8 @@ from .registry import query
 from .store import table
 
 WINDOW = 13
+#: All terms of a window within twice its length count as near.
+SPAN = 2 * WINDOW
 
 OP8_SQL = f"""
 WITH d AS (
@@ -34,3 +36,9 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 @query("op8_benchmark_decontamination", OP8_SQL)
 def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return positions.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), WINDOW).drop("n_near")
+
+
+@query("op8_phrase_and_proximity")
+def phrase_and_proximity(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of op8_benchmark_decontamination, and ``n_near``: items whose terms lie close together, in any order."""
+    return positions.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), WINDOW, SPAN)

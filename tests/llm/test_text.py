@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -244,6 +245,38 @@ def test_proximity_finds_reordered_terms(spark, docs_of):
     assert {(r["number"], r["kind"], r["start"], r["stop"]) for r in found} == {(0, "near", 0, 4), (2, "near", 0, 3), (2, "phrase", 0, 3)}
 
 
+def near_brute(texts, items, size, span):
+    """(document, item) pairs with a stretch of ``span`` words that holds all terms of a window."""
+    found = set()
+    for doc, text in enumerate(texts):
+        words = text.split()
+        for item, passage in items:
+            own = passage.split()
+            width = min(size, len(own))
+            wanted = [set(own[i : i + width]) for i in range(len(own) - width + 1)]
+            if any(w <= set(words[i : i + span]) for w in wanted for i in range(len(words))):
+                found.add((doc, item))
+    return found
+
+
+def test_proximity_against_plain_python(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(positions, "SHARD_CHARS", 400)
+    draw = random.Random(5)
+    texts = ["b x a x x b c", "p q r s t u v w", "w y v u"] + [" ".join(draw.choices("abcdefghij", [9, 8, 7, 6, 5, 4, 3, 2, 1, 1], k=draw.randint(5, 60))) for _ in range(60)]
+    items = [(1, "a b c"), (2, "m n o u v w"), *((i, " ".join(draw.choices("abcdefghij", k=draw.randint(1, 9)))) for i in range(3, 30))]
+    index = positions.build_index(docs_of(texts).coalesce(1))
+    for size, span in ((3, 5), (3, 6), (5, 8)):
+        rows = positions.search(index, spark.createDataFrame(items, "item_id long, text string"), size, span).where("kind = 'near'")
+        base = index.where("term IS NULL").select("shard", "number", "doc_id")
+        assert {(r["doc_id"], r["item_id"]) for r in rows.join(base, ["shard", "number"]).collect()} == near_brute(texts, items, size, span)
+
+
+def test_least_spans_of_one_shard(spark, docs_of):
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    found = positions.search(positions.build_index(docs_of(["b x a x x b c"]).coalesce(1)), items, 3, span=6).collect()
+    assert [(r["kind"], r["start"], r["stop"]) for r in found] == [("near", 2, 7)]
+
+
 CHAT = [
     (1, 0, "user", "How do I sort a list?\nPlease help me with it."),
     (1, 1, "assistant", "> How do I sort a list?\nUse the sorted function."),
