@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeats of long lines; those with nothing but repeats go."""
-    kept = linededup.dedup_lines(docs)
+    """Documents without equal lines of any length and near copies of long ones; those with nothing but repeats go."""
+    kept = linededup.dedup_lines(docs, exact_chars=1)
     emptied = (F.col("n_dropped") > 0) & (F.trim("text", F.lit(" \t\n\r")) == "")
     return _measured(kept.where(~emptied).drop("n_dropped"))
 

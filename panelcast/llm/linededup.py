@@ -10,8 +10,10 @@ Pairs that meet are verified by the banded bit-parallel edit distance; linked
 lines form a class, and only its first line, by doc_id and place, stays.
 
 Lines are compared without their outer blanks. Lines below ``min_chars`` are
-left alone: a few edits turn any short line into any other. Equal lines are one
-item from the start.
+not compared by edits: a few turn any short line into any other. Equal lines are
+one item from the start and need their hash alone: those of ``exact_chars`` and
+more are duplicates, of one character and more in op3 and the pipeline. Blank
+lines always stay.
 
 Rows: null texts have no lines and stay null; rows with equal doc_id are told
 apart by their order of text; an empty table gives no rows; other columns stay.
@@ -62,21 +64,21 @@ def line_id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def line_places(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Every long line: id, row_key, number in its text, chars."""
+def line_places(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
+    """Every line of ``exact_chars``: id, row_key, number in its text, chars, and whether edits count."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, ids, numbers, chars = [], [], [], []
+            rows, ids, numbers, chars, long = [], [], [], [], []
             for row, text in enumerate(batch.column("text")):
                 for number, raw in enumerate((text.as_py() or "").split("\n")):
                     line = raw.strip(EDGES)
-                    if len(line) >= min_chars:
-                        rows.append(row), ids.append(line_id(line)), numbers.append(number), chars.append(len(raw))
+                    if len(line) >= exact_chars:
+                        rows.append(row), ids.append(line_id(line)), numbers.append(number), chars.append(len(raw)), long.append(len(line) >= min_chars)
             keys = batch.column("row_key").take(pa.array(rows, pa.int64())).cast(KEY_TYPE)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), keys, pa.array(numbers, pa.int32()), pa.array(chars, pa.int64())], ["id", "row_key", "number", "chars"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), keys, pa.array(numbers, pa.int32()), pa.array(chars, pa.int64()), pa.array(long, pa.bool_())], ["id", "row_key", "number", "chars", "long"])
 
-    return docs.select("row_key", "text").mapInArrow(emit, "id long, row_key struct<doc_id:long,twin:long>, number int, chars long")
+    return docs.select("row_key", "text").mapInArrow(emit, "id long, row_key struct<doc_id:long,twin:long>, number int, chars long, long boolean")
 
 
 def line_buckets(docs: DataFrame, k: int, min_chars: int) -> DataFrame:
@@ -161,7 +163,7 @@ def edit_filter(k: int):
     def could_link(x: Column, y: Column) -> Column:
         apart = F.lit(0)
         for shift in range(0, 64, 4):
-            step = (F.shiftright(x["signature"], shift) - F.shiftright(y["signature"], shift)).bitwiseAND(15)
+            step = (F.shiftright(x["signature"], shift).bitwiseAND(15) - F.shiftright(y["signature"], shift).bitwiseAND(15)).bitwiseAND(15)
             apart = apart + F.least(step, 16 - step)
         return (F.abs(x["length"] - y["length"]) <= k) & (apart <= 2 * k)
 
@@ -177,9 +179,10 @@ def verified(k: int):
     return verify
 
 
-def duplicate_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Long lines (row_key, number, chars, dropped) of keyed documents."""
-    lines = written(line_places(docs, min_chars), "lines")
+def duplicate_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+    """Lines (row_key, number, chars, long, dropped) of keyed documents; those below ``exact_chars``, by default ``min_chars``, are left out."""
+    least = min_chars if exact_chars is None else min(max(1, exact_chars), min_chars)
+    lines = written(line_places(docs, min_chars, least), "lines")
     postings = shared_buckets(line_buckets(docs, k, min_chars), "segments")
     texts = written(line_texts(docs, min_chars, postings.select("id").distinct()), "line-texts")
 
@@ -191,18 +194,18 @@ def duplicate_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CH
     place = F.struct(F.col("place").alias("length"), "signature")
     marked = postings.join(texts.select("id", "signature"), "id").withColumn("place", place).drop("signature")
     labels = link_classes(written(marked, "segments"), verify, edit_filter(k))
-    classed = lines.join(labels, "id", "left").select(F.coalesce("label", "id").alias("class"), "row_key", "number", "chars")
+    classed = lines.join(labels, "id", "left").select(F.coalesce("label", "id").alias("class"), "row_key", "number", "chars", "long")
     # written, so that the join can split a line that holds a large share of the rows
     first = written(classed.groupBy("class").agg(F.min(F.struct("row_key", "number")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first-lines")
     found = classed.join(first, "class", "left")
     dropped = F.coalesce(F.struct("row_key", "number") != F.col("first"), F.lit(False))
-    return found.select("row_key", "number", "chars", dropped.alias("dropped"))
+    return found.select("row_key", "number", "chars", "long", dropped.alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """Documents without near-duplicate lines; ``n_dropped`` tells how many went."""
     own = keyed(docs)
-    gone = duplicate_lines(own, k, min_chars).where("dropped").groupBy("row_key").agg(F.collect_set("number").alias("gone"))
+    gone = duplicate_lines(own, k, min_chars, exact_chars).where("dropped").groupBy("row_key").agg(F.collect_set("number").alias("gone"))
     joined = own.join(gone, "row_key", "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

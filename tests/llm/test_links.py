@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.llm import editdistance, jaccard, linededup, linking
+from panelcast.llm.queries import QUERIES
 
 
 def components_of(n, links):
@@ -86,6 +87,12 @@ def test_signatures_never_part_a_pair(spark):
     assert rows.where(~linededup.edit_filter(2)(side("a"), side("b"))).count() == 0
 
 
+def test_signatures_of_opposite_sign(spark):
+    rows = spark.createDataFrame([(40, 2**63 - 1, 40, -(2**63))], "la long, sa long, lb long, sb long")
+    side = lambda k: F.struct(F.col(f"l{k}").alias("length"), F.col(f"s{k}").alias("signature"))
+    assert rows.where(linededup.edit_filter(2)(side("a"), side("b"))).count() == 0
+
+
 def line_brute(texts, k, least):
     """Dropped line numbers per document by comparing all pairs of long lines."""
     where = [(d, n, raw.strip(linededup.EDGES)) for d, t in enumerate(texts) if t is not None for n, raw in enumerate(t.split("\n"))]
@@ -123,6 +130,15 @@ def test_line_dedup_of_repeated_and_missing_ids(docs_of):
     assert linededup.dedup_lines(docs_of([])).count() == 0
 
 
+def test_equal_lines_of_every_length(docs_of, tmp_path):
+    docs = docs_of(["yes\n\n no\nyes", "no \n\n7", "7\nyet"])
+    out = {r["doc_id"]: (r["n_dropped"], r["text"]) for r in linededup.dedup_lines(docs, exact_chars=1).collect()}
+    assert out == {0: (1, "yes\n\n no"), 1: (1, "\n7"), 2: (1, "yet")}
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op3_line_dedup"](docs.sparkSession, str(tmp_path)).collect()}
+    assert rows == {0: (0, 1, "3"), 1: (0, 1, "0"), 2: (0, 1, "0")}
+
+
 def jaccard_brute(texts, n, percent):
     sets = [set(x.tolist()) for x in jaccard.shingles(pa.array(texts, pa.string()), n)]
     links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
