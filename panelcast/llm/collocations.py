@@ -154,7 +154,7 @@ def tile_counts(left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> tuple[n
 
 
 def pair_counts(sequences: DataFrame) -> DataFrame:
-    """(shard, i, j, n) of neighbouring units; written."""
+    """(shard, i, j, n) of neighbouring units."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +164,18 @@ def pair_counts(sequences: DataFrame) -> DataFrame:
                 i, j, n = tile_counts(units[both], units[both + 1], ids)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), row["shard"])), pa.array(i), pa.array(j), pa.array(n.astype(np.int64))], ["shard", "i", "j", "n"])
 
-    return written(sequences.mapInArrow(count, COUNTS), "pair-counts")
+    return sequences.mapInArrow(count, COUNTS)
+
+
+def frequent_pairs(counts: DataFrame, min_count: int) -> DataFrame:
+    """(shard, i, j, n, head) of pairs that are frequent over all shards, ``n`` their whole count, one row of each a head; written.
+
+    One shuffle serves the sum and the way back to the shards. A pair has a row per
+    shard at most.
+    """
+    pair = Window.partitionBy("i", "j")
+    summed = counts.withColumns({"n": F.sum("n").over(pair), "head": F.row_number().over(pair.orderBy("shard")) == 1})
+    return written(summed.where(F.col("n") >= min_count), "frequent-pairs")
 
 
 def _longer(rows: pa.Table, told: pa.Table) -> pa.Table:
@@ -184,8 +195,8 @@ def _longer(rows: pa.Table, told: pa.Table) -> pa.Table:
     return _sequence(rows.column("shard")[0].as_py(), found, told.column("id").to_numpy())
 
 
-def longer_sequences(sequences: DataFrame, counts: DataFrame, pairs: DataFrame) -> DataFrame:
-    told = counts.select("shard", "i", "j").join(pairs.select("i", "j", "id"), ["i", "j"]).withColumnRenamed("shard", "of")
+def longer_sequences(sequences: DataFrame, frequent: DataFrame, pairs: DataFrame) -> DataFrame:
+    told = frequent.select("shard", "i", "j").join(pairs.select("i", "j", "id"), ["i", "j"]).withColumnRenamed("shard", "of")
     met = sequences.groupBy("shard").cogroup(told.groupBy("of"))
     return written(met.applyInArrow(_longer, SEQUENCE), "sequences")
 
@@ -226,11 +237,14 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
     sequences, found = word_sequences(shards, words), []
     for size in range(2, max_words + 1):
         met = pair_counts(sequences)
-        pairs = ranked(met.groupBy("i", "j").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count), "i", "j")
+        if size < max_words:
+            frequent = frequent_pairs(met, min_count)
+            pairs = ranked(frequent.where("head").select("i", "j", "n"), "i", "j")
+            sequences = longer_sequences(sequences, frequent, pairs)
+        else:
+            pairs = ranked(met.groupBy("i", "j").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count), "i", "j")
         known = phrases(pairs, known, size)
         found.append(known)
-        if size < max_words:
-            sequences = longer_sequences(sequences, met, pairs)
     kept = [_uncovered(short, long, covered_percent) for short, long in zip(found, found[1:])] + found[-1:]
     rows = None
     for part in kept:
