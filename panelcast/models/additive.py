@@ -1,12 +1,15 @@
 """Additive seasonal model: piecewise-linear trend, Fourier seasons, regressors.
 
-Spark turns every row into a design array; tasks sum the outer products of their
-rows per series and segment of days. A fit needs nothing but those sums, so
+Spark brings the days and values of a series together, in the one exchange that the
+row positions need anyway; a task makes the design of its days and sums their outer
+products per segment of days. A fit needs nothing but those sums, so
 
-* the Python side solves small ridge systems on a few rows per series,
-* all validation folds share one pass: an expanding or rolling training set is
-  a sum of segments, never a copy of its rows,
-* all parameter sets share it too: they differ in penalties and active columns.
+* all validation folds share one pass: an expanding or rolling training set is a
+  difference of sums over segments, never a copy of its rows,
+* all parameter sets share it too: they differ in penalties and active columns,
+* predictions leave the same task, so fits are never joined to days.
+
+A series is never longer than the calendar, which bounds what a task holds.
 
 The multiplicative mode fits log(1 + y).
 """
@@ -15,21 +18,19 @@ from __future__ import annotations
 
 import itertools
 import json
-import math
 import random
 from collections.abc import Mapping, Sequence
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.dates import is_weekend
 from ..operators.keys import as_list
 from ..operators.ranking import row_positions
 from . import ridge
-from .baseline import HORIZON, Z95, extend
+from .baseline import HORIZON, Z95
 from .folds import TUNING, horizon_metrics, mean_over_horizons
-from .ridge import CHANGEPOINT_RANGE, CHANGEPOINTS, MIN_ROWS, SEASONS, fitter, summing, used_blocks
+from .ridge import MIN_ROWS, forecaster, mean_moments
 
 # Executors need not have this package installed: the solver travels with the job.
 cloudpickle.register_pickle_by_value(ridge)
@@ -70,77 +71,31 @@ GRID = {
 }
 GRID_SAMPLE, GRID_SEED = 20, 42
 
-def design_array(ds: Column, start: Column, end: Column, names: Sequence[str]) -> Column:
-    """Design columns of one day; the trend position runs from 0 to 1 over the history."""
-    position = F.datediff(ds, start) / F.greatest(F.datediff(end, start), F.lit(1))
-    terms = [F.lit(1.0), position]
-    for j in range(1, CHANGEPOINTS + 1):
-        terms.append(F.greatest(F.lit(0.0), position - CHANGEPOINT_RANGE * j / (CHANGEPOINTS + 1)))
-    day = F.unix_date(ds)
-    for name, (period, harmonics) in SEASONS.items():
-        for k in range(1, harmonics + 1) if name in names else ():
-            angle = day * (2 * math.pi * k / period)
-            terms += [F.sin(angle), F.cos(angle)]
-    if "regressors" in names:
-        terms += [is_weekend(ds).cast("double"), F.month(ds) / 12]
-    return F.array(*terms)
-
-
-def segment_sums(rows: DataFrame, segment: Column, names: Sequence[str], key: Key, ds: str, y: str) -> DataFrame:
-    """Outer-product sums of design and targets per series and segment.
-
-    Every batch is reduced inside its task, so what moves on is a fixed-size
-    array per segment. A segment cut by a batch border gives two partial sums.
-    """
-    keys = as_list(key)
-    whole = Window.partitionBy(*keys)
-    bounded = rows.withColumns({"_start": F.min(ds).over(whole), "_end": F.max(ds).over(whole), "_segment": segment})
-    target = F.col(y).cast("double")
-    full = F.concat(
-        design_array(F.col(ds), F.col("_start"), F.col("_end"), names),
-        F.array(target, F.log1p(F.greatest(target, F.lit(0.0)))),
-    )
-    arrays = bounded.filter(target.isNotNull()).select(*keys, "_segment", "_start", "_end", full.alias("_v"))
-    sums = StructType.fromDDL("_n long, _s array<double>")
-    return arrays.mapInArrow(summing(keys, names), StructType([*arrays.schema.fields[:-1], *sums.fields]))
-
-
-def fit(rows: DataFrame, segment: Column, param_sets: Mapping[str, Mapping], training: str = "full", span: int = 1, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
-    """Coefficients per series, fold and parameter set.
-
-    ``training`` tells which segments a fold sums: all of them (``full``),
-    those numbered at or above the fold (``expanding``, counted back from the
-    end), or ``span`` of them from the fold on (``rolling``).
-    """
-    keys = as_list(key)
-    fitted = StructType.fromDDL(
-        "fold int, params string, beta array<double>, sigma double, log_scale boolean, _start date, _end date"
-    )
-    schema = StructType([*[rows.schema[k] for k in keys], *fitted.fields])
-    sums = segment_sums(rows, segment, used_blocks(param_sets), keys, ds, y)
-    return sums.groupBy(*keys).applyInPandas(fitter(keys, param_sets, training, span), schema)
-
-
-def predict(days: DataFrame, param_sets: Mapping[str, Mapping], ds: str = "ds") -> DataFrame:
-    """Add yhat and a 95 % band to days that carry the coefficients of their fit."""
-    x = design_array(F.col(ds), F.col("_start"), F.col("_end"), used_blocks(param_sets))
-    linear = F.aggregate(F.zip_with(x, F.col("beta"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    scored = days.withColumn("_f", linear)
 
-    def level(value: Column) -> Column:
-        return F.when(F.col("log_scale"), F.expm1(value)).otherwise(value)
 
-    band = Z95 * F.col("sigma")
-    columns = {"yhat": level(F.col("_f")), "yhat_lower": level(F.col("_f") - band), "yhat_upper": level(F.col("_f") + band)}
-    return scored.withColumns(columns).drop("_f", "beta", "sigma", "log_scale", "_start", "_end")
+def _predicted(rows: DataFrame, segment: Column, fold: Column, step: Column, param_sets: Mapping[str, Mapping], training: str, span: int, key: Key, ds: str, y: str, ahead: int = 0) -> DataFrame:
+    """Key, ds, fold, step, actual, params, yhat and its 95 % band of all rows with a fold."""
+    keys = as_list(key)
+    wanted = rows.select(*keys, F.unix_date(ds).alias("day"), F.col(y).cast("double").alias("y"), segment.cast("int").alias("segment"), fold.cast("int").alias("fold"), step.cast("int").alias("step"))
+    types = StructType.fromDDL("ds date, fold int, step int, actual double, params string, yhat double, yhat_lower double, yhat_upper double")
+    task = forecaster(keys, param_sets, training, span, ahead, Z95)
+    out = wanted.groupBy(*keys).applyInArrow(task, StructType([*[wanted.schema[k] for k in keys], *types.fields]))
+    return out.withColumnRenamed("ds", ds)
 
 
 def forecast(series: DataFrame, periods: int = HORIZON, param_sets: Mapping[str, Mapping] | None = None, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
     """Forecast of all series for one or more parameter sets."""
     param_sets = param_sets or {"additive": FORECAST}
-    fits = fit(series, F.lit(0), param_sets, "full", 1, key, ds, y)
-    days = extend(fits.withColumn("_origin", F.col("_end")), periods, "_origin", ds)
-    return predict(days, param_sets, ds).select(*as_list(key), ds, "step", "yhat", "yhat_lower", "yhat_upper", F.col("params").alias("model"))
+    made = _predicted(series, F.lit(0), F.lit(None), F.lit(None), param_sets, "full", 1, key, ds, y, periods)
+    return made.select(*as_list(key), ds, "step", "yhat", "yhat_lower", "yhat_upper", F.col("params").alias("model"))
+
+
+def gram_means(series: DataFrame, names: Sequence[str] = ("base", "changepoint", "yearly", "weekly"), key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
+    """Per series the mean product of every pair (i <= j) of design columns, the target and its logarithm last."""
+    keys = as_list(key)
+    days = series.select(*keys, F.unix_date(ds).alias("day"), F.col(y).cast("double").alias("y")).where("y IS NOT NULL")
+    types = StructType.fromDDL("i long, j long, mean double")
+    return days.groupBy(*keys).applyInArrow(mean_moments(keys, names), StructType([*[days.schema[k] for k in keys], *types.fields]))
 
 
 def _back_position(series: DataFrame, key: Key, ds: str) -> tuple[DataFrame, Column]:
@@ -150,45 +105,35 @@ def _back_position(series: DataFrame, key: Key, ds: str) -> tuple[DataFrame, Col
 
 def cross_validate(series: DataFrame, param_sets: Mapping[str, Mapping], initial: int, period: int, horizon: int, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
     """Predictions of every test row by expanding fits at evenly spaced cut-offs."""
-    keys = as_list(key)
-    rows, left = _back_position(series, keys, ds)
-    segment = F.floor((left - horizon) / period).cast("int")
-    train = rows.filter(left >= horizon)
-    fits = fit(train, segment, param_sets, "expanding", 1, keys, ds, y)
+    rows, left = _back_position(series, key, ds)
+    segment = F.when(left >= horizon, F.floor((left - horizon) / period))
     # the fold whose cut-off lies 1..horizon days before the row
-    fold = F.when(left < horizon, 0).otherwise(F.ceil((left + 1 - horizon) / period)).cast("int")
-    ahead = (horizon + fold * period - left).cast("int")
-    tests = rows.withColumns({"fold": fold, "step": ahead}).filter((F.col("step") >= 1) & (F.col("step") <= horizon))
-    tests = tests.filter(F.col("n") - 1 - horizon - F.col("fold") * period >= initial)
-    scored = predict(tests.select(*keys, ds, "fold", "step", F.col(y).alias("actual")).join(fits, [*keys, "fold"]), param_sets, ds)
+    fold = F.when(left < horizon, 0).otherwise(F.ceil((left + 1 - horizon) / period))
+    ahead = horizon + fold * period - left
+    tested = (ahead >= 1) & (ahead <= horizon) & (F.col("n") - 1 - horizon - fold * period >= initial)
+    scored = _predicted(rows, segment, F.when(tested, fold), ahead, param_sets, "expanding", 1, key, ds, y)
     return scored.withColumn("cutoff", F.date_sub(ds, F.col("step")))
 
 
-def holdout(series: DataFrame, test_rows: int = 30, params: Mapping | None = None, min_train: int = MIN_ROWS, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
-    """Predictions of the last rows from a fit on the rows before them."""
-    keys = as_list(key)
-    rows, left = _back_position(series, keys, ds)
+def holdout(series: DataFrame, test_rows: int = 30, param_sets: Mapping[str, Mapping] | None = None, min_train: int = MIN_ROWS, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
+    """Predictions of the last rows from fits on the rows before them, one for each parameter set."""
+    rows, left = _back_position(series, key, ds)
     rows = rows.filter(F.col("n") >= test_rows + min_train)
-    chosen = {"additive": params or FORECAST}
-    fits = fit(rows.filter(left >= test_rows), F.lit(0), chosen, "full", 1, keys, ds, y)
-    tests = rows.filter(left < test_rows).select(*keys, ds, F.col(y).alias("actual"))
-    return predict(tests.join(fits.drop("fold"), keys), chosen, ds)
+    tested = left < test_rows
+    scored = _predicted(rows, F.when(~tested, 0), F.when(tested, 0), test_rows - left, param_sets or {"additive": FORECAST}, "full", 1, key, ds, y)
+    return scored.select(*as_list(key), ds, "step", "actual", "params", "yhat", "yhat_lower", "yhat_upper")
 
 
 def rolling_backtest(series: DataFrame, window: int, step: int, horizon: int, params: Mapping | None = None, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
     """Predictions of fixed-length training windows; the window must be a multiple of the step."""
     if window % step or step < horizon:
         raise ValueError("the window must be a multiple of the step, and the step not below the horizon")
-    keys = as_list(key)
-    rows = row_positions(series, keys, ds).filter(F.col("n") >= window + 30)
+    rows = row_positions(series, key, ds).filter(F.col("n") >= window + 30)
     r, n = F.col("r"), F.col("n")
-    chosen = {"additive": params or BACKTEST}
-    fits = fit(rows, F.floor(r / step).cast("int"), chosen, "rolling", window // step, keys, ds, y)
     past = r - window
     opened = past - past % step
-    tests = rows.filter((past >= 0) & (past % step < horizon) & (opened < n - window - horizon))
-    tests = tests.select(*keys, ds, (opened / step).cast("int").alias("fold"), (past % step + 1).cast("int").alias("step"), F.col(y).alias("actual"))
-    scored = predict(tests.join(fits, [*keys, "fold"]), chosen, ds)
+    tested = (past >= 0) & (past % step < horizon) & (opened < n - window - horizon)
+    scored = _predicted(rows, F.floor(r / step), F.when(tested, opened / step), past % step + 1, {"additive": params or BACKTEST}, "rolling", window // step, key, ds, y)
     return scored.withColumn("cutoff", F.date_sub(ds, F.col("step")))
 
 

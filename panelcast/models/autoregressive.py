@@ -152,3 +152,17 @@ def holdout_forecast(series: DataFrame, test_rows: int = LAST_ROWS, min_train: i
     tests = marked.filter(F.col("r") >= first_test).join(fits, keys)
     step = F.col("r") - first_test + 1
     return tests.select(*keys, ds, F.col(y).alias("actual"), many_steps((1, 0), step).alias("yhat"))
+
+
+def selected_holdout(series: DataFrame, test_rows: int = LAST_ROWS, min_train: int = 30, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
+    """Predictions of the last rows by the order that fits the rows before them best; the test rows take no part in the choice."""
+    keys = as_list(key)
+    marked = row_positions(series, keys, ds).filter(F.col("n") >= test_rows + min_train)
+    first_test = F.col("n") - test_rows
+    train = marked.filter(F.col("r") < first_test).drop("r", "n")
+    fits = fit_autoregressions(train, keys, ds, y)
+    chosen = fits.drop("n").join(select_order(train, keys, ds, y, fits), keys)
+    tests = marked.filter(F.col("r") >= first_test).join(chosen, keys)
+    step = F.col("r") - first_test + 1
+    yhat = F.coalesce(*[F.when(F.col("model") == _name(o), many_steps(o, step)) for o in ORDERS])
+    return tests.select(*keys, ds, step.cast("int").alias("step"), F.col(y).alias("actual"), yhat.alias("yhat"), F.col("model").alias("order"))

@@ -1,12 +1,11 @@
-"""What runs inside tasks for the additive model: sums of outer products and ridge solves."""
+"""What runs inside tasks for the additive model: designs, sums of outer products and ridge solves."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 # Trend change points and the share of the history they cover,
@@ -17,8 +16,6 @@ MIN_ROWS = 30
 # Assumed noise variance of a series scaled to 1; turns prior scales into penalties.
 NOISE = 0.01
 
-FULL_FIT = -1
-
 
 def used_blocks(param_sets: Mapping[str, Mapping]) -> tuple[str, ...]:
     """Column blocks any of the parameter sets asks for; the others are never computed."""
@@ -41,22 +38,24 @@ def width(names: Sequence[str]) -> int:
     return max(r.stop for r in column_ranges(names).values())
 
 
-def summing(keys: list[str], names: Sequence[str]):
-    """Outer-product sums of the rows of a batch, one row per series and segment."""
-    size = width(names) + 2
-    upper = np.triu_indices(size)
+def design(days: np.ndarray, start: int, end: int, names: Sequence[str]) -> np.ndarray:
+    """Design rows of days since 1970; the trend position runs from 0 to 1 over the history."""
+    position = (days - start) / max(end - start, 1)
+    terms = [np.ones(len(days)), position]
+    terms += [np.maximum(0.0, position - CHANGEPOINT_RANGE * j / (CHANGEPOINTS + 1)) for j in range(1, CHANGEPOINTS + 1)]
+    for name, (period, harmonics) in SEASONS.items():
+        for k in range(1, harmonics + 1) if name in names else ():
+            angle = days * (2 * math.pi * k / period)
+            terms += [np.sin(angle), np.cos(angle)]
+    if "regressors" in names:
+        # day 0 was a Thursday
+        terms += [((days + 3) % 7 >= 5).astype(float), days.astype("datetime64[D]").astype("datetime64[M]").astype(np.int64) % 12 / 12 + 1 / 12]
+    return np.column_stack(terms)
 
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column("_v").flatten().to_numpy().reshape(-1, size)
-            ids = batch.select([*keys, "_segment", "_start", "_end"])
-            groups = list(ids.select([*keys, "_segment"]).to_pandas().groupby([*keys, "_segment"], sort=False).indices.values())
-            sums = [(values[rows].T @ values[rows])[upper] for rows in groups]
-            out = ids.take(pa.array([rows[0] for rows in groups], pa.int64()))
-            out = out.append_column("_n", pa.array([len(rows) for rows in groups], pa.int64()))
-            yield out.append_column("_s", pa.array(sums, pa.list_(pa.float64())))
 
-    return combine
+def moments(days: np.ndarray, y: np.ndarray, start: int, end: int, names: Sequence[str]) -> np.ndarray:
+    """Design columns with the target and its logarithm behind them."""
+    return np.column_stack([design(days, start, end, names), y, np.log1p(np.maximum(y, 0.0))])
 
 
 def penalties(params: Mapping, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,57 +73,97 @@ def penalties(params: Mapping, names: Sequence[str]) -> tuple[np.ndarray, np.nda
     return penalty, active
 
 
-def solve(gram: np.ndarray, n: float, params: Mapping, names: Sequence[str]) -> tuple[list[float], float]:
+def solve(grams: np.ndarray, counts: np.ndarray, params: Mapping, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and residual deviation for a stack of Gram matrices."""
     size = width(names)
     target = size + (params["seasonality_mode"] == "multiplicative")
     penalty, active = penalties(params, names)
     picked = np.flatnonzero(active)
-    system = gram[np.ix_(picked, picked)] + np.diag(penalty[picked])
-    beta = np.zeros(size)
-    beta[picked] = np.linalg.solve(system, gram[picked, target])
-    squared = gram[target, target] - 2 * beta @ gram[:size, target] + beta @ gram[:size, :size] @ beta
-    return beta.tolist(), math.sqrt(max(squared, 0.0) / max(n, 1.0))
-
-
-def fitter(keys: list[str], param_sets: Mapping[str, Mapping], training: str, span: int):
-    """Solver for one series: its segments in, one coefficient row per fold and parameter set out."""
-    names = used_blocks(param_sets)
-    size = width(names) + 2
-    upper = np.triu_indices(size)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_segment")
-        segments, counts = pdf["_segment"].to_numpy(), pdf["_n"].to_numpy(dtype=float)
-        sums = np.stack(pdf["_s"].to_numpy())
-        out = []
-        for fold in _folds(segments, training, span):
-            chosen = _training_segments(segments, fold, training, span)
-            n = counts[chosen].sum()
-            if n < MIN_ROWS:
-                continue
-            gram = np.zeros((size, size))
-            gram[upper] = sums[chosen].sum(axis=0)
-            gram = gram + np.triu(gram, 1).T
-            for name, params in param_sets.items():
-                beta, sigma = solve(gram, n, params, names)
-                log_scale = params["seasonality_mode"] == "multiplicative"
-                ids = [pdf[k].iloc[0] for k in keys]
-                out.append((*ids, int(fold), name, beta, sigma, log_scale, pdf["_start"].iloc[0], pdf["_end"].iloc[0]))
-        return pd.DataFrame(out, columns=[*keys, "fold", "params", "beta", "sigma", "log_scale", "_start", "_end"])
-
-    return fit
-
-
-def _folds(segments: np.ndarray, training: str, span: int) -> list[int]:
+    systems = grams[:, picked[:, None], picked] + np.diag(penalty[picked])
+    beta = np.zeros((len(grams), size))
+    beta[:, picked] = np.linalg.solve(systems, grams[:, picked, target][..., None])[..., 0]
+    squared = grams[:, target, target] - 2 * np.einsum("fi,fi->f", beta, grams[:, :size, target]) + np.einsum("fi,fij,fj->f", beta, grams[:, :size, :size], beta)
+    return beta, np.sqrt(np.maximum(squared, 0.0) / np.maximum(counts, 1.0))
+
+
+def fold_grams(rows: np.ndarray, segment: np.ndarray, training: str, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fold, rows it trains on, Gram matrix of them) of all folds with enough rows.
+
+    A fold trains on all rows (``full``), on the segments numbered at or above it
+    (``expanding``) or on ``span`` segments from it on (``rolling``): a difference of
+    sums over the segments from each number on.
+    """
+    last = int(segment.max(initial=-1))
+    if last < 0:
+        return np.zeros(0, int), np.zeros(0), np.zeros((0, rows.shape[1], rows.shape[1]))
+    sums, counts = np.zeros((last + 2, rows.shape[1], rows.shape[1])), np.zeros(last + 2)
+    order = np.argsort(segment, kind="stable")
+    bounds = np.searchsorted(segment[order], np.arange(last + 2))
+    for s in range(last, -1, -1):
+        part = rows[order[bounds[s] : bounds[s + 1]]]
+        sums[s], counts[s] = sums[s + 1] + part.T @ part, counts[s + 1] + len(part)
     if training == "full":
-        return [FULL_FIT]
-    last = int(segments.max())
-    return list(range(last + 1 if training == "expanding" else max(last - span + 2, 0)))
-
+        folds, ends = np.zeros(1, int), np.array([last + 1])
+    elif training == "expanding":
+        folds, ends = np.arange(last + 1), np.full(last + 1, last + 1)
+    else:
+        folds = np.arange(max(last - span + 2, 0))
+        ends = folds + span
+    n = counts[folds] - counts[ends]
+    kept = n >= MIN_ROWS
+    return folds[kept], n[kept], sums[folds[kept]] - sums[ends[kept]]
+
+
+def forecaster(keys: list[str], param_sets: Mapping[str, Mapping], training: str, span: int, ahead: int, z: float):
+    """Fits and predictions of one series, from its days alone.
+
+    Rows with a ``segment`` train, rows with a ``fold`` are predicted by the fit of that
+    fold. ``ahead`` adds the days behind the history, predicted by the only fit.
+    """
+    names = used_blocks(param_sets)
 
-def _training_segments(segments: np.ndarray, fold: int, training: str, span: int) -> np.ndarray:
-    if training == "full":
-        return np.ones(len(segments), dtype=bool)
-    if training == "expanding":
-        return segments >= fold
-    return (segments >= fold) & (segments < fold + span)
+    def run(series: pa.Table) -> pa.Table:
+        days, y, segment, fold, step = (series.column(c).to_pandas().to_numpy(float) for c in ("day", "y", "segment", "fold", "step"))
+        trained = ~np.isnan(segment)
+        start, end = (int(f(days[trained])) if trained.any() else 0 for f in (np.min, np.max))
+        used = trained & ~np.isnan(y)
+        folds, counts, grams = fold_grams(moments(days[used].astype(int), y[used], start, end, names), segment[used].astype(int), training, span)
+        tested = ~np.isnan(fold)
+        day, actual, of, at = days[tested].astype(int), y[tested], fold[tested].astype(int), step[tested]
+        if ahead:
+            future = np.arange(1, ahead + 1)
+            day, actual, of, at = end + future, np.full(ahead, np.nan), np.zeros(ahead, int), future.astype(float)
+        place = np.full(max(of.max(initial=-1), folds.max(initial=-1)) + 1, -1)
+        place[folds] = np.arange(len(folds))
+        known = place[of] >= 0 if len(of) else np.zeros(0, bool)
+        day, actual, of, at = day[known], actual[known], of[known], at[known]
+        x, own = design(day, start, end, names), place[of] if len(of) else of
+        parts = []
+        for name, params in param_sets.items() if len(day) else ():
+            beta, sigma = solve(grams, counts, params, names)
+            middle, band = np.einsum("ri,ri->r", x, beta[own]), z * sigma[own]
+            shown = np.expm1 if params["seasonality_mode"] == "multiplicative" else np.asarray
+            values = [pa.array(day, pa.int32()).cast(pa.date32()), pa.array(of, pa.int32()), pa.array(at.astype(np.int32)), pa.array(actual, from_pandas=True)]
+            values += [pa.array([name] * len(day), pa.string()), *(pa.array(shown(v)) for v in (middle, middle - band, middle + band))]
+            ids = series.select(keys).take(pa.array(np.zeros(len(day), np.int64)))
+            parts.append(pa.table([*ids.columns, *values], names=[*keys, *OUT]))
+        return pa.concat_tables(parts) if parts else pa.table([*series.select(keys).slice(0, 0).columns, *(pa.array([], t) for t in OUT.values())], names=[*keys, *OUT])
+
+    return run
+
+
+OUT = {"ds": pa.date32(), "fold": pa.int32(), "step": pa.int32(), "actual": pa.float64(), "params": pa.string(), "yhat": pa.float64(), "yhat_lower": pa.float64(), "yhat_upper": pa.float64()}
+
+
+def mean_moments(keys: list[str], names: Sequence[str]):
+    """Per series the mean products of all pairs of design and target columns."""
+
+    def run(series: pa.Table) -> pa.Table:
+        days, y = (series.column(c).to_numpy() for c in ("day", "y"))
+        rows = moments(days.astype(np.int64), y.astype(float), int(days.min()), int(days.max()), names)
+        i, j = np.triu_indices(rows.shape[1])
+        means = (rows.T @ rows / len(rows))[i, j]
+        ids = series.select(keys).take(pa.array(np.zeros(len(i), np.int64)))
+        return pa.table([*ids.columns, pa.array(i), pa.array(j), pa.array(means)], names=[*keys, "i", "j", "mean"])
+
+    return run

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..models import additive, autoregressive, baseline, ensemble, folds, trees, trend
+from ..models import additive, autoregressive, baseline, ensemble, folds, tournament, trees, trend
+from ..models.ridge import width
 from ..operators.features import numeric_features
-from ..sources import tables
+from ..sources import files, tables
+from .additive_sql import design_sql, fit_sql, predict_sql
 from .calendar import after_views
 from .joins import all_forecasts, holdout_scores
 from .registry import q6, query, rounded
-from .views import ar_steps, backtest_sql, with_views
+from .views import ERRORS, VIEWS, ar_steps, backtest_sql, with_views
 
 @query(
     "m01_mean_forecast",
@@ -30,17 +32,66 @@ def m01(spark, sf):
     return rounded(baseline.requested_forecast(tables.series(spark, sf), requests))
 
 
-@query("m02_additive_forecast")
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+AHEAD = "(SELECT CAST(range AS INTEGER) AS step FROM range(1, 15))"
+FORECAST_YHAT = predict_sql("(e + step)", additive.FORECAST)
+
+
+@query(
+    "m02_additive_forecast",
+    recursive(
+        after_views(
+            f"""SELECT location, e + step AS ds, CAST(step AS BIGINT) AS step, {q6(FORECAST_YHAT[0], 'yhat')}, {q6(FORECAST_YHAT[1], 'yhat_lower')}, {q6(FORECAST_YHAT[2], 'yhat_upper')}, 'additive' AS model
+                FROM a_fit, {AHEAD}""",
+            fit_sql("a", "series", additive.FORECAST),
+            "series",
+        )
+    ),
+)
 def m02(spark, sf):
     return rounded(additive.forecast(tables.series(spark, sf)))
 
 
-@query("m02_additive_holdout")
+@query(
+    "m02_additive_holdout",
+    recursive(
+        after_views(
+            f"""SELECT location, {", ".join(q6(c) for c in ("mae", "mse", "rmse"))}, {q6("least(mape0, 999)", "mape")}, {q6("smape")},
+                       {q6("greatest(0, least(100, 100 - CASE WHEN mape0 < 200 THEN mape0 ELSE smape END))", "accuracy")}, {q6("mean_actual")}, {q6("mean_predicted")}, non_zero_samples, test_days
+                FROM (SELECT location, {ERRORS.format(p="yhat")} FROM tested GROUP BY location)""",
+            "train AS (SELECT location, ds, y FROM positions WHERE r < n - 30 AND n >= 60),\n"
+            + fit_sql("a", "train", additive.FORECAST)
+            + f",\ntested AS (SELECT p.location, p.y AS actual, {predict_sql('p.ds', additive.FORECAST)[0]} AS yhat FROM positions p JOIN a_fit USING (location) WHERE p.r >= p.n - 30)",
+            "positions",
+        )
+    ),
+)
 def m02_holdout(spark, sf):
     scored = additive.holdout(tables.series(spark, sf))
     return rounded(folds.error_table(scored, "location"))
 
 
+DESIGN = ("base", "changepoint", "yearly", "weekly")
+
+
+@query(
+    "m02_gram_means",
+    with_views(
+        f"""SELECT location, i - 1 AS i, j - 1 AS j, {q6('avg(x[i] * x[j])', 'mean')} FROM (
+              SELECT location, {design_sql('ds', 's', 'e', DESIGN)} || [CAST(y AS DOUBLE), ln(1 + CAST(y AS DOUBLE))] AS x
+              FROM (SELECT location, ds, y, min(ds) OVER (PARTITION BY location) AS s, max(ds) OVER (PARTITION BY location) AS e FROM series)),
+              range(1, {width(DESIGN) + 3}) a(i), range(1, {width(DESIGN) + 3}) b(j) WHERE i <= j GROUP BY ALL""",
+        "series",
+    ),
+)
+def m02_gram(spark, sf):
+    """What a fit is made of: the mean products of the design columns and the target."""
+    return rounded(additive.gram_means(tables.series(spark, sf), DESIGN))
+
+
 @query(
     "m03_future_frame",
     with_views(
@@ -110,6 +161,30 @@ def m07(spark, sf):
     return rounded(autoregressive.best_autoregressive_forecast(tables.series(spark, sf)))
 
 
+# the same tables of the rows before the test rows
+TRAIN_SQL = ",\n".join(
+    [
+        "train AS (SELECT location, ds, y, n AS whole FROM positions WHERE r < n - 30 AND n >= 60)",
+        "train_fit AS (" + VIEWS["ar_fit"][1].replace("FROM series", "FROM train") + ")",
+        ORDER_SQL.replace("FROM series", "FROM train").replace("JOIN ar_fit", "JOIN train_fit"),
+    ]
+)
+
+
+@query(
+    "m07_selected_holdout",
+    after_views(
+        f"""SELECT location, p.ds, CAST(p.r - (p.n - 31) AS BIGINT) AS step, p.y AS actual, model AS order_chosen, {q6(MANY_SQL, 'yhat')}
+            FROM (SELECT *, r - (n - 31) AS step FROM positions WHERE r >= n - 30 AND n >= 60) p JOIN train_fit f USING (location) JOIN chosen USING (location)""",
+        TRAIN_SQL,
+        "positions",
+    ),
+)
+def m07_selected(spark, sf):
+    """The order is chosen on the rows before the test rows."""
+    return rounded(autoregressive.selected_holdout(tables.series(spark, sf)).withColumnRenamed("order", "order_chosen"))
+
+
 @query(
     "m08_stationarity",
     after_views(f"SELECT location, n_pairs, {q6('slope')}, {q6('t_stat')}, t_stat < -2.86 AS is_stationary FROM unit", UNIT_ROOT_SQL, "series"),
@@ -130,7 +205,18 @@ def m09(spark, sf):
     return rounded(ensemble.ensemble(all_forecasts(spark, sf)))
 
 
-@query("m09_additive_ensemble")
+@query(
+    "m09_additive_ensemble",
+    recursive(
+        after_views(
+            f"""SELECT location, ds, {q6('avg(yhat)', 'yhat')}, {q6('stddev_samp(yhat)', 'yhat_std')}, count(*) AS members,
+                       {q6('avg(yhat) - 1.96::DOUBLE * stddev_samp(yhat)', 'yhat_lower')}, {q6('avg(yhat) + 1.96::DOUBLE * stddev_samp(yhat)', 'yhat_upper')}
+                FROM ({" UNION ALL ".join(f"SELECT location, e + step AS ds, {predict_sql('(e + step)', p)[0]} AS yhat FROM {m}_fit, {AHEAD}" for m, p in additive.ENSEMBLE.items())}) GROUP BY location, ds""",
+            ",\n".join(fit_sql(m, "series", p) for m, p in additive.ENSEMBLE.items()),
+            "series",
+        )
+    ),
+)
 def m09_additive(spark, sf):
     """The three additive configurations combined; they share one pass over the data."""
     members = additive.forecast(tables.series(spark, sf), param_sets=additive.ENSEMBLE)
@@ -243,6 +329,21 @@ def m17(spark, sf):
     return rounded(ensemble.single_or_ensemble(single, folds.error_table(combined, "location")))
 
 
+def tournament_scores(spark, sf):
+    """Hold-out measures of all families, from one table of their predictions."""
+    return tournament.scores(files.checkpointed(tournament.predictions(tables.series(spark, sf)), "tournament"))
+
+
+@query("m16_tournament")
+def m16_tournament(spark, sf):
+    return rounded(ensemble.model_comparison(tournament_scores(spark, sf)))
+
+
+@query("m17_tournament")
+def m17_tournament(spark, sf):
+    return rounded(tournament.single_or_ensemble(tournament_scores(spark, sf)))
+
+
 @query("m19_polynomial_trend")
 def m19(spark, sf):
     daily = tables.daily(spark, sf).groupBy("ds").agg(F.sum("y").alias("y"))

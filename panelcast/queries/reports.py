@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..models import baseline, folds
+from ..models import baseline, folds, tournament
 from ..operators import relevance
 from ..operators.features import CATEGORY_FRAGMENTS, categorise
 from ..operators.keys import named
 from ..reports import summaries
 from ..sources import tables
 from .aggregates import CLASSES_SQL, CORRELATION_SQL, LONG_SQL, cv_scores, feature_frame, with_clause
+from .forecasts import tournament_scores
 from .joins import all_forecasts, holdout_scores
 from .registry import q6, query, rounded
 from .views import with_views
@@ -198,6 +199,22 @@ def q13(spark, sf):
     return rounded(summaries.key_figures(tables.series(spark, sf), holdout_scores(spark, sf)))
 
 
+@query("q11_tournament")
+def q11_tournament(spark, sf):
+    """Measures of every family and series, with the best of the series."""
+    return rounded(summaries.metrics_lookup(tournament_scores(spark, sf)).select("model", "location", "mae", "mape", "accuracy", "best_model"))
+
+
+@query("q12_tournament")
+def q12_tournament(spark, sf):
+    return rounded(tournament.accuracy_table(tournament_scores(spark, sf)))
+
+
+@query("q13_tournament")
+def q13_tournament(spark, sf):
+    return rounded(summaries.key_figures(tables.series(spark, sf), tournament_scores(spark, sf)))
+
+
 @query(
     "q14_alert_level",
     with_views(
@@ -234,6 +251,11 @@ def q16(spark, sf):
     return rounded(summaries.training_summary(holdout_scores(spark, sf), all_forecasts(spark, sf)))
 
 
+@query("q16_tournament")
+def q16_tournament(spark, sf):
+    return rounded(summaries.training_summary(tournament_scores(spark, sf), tournament.forecasts(tables.series(spark, sf))))
+
+
 @query(
     "s06_feature_groups",
     with_clause(

@@ -3,10 +3,10 @@ import json
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from panelcast.functions import metrics
-from panelcast.models import additive, autoregressive, baseline, boosting, ensemble, folds, ridge, trees, trend
+from panelcast.models import additive, autoregressive, baseline, boosting, ensemble, folds, ridge, tournament, trees, trend
 from panelcast.operators.features import numeric_features
 from panelcast.reports import summaries
 
@@ -142,18 +142,98 @@ def seasonal(n=800, seed=4):
     return (40 + 0.02 * t + weekly + 10 * np.sin(2 * np.pi * t / 365.25) + rng.normal(size=n)).round(3).tolist()
 
 
-def test_segment_fit_equals_direct_ridge(series_of):
-    y = seasonal(300)
-    df = series_of(a=y)
-    params = {**additive.FORECAST, "seasonality_mode": "additive"}
-    fit = additive.fit(df, F.lit(0), {"p": params}).first()
-    x = np.array([r[0] for r in df.orderBy("ds").select(additive.design_array(F.col("ds"), F.lit("2024-01-01").cast("date"), F.date_add(F.lit("2024-01-01").cast("date"), 299), ridge.used_blocks({"p": params}))).collect()])
-    penalty, active = ridge.penalties(params, ridge.used_blocks({"p": params}))
-    assert active.all()
-    xa = x[:, active]
-    expected = np.linalg.solve(xa.T @ xa + np.diag(penalty[active]), xa.T @ np.array(y))
-    fitted = xa @ np.array(fit.beta)[active]
-    assert np.abs(fitted - xa @ expected).max() < 1e-5
+def plain_design(days, start, end, names):
+    """The design of the additive model, day by day."""
+    rows = []
+    for day in days:
+        t = (day - start).days / max((end - start).days, 1)
+        row = [1.0, t, *(max(0.0, t - 0.8 * j / 11) for j in range(1, 11))]
+        number = (day - dt.date(1970, 1, 1)).days
+        for name, period, count in (("yearly", 365.25, 5), ("weekly", 7, 3), ("monthly", 30.5, 5), ("quarterly", 91.25, 8)):
+            for k in range(1, count + 1) if name in names else ():
+                row += [np.sin(2 * np.pi * k * number / period), np.cos(2 * np.pi * k * number / period)]
+        if "regressors" in names:
+            row += [float(day.weekday() >= 5), day.month / 12]
+        rows.append(row)
+    return np.array(rows)
+
+
+def test_holdout_equals_direct_ridge(series_of):
+    y, first = seasonal(300), dt.date(2024, 1, 1)
+    days = [first + dt.timedelta(days=i) for i in range(300)]
+    for mode in ("additive", "multiplicative"):
+        params = {**additive.FORECAST, "seasonality_mode": mode}
+        names = ridge.used_blocks({"p": params})
+        penalty, active = ridge.penalties(params, names)
+        assert active.all()
+        x, target = plain_design(days, first, days[269], names), np.array(y) if mode == "additive" else np.log1p(y)
+        beta = np.linalg.solve(x[:270].T @ x[:270] + np.diag(penalty), x[:270].T @ target[:270])
+        band = 1.96 * np.sqrt(np.mean((target[:270] - x[:270] @ beta) ** 2))
+        rows = additive.holdout(series_of(a=y), param_sets={"p": params}).orderBy("ds").collect()
+        shown = np.asarray if mode == "additive" else np.expm1
+        assert [r.yhat for r in rows] == pytest.approx(list(shown(x[270:] @ beta)), abs=1e-5)
+        assert [r.yhat_upper for r in rows] == pytest.approx(list(shown(x[270:] @ beta + band)), abs=1e-4)
+        assert [(r.step, r.actual) for r in rows] == [(i + 1, y[270 + i]) for i in range(30)]
+
+
+def exchanges(df):
+    import io
+    from contextlib import redirect_stdout
+
+    with redirect_stdout(io.StringIO()) as text:
+        df.explain("simple")
+    return text.getvalue().count("Exchange ")
+
+
+def test_fits_and_predictions_share_one_exchange(series_of, spark, tmp_path):
+    series_of(a=seasonal(260), b=seasonal(240)).write.parquet(str(tmp_path / "series"))
+    saved = spark.read.parquet(str(tmp_path / "series"))
+    sets = {"p": additive.COMPARISON, "q": additive.FORECAST}
+    assert exchanges(additive.forecast(saved, 14, sets)) == 1
+    assert exchanges(additive.holdout(saved, 30, sets)) == 1
+    assert exchanges(additive.cross_validate(saved, sets, **folds.CV)) == 1
+    assert exchanges(additive.rolling_backtest(saved, **folds.ROLLING)) == 1
+
+
+def test_short_and_gappy_series(series_of):
+    df = series_of(a=[None, *seasonal(100), None], b=[1.0] * 12, c=[None] * 40)
+    rows = additive.forecast(df, 3).collect()
+    assert {r.location for r in rows} == {"a"} and len(rows) == 3
+    assert all(np.isfinite([r.yhat, r.yhat_lower, r.yhat_upper]).all() for r in rows)
+    assert additive.forecast(df.limit(0), 3).count() == 0
+
+
+def test_gram_means(series_of):
+    y, first = seasonal(80), dt.date(2024, 1, 1)
+    days = [first + dt.timedelta(days=i) for i in range(80)]
+    x = np.column_stack([plain_design(days, first, days[-1], ("yearly", "weekly")), y, np.log1p(y)])
+    rows = additive.gram_means(series_of(a=y)).collect()
+    assert len(rows) == 30 * 31 // 2
+    assert max(abs(r["mean"] - (x[:, r["i"]] * x[:, r["j"]]).mean()) for r in rows) < 1e-8
+
+
+def test_tournament(series_of):
+    rng = np.random.default_rng(9)
+    walk = np.cumsum(rng.normal(size=300)) + 200
+    df = series_of(season=seasonal(400), walk=walk.tolist(), short=[3.0] * 40)
+    few = dict(list(additive.parameter_grid().items())[:3])
+    rows = tournament.predictions(df, param_sets=few).cache()
+    assert {(r.location, r.model) for r in rows.collect()} == {(k, m) for k in ("season", "walk") for m in tournament.MODELS}
+    assert rows.count() == 2 * 4 * 30
+    # what is tuned does not change with the values of the test rows
+    last = F.row_number().over(Window.partitionBy("location").orderBy(F.desc("ds"))) <= 30
+    other = tournament.predictions(df.withColumn("y", F.when(last, F.lit(1.0)).otherwise(F.col("y"))), param_sets=few)
+    same = lambda t: sorted((r.model, r.location, r.ds, r.yhat, r.choice or "") for r in t.collect())
+    assert same(rows) == same(other)
+    scored = tournament.scores(rows).cache()
+    best = {r.location: r.best_model for r in ensemble.best_model(scored).collect()}
+    assert best["season"] in (tournament.TUNED, tournament.COMBINED)
+    chosen = {r.location: r for r in tournament.single_or_ensemble(scored).collect()}
+    mape = {(r.location, r.model): r.mape for r in scored.collect()}
+    for k in ("season", "walk"):
+        assert chosen[k].mape == min(mape[k, tournament.TUNED], mape[k, tournament.COMBINED])
+    table = tournament.accuracy_table(scored).collect()
+    assert all((r["rank"] == 1) == (r.model == r.winner) for r in table)
 
 
 def test_expanding_folds_equal_separate_fits(series_of):
@@ -161,7 +241,7 @@ def test_expanding_folds_equal_separate_fits(series_of):
     scored = additive.cross_validate(series_of(a=y), {"p": additive.COMPARISON}, **folds.CV)
     assert scored.groupBy("cutoff").count().count() == 3
     last = scored.filter(F.col("fold") == 0).orderBy("ds").collect()
-    single = additive.holdout(series_of(a=y), 14, additive.COMPARISON).orderBy("ds").collect()
+    single = additive.holdout(series_of(a=y), 14, {"p": additive.COMPARISON}).orderBy("ds").collect()
     # the trend position is relative to the training span of each call, so agreement is close, not exact
     assert [r.ds for r in last] == [r.ds for r in single]
     assert max(abs(a.yhat - b.yhat) for a, b in zip(last, single)) < 1.0
@@ -182,10 +262,9 @@ def test_additive_beats_the_mean_on_seasonal_data(series_of):
 
 
 def test_additive_band_is_calibrated_on_the_fitted_days(series_of):
-    df = series_of(a=seasonal())
-    fits = additive.fit(df, F.lit(0), {"p": additive.FORECAST})
-    inside = additive.predict(df.join(fits, "location"), {"p": additive.FORECAST})
-    share = inside.agg(metrics.coverage(F.col("y"), F.col("yhat_lower"), F.col("yhat_upper"))).first()[0]
+    every = F.lit(0)
+    inside = additive._predicted(series_of(a=seasonal()), every, every, every, {"p": additive.FORECAST}, "full", 1, "location", "ds", "y")
+    share = inside.agg(metrics.coverage(F.col("actual"), F.col("yhat_lower"), F.col("yhat_upper"))).first()[0]
     assert 0.9 < share < 0.99
 
 
