@@ -20,10 +20,10 @@ long AS MATERIALIZED (UNPIVOT (SELECT location, ds, y, CAST(COLUMNS(* EXCLUDE (l
   ON COLUMNS(* EXCLUDE (location, ds, y)) INTO NAME feature VALUE x)"""
 CORRELATION = "CASE WHEN min(x) = max(x) OR min(y) = max(y) THEN 0.0 ELSE coalesce(abs(corr(x, y)), 0.0) END"
 CORRELATION_SQL = f"{LONG_SQL},\nc AS (SELECT feature, {CORRELATION} AS correlation FROM long GROUP BY feature)"
+# the bin of a value: the share of smaller values in tenths; the target's over all rows
 INFORMATION_SQL = f"""{LONG_SQL},
-ranges AS (SELECT feature, min(x) AS lo, max(x) AS hi, CAST(min(y) AS DOUBLE) AS ylo, CAST(max(y) AS DOUBLE) AS yhi FROM long GROUP BY feature),
-cells AS (SELECT feature, CASE WHEN hi > lo THEN least(9, floor((x - lo) / (hi - lo) * 10)) ELSE 0 END AS bx,
-  least(9, floor((CAST(y AS DOUBLE) - ylo) / (yhi - ylo) * 10)) AS by_ FROM long JOIN ranges USING (feature)),
+targets AS (SELECT location, ds, (rank() OVER (ORDER BY y) - 1) * 10 // count(*) OVER () AS by_ FROM f WHERE y IS NOT NULL),
+cells AS (SELECT feature, (rank() OVER (PARTITION BY feature ORDER BY x) - 1) * 10 // count(*) OVER (PARTITION BY feature) AS bx, by_ FROM long JOIN targets USING (location, ds)),
 joint AS (SELECT feature, bx, by_, count(*) AS n FROM cells GROUP BY ALL),
 shares AS (SELECT *, sum(n) OVER (PARTITION BY feature, bx) AS nx, sum(n) OVER (PARTITION BY feature, by_) AS ny, sum(n) OVER (PARTITION BY feature) AS nn FROM joint),
 mi AS (SELECT feature, sum(CAST(n AS DOUBLE) / nn * ln(CAST(n AS DOUBLE) * nn / (CAST(nx AS DOUBLE) * ny))) AS mutual_information FROM shares GROUP BY feature)"""

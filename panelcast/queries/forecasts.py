@@ -344,7 +344,31 @@ def m17_tournament(spark, sf):
     return rounded(tournament.single_or_ensemble(tournament_scores(spark, sf)))
 
 
-@query("m19_polynomial_trend")
+def trend_sql() -> str:
+    """Normal equations from power sums of the training days, solved stage by stage."""
+    solved = "sums"
+    for stage in trend.elimination(4):
+        solved = f"(SELECT *, {', '.join(f'{text} AS {name}' for name, text in stage.items())} FROM {solved})"
+    powers = [f"sum({trend.power('t', k)}::DOUBLE) AS p{k}" for k in range(7)] + [f"sum(label * {trend.power('t', k)}) AS q{k}" for k in range(4)]
+    yhat = " + ".join(f"c{k} * {trend.power('t', k)}" for k in range(4))
+    return with_views(
+        f"""SELECT ds, {q6('CAST(day AS DOUBLE)', 'day')}, {q6('label', 'actual')}, {q6(yhat, 'yhat')}, part FROM parts, {solved} s""",
+        "daily",
+    ).replace(
+        "\nSELECT ds, round",
+        f""",
+totals AS (SELECT ds, CAST(sum(y) AS DOUBLE) AS label FROM daily GROUP BY ds),
+span AS (SELECT min(ds) AS a, max(ds) AS b, max(ds) - min(ds) AS size FROM totals),
+numbered AS (SELECT ds, label, ds - a AS day, 0 AS future, size FROM totals, span UNION ALL SELECT b + k, NULL, size + k, 1, size FROM span, (SELECT CAST(range AS INTEGER) AS k FROM range(1, 11))),
+parts AS (SELECT *, CASE WHEN future = 1 THEN 'future' WHEN day < 922 THEN 'skipped' WHEN day < size + 1 - ceil((size + 1 - 922) * 0.07::DOUBLE) THEN 'train' ELSE 'test' END AS part,
+  CAST(2 * day - size AS DOUBLE) / greatest(size, 1) AS t FROM numbered),
+sums AS (SELECT {', '.join(powers)} FROM parts WHERE part = 'train')
+SELECT ds, round""",
+        1,
+    )
+
+
+@query("m19_polynomial_trend", trend_sql())
 def m19(spark, sf):
     daily = tables.daily(spark, sf).groupBy("ds").agg(F.sum("y").alias("y"))
     return rounded(trend.polynomial_trend(daily))
