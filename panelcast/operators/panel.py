@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dates import calendar_parts, is_weekend
 from .keys import add, as_list, lookup, series_window
@@ -182,21 +182,33 @@ def location_date_skeleton(df: DataFrame, location: str = "location", date: str
     return df.select(location).distinct().withColumn(date, F.explode(distinct_values(df, date)))
 
 
-def wide_by_day(df: DataFrame, ids: Sequence[str], value: str, ds: str = "ds") -> DataFrame:
-    """One column per day that occurs, named by its ISO text; the calendar bounds their number."""
-    text = F.date_format(ds, "yyyy-MM-dd")
-    return df.withColumn("_day", text).groupBy(*ids).pivot("_day").agg(F.sum(value))
+def day_positions(df: DataFrame, ds: str = "ds") -> DataFrame:
+    """(pos, ds): the days that occur, numbered from 0; the calendar bounds their number."""
+    days = df.select(F.col(ds).alias("ds")).where("ds IS NOT NULL").distinct()
+    return days.select((F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("ds")) - 1).alias("pos"), "ds")
 
 
-def column_sums(wide: DataFrame, ids: Sequence[str], name: str) -> DataFrame:
-    """Table with one column per ISO day to one summed row per day.
+def wide_by_day(df: DataFrame, ids: Sequence[str], value: str, days: DataFrame, ds: str = "ds") -> DataFrame:
+    """One row per id with an array of sums, one place per day of ``days``, null where there is none.
 
-    The sums are taken column by column first, so only one row is unrolled.
+    A wide table whose plan does not grow with the number of days. Every observed place
+    unrolls the gap behind it, the first one also the gap before it.
     """
-    days = [c for c in wide.columns if c not in ids]
-    sums = wide.agg(*[F.sum(f"`{d}`").alias(d) for d in days])
-    long = sums.unpivot([], [f"`{d}`" for d in days], "ds", name)
-    return long.withColumn("ds", F.to_date(F.replace("ds", F.lit("`"), F.lit(""))))
+    size = days.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).scalar()
+    placed = df.groupBy(*ids, F.col(ds).alias("ds")).agg(F.sum(value).alias("_v")).join(days, "ds").withColumn("_n", size)
+    w = Window.partitionBy(*ids).orderBy("pos")
+    low = F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise(F.col("pos"))
+    high = F.coalesce(F.lead("pos").over(w), F.col("_n")) - 1
+    spread = placed.withColumns({"_low": low, "_high": high}).withColumn("_p", F.explode(F.sequence("_low", "_high")))
+    cell = F.struct("_p", F.when(F.col("_p") == F.col("pos"), F.col("_v")).alias("v"))
+    return spread.groupBy(*ids).agg(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["v"]).alias("values"))
+
+
+def column_sums(wide: DataFrame, days: DataFrame, name: str) -> DataFrame:
+    """Sum of every place of a wide table, by its day; a task sends one row per day at most."""
+    cells = wide.select(F.posexplode("values").alias("pos", "_v"))
+    sums = cells.groupBy("pos").agg(F.sum("_v").alias(name))
+    return days.join(sums, "pos").select("ds", name)
 
 
 def ratio_by_day(part: DataFrame, whole: DataFrame, part_name: str, whole_name: str, name: str) -> DataFrame:

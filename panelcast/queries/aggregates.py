@@ -293,9 +293,10 @@ def cv_scores(spark, sf):
         GROUP BY ds""",
 )
 def a21(spark, sf):
-    """Column sums of two wide tables (one column per day) and their ratio."""
+    """Sums by day of two wide tables (one place per day) and their ratio."""
     lines = tables.table(spark, sf, "lineitem").withColumn("ds", F.to_date("l_shipdate"))
     counts = files.checkpointed(lines.groupBy("l_linestatus", "ds").agg(F.count("*").alias("all"), F.count_if(F.col("l_returnflag") == "R").alias("back")), "days")
-    total = panel.column_sums(panel.wide_by_day(counts, ["l_linestatus"], "all"), ["l_linestatus"], "total")
-    returned = panel.column_sums(panel.wide_by_day(counts, ["l_linestatus"], "back"), ["l_linestatus"], "returned")
+    days = files.checkpointed(panel.day_positions(counts), "calendar")
+    total = panel.column_sums(panel.wide_by_day(counts, ["l_linestatus"], "all", days), days, "total")
+    returned = panel.column_sums(panel.wide_by_day(counts, ["l_linestatus"], "back", days), days, "returned")
     return rounded(panel.ratio_by_day(returned, total, "returned", "total", "return_rate").select("ds", "total", "returned", "return_rate"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..models import baseline
+from ..models import baseline, folds
 from ..operators import features, panel
 from ..reports import summaries
 from ..sources import files, tables
@@ -82,9 +82,10 @@ def io07(spark, sf):
     ),
 )
 def io08(spark, sf):
+    """One document ``{location: {metric: value}}``, written and read."""
     path = files.workspace(spark, "metrics")
     scores = holdout_scores(spark, sf).filter(F.col("model") == "historical_average")
-    files.write_json(scores.select("location", F.struct("mae", "mape", "accuracy").alias("metrics")), path)
+    files.write_metrics(scores, path, ["mae", "mape", "accuracy"])
     return rounded(files.read_metrics(spark, path))
 
 
@@ -94,13 +95,12 @@ def io08(spark, sf):
 )
 def io09(spark, sf):
     """Table with a column per day of all days, read from the second of two paths."""
-    counts = tables.table(spark, sf, "lineitem").groupBy("l_linestatus", F.to_date("l_shipdate").alias("ds")).agg(F.count("*").alias("n"))
-    wide = panel.wide_by_day(files.checkpointed(counts, "days"), ["l_linestatus"], "n")
-    days = [c for c in wide.columns if c != "l_linestatus"]
-    path = files.workspace(spark, "wide")
-    files.write_csv(wide, path)
-    schema = "l_linestatus string, " + ", ".join(f"`{d}` long" for d in days)
-    return panel.column_sums(files.read_wide_days(spark, [f"{path}-remote", path], schema), ["l_linestatus"], "total")
+    lines = tables.table(spark, sf, "lineitem").groupBy("l_linestatus", F.to_date("l_shipdate").alias("ds")).agg(F.count("*").alias("n"))
+    counts, ids, path = files.checkpointed(lines, "days"), ["l_linestatus"], files.workspace(spark, "wide")
+    days = panel.day_positions(counts)
+    files.write_wide(panel.wide_by_day(counts, ids, "n", days), days, path, ids)
+    wide, named_days = files.read_wide(spark, [f"{path}-remote", path], ids)
+    return panel.column_sums(wide, named_days, "total")
 
 
 @query("io10_replace_table", with_views("SELECT date, location, disease_type, age_group, admission_count FROM admissions", "admissions"))
@@ -150,3 +150,32 @@ def io14(spark, sf):
     files.write_json(overall_performance(spark, sf), path)
     saved = spark.read.schema("location string, cv_mape double, rolling_mape double, avg_mape double").json(path)
     return rounded(saved)
+
+
+DETAILED_SQL = " UNION ALL ".join(
+    f"SELECT location, cutoff, ds, CAST(step AS BIGINT) AS step, actual, '{m}' AS model, {q6(c, 'yhat')} FROM origin" for m, c in (("historical_average", "yhat_mean"), ("autoregression", "yhat_ar"))
+)
+
+
+@query(
+    "io14_backtest_pair",
+    with_views(
+        f"""SELECT d.*, {q6('o.cv_mape', 'cv_mape')}, {q6('o.rolling_mape', 'rolling_mape')}, {q6('o.avg_mape', 'avg_mape')}
+            FROM ({DETAILED_SQL}) d JOIN overall o USING (location)""",
+        "origin",
+        "overall",
+    ),
+)
+def io14_pair(spark, sf):
+    """Dated predictions and the summary, committed together, replaced once and read as one."""
+    from .reports import overall_performance
+
+    folder = files.workspace(spark, "backtest")
+    made = folds.rolling_origin(tables.series(spark, sf), **folds.CV)
+    long = made.unpivot(["location", "cutoff", "ds", "step", "actual"], ["yhat_mean", "yhat_ar"], "model", "yhat")
+    long = long.withColumn("model", F.when(F.col("model") == "yhat_mean", "historical_average").otherwise("autoregression"))
+    summary = overall_performance(spark, sf).select("location", "cv_mape", "rolling_mape", "avg_mape")
+    files.write_pair(long.limit(0), summary.limit(0), folder)
+    files.write_pair(long, summary, folder)
+    detailed, totals = files.read_pair(spark, folder)
+    return rounded(detailed.join(totals, "location"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..models import trees
+from ..models import importance, trees
 from ..operators import features, ranking, relevance
 from ..operators.keys import named
 from ..sources import tables
@@ -60,6 +60,14 @@ def k03(spark, sf):
     return best.select("location", "feature", "importance")
 
 
+@query("k03_permutation_importance")
+def k03_permutation(spark, sf):
+    """The inputs whose shuffling hurts the model of their series most."""
+    scores = importance.permutation_importances(*feature_frame(spark, sf)).withColumn("importance", F.round("importance", 4))
+    best = ranking.top_per_key(scores, TOP, "location", F.desc("importance"), F.asc("feature"))
+    return rounded(best.select("location", "feature", "importance"))
+
+
 @query("k04_top_locations", with_views(f"SELECT location, {q6('accuracy')} FROM mean_scores ORDER BY accuracy DESC, location LIMIT 3", "mean_scores"))
 def k04(spark, sf):
     scores = holdout_scores(spark, sf).filter(F.col("model") == "historical_average").select("location", "accuracy")
