@@ -72,12 +72,13 @@ def write_metrics(df: DataFrame, path: str, metrics: Sequence[str], key: str = "
     part = F.pmod(F.xxhash64("_key"), F.lit(documents)).alias("_part")
     grouped = rows.groupBy(part).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_key", F.map_entries("_values").alias("_v"))))).alias("_doc"))
     document = F.transform_values("_doc", lambda k, v: F.map_from_entries(v))
-    grouped.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+    # a file holds one document
+    grouped.select("_part", F.to_json(document, {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").partitionBy("_part").text(path)
 
 
 def read_metrics(spark: SparkSession, path: str, key: str = "location") -> DataFrame:
     """Documents ``{key: {metric: value}}``, on one line or many, as rows (key, metric, value)."""
-    whole = spark.read.text(path, wholetext=True)
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     parsed = whole.select(F.explode(F.from_json("value", "map<string,map<string,double>>")).alias(key, "_values"))
     return parsed.select(key, F.explode("_values").alias("metric", "value"))
 
