@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from .store import written
 
@@ -29,14 +29,13 @@ Filter = Callable[[Column, Column], Column]
 def shared_buckets(postings: DataFrame, label: str) -> DataFrame:
     """Postings (bucket, id, place, lead) of buckets that hold two items, one of them leading; written.
 
-    Most buckets hold one row. They go first, by a count that makes for the
-    narrowest shuffle; what is left is looked at closer.
+    One shuffle brings the buckets together, and the postings are made once. A bucket
+    is judged by its least and greatest item, so most rows end there.
     """
-    many = postings.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    crowded = written(postings.join(many, "bucket", "left_semi"), label)
-    ends = crowded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("lead").alias("led"))
-    kept = ends.where((F.col("low") != F.col("high")) & F.col("led")).select("bucket")
-    return written(crowded.join(kept, "bucket", "left_semi").distinct(), label)
+    bucket = Window.partitionBy("bucket")
+    ends = postings.withColumns({"low": F.min("id").over(bucket), "high": F.max("id").over(bucket), "led": F.max("lead").over(bucket)})
+    kept = ends.where((F.col("low") != F.col("high")) & F.col("led"))
+    return written(kept.drop("low", "high", "led").distinct(), label)
 
 
 def link_classes(postings: DataFrame, verify: Check, could_link: Filter, loosely: Filter | None = None) -> DataFrame:
