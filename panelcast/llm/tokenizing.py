@@ -21,8 +21,10 @@ from tokenizers import Tokenizer
 RARE_BLANKS = "\\t\\v\\f\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 BLANK = f"[ \\n{RARE_BLANKS}]"
 CUT, MARK = "\x00", "\x01"
-BATCH_CHARS = 9_000_000
-KEPT_CHUNKS = 600_000
+BATCH_CHARS = 4_000_000
+#: Bytes of kept chunks and ids, with about 200 more for what Python adds to each.
+KEPT_BYTES = 48_000_000
+ENTRY_BYTES = 200
 
 
 class ChunkEncoder:
@@ -33,6 +35,7 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.folded = folded
         self.kept: dict[str, bytes] = {}
+        self.held = 0
         self.mark = self.tokenizer.encode(f" {MARK}", add_special_tokens=False).ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -74,10 +77,12 @@ class ChunkEncoder:
         new = [i for i, ids in enumerate(found) if ids is None]
         for i, ids in zip(new, self._encoded([chunks[i] for i in new])):
             found[i] = ids
-        if len(self.kept) + len(new) > KEPT_CHUNKS:
-            self.kept = dict(zip(chunks[:KEPT_CHUNKS], found))
-        else:
-            self.kept.update((chunks[i], found[i]) for i in new)
+        if self.held > KEPT_BYTES:
+            # start anew; frequent chunks come back with the next batch
+            self.kept, self.held = {}, 0
+        for i in new:
+            self.kept[chunks[i]] = found[i]
+            self.held += len(chunks[i]) + len(found[i]) + ENTRY_BYTES
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return np.frombuffer(b"".join(found), np.int32), lengths
 
@@ -128,6 +133,9 @@ def text_batches(batches: Iterator[pa.RecordBatch], text: str = "text", chars: i
             held, size = [], 0
     if held:
         yield _one(held)
+    # a worker serves later tasks too: what this one used goes back
+    held = []
+    pa.default_memory_pool().release_unused()
 
 
 def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
