@@ -4,8 +4,9 @@ Every version of a text is addressed by its SHA-256. The ledger notes which
 rules, by name and version, a blob was scanned with; a commit scans only pairs of
 blob and rule version that are not in it yet, and each blob once however many
 paths and versions hold it. Findings belong to blobs and are joined back to all
-paths. A commit writes folders under its own number: repeating it after a lost
-run writes the same rows again.
+paths. A commit writes one table under its own number, what was scanned beside what
+was found, so that a lost run leaves nothing behind. It reads the other commits only:
+repeating it writes the same rows again, under its number or a new one.
 
 A rule finds leftmost matches that do not overlap; matches with a short decisive
 part are dropped after matching. Ends are places in code points: the texts
@@ -53,19 +54,24 @@ MORE = [
     Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 0, 1),
 ]
 RULES = [*BASE, *MORE]
-FINDING = "blob string, kind string, version int, start long, stop long"
-SCANNED = "blob string, scanned array<string>"
+SCAN = "blob string, scanned array<string>, findings array<struct<kind:string,version:int,start:bigint,stop:bigint>>"
 
 
 def blob_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def stored(spark: SparkSession, ledger: str, name: str, schema: str) -> DataFrame:
-    """All rows of one of the ledger's tables; none if nothing was committed."""
-    if not exists(spark, f"{ledger}/{name}"):
+def scans(spark: SparkSession, ledger: str) -> DataFrame:
+    """All rows of the ledger with the number of their commit; none if nothing was committed."""
+    folder, schema = f"{ledger}/scans", f"{SCAN}, number int"
+    if not exists(spark, folder):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{ledger}/{name}")
+    return spark.read.schema(schema).option("basePath", folder).parquet(folder)
+
+
+def findings(spark: SparkSession, ledger: str) -> DataFrame:
+    """(blob, kind, version, start, stop) of all commits, once each."""
+    return scans(spark, ledger).select("blob", F.inline("findings")).distinct()
 
 
 def commit(versions: DataFrame, ledger: str, number: int, rules: list[Rule] | None = None, path: str = "doc_id") -> None:
@@ -73,7 +79,8 @@ def commit(versions: DataFrame, ledger: str, number: int, rules: list[Rule] | No
     rules = RULES if rules is None else rules
     spark = versions.sparkSession
     addressed = versions.select(F.col(path).alias("path"), "text", blob_of(F.col("text")).alias("blob"))
-    seen = stored(spark, ledger, "scanned", SCANNED).where(F.lit(True))
+    # the folder of this commit is neither listed nor read
+    seen = scans(spark, ledger).where(F.col("number") != number)
     seen = seen.select("blob", F.explode("scanned").alias("label")).groupBy("blob").agg(F.collect_set("label").alias("seen"))
     wanted = F.array(*[F.lit(r.label) for r in rules])
     blobs = addressed.groupBy("blob").agg(F.min("path").alias("path"))
@@ -81,9 +88,10 @@ def commit(versions: DataFrame, ledger: str, number: int, rules: list[Rule] | No
     todo = blobs.join(seen, "blob", "left").select(F.col("blob").alias("_blob"), F.col("path").alias("_path"), pending.alias("pending")).where(F.size("pending") > 0)
     same = (addressed["blob"] == todo["_blob"]) & addressed["path"].eqNullSafe(todo["_path"])
     texts = addressed.join(todo, same).select("blob", F.coalesce("text", F.lit("")).alias("text"), "pending")
-    findings = scan(texts, rules).distinct()
-    findings.write.mode("overwrite").parquet(f"{ledger}/findings/commit_{number}")
-    todo.select(F.col("_blob").alias("blob"), F.col("pending").alias("scanned")).write.mode("overwrite").parquet(f"{ledger}/scanned/commit_{number}")
+    found = scan(texts, rules).groupBy("blob").agg(F.collect_set(F.struct("kind", "version", "start", "stop")).alias("findings"))
+    rows = todo.select(F.col("_blob").alias("blob"), F.col("pending").alias("scanned")).join(found, "blob", "left")
+    empty = F.array().cast("array<struct<kind:string,version:int,start:bigint,stop:bigint>>")
+    rows.withColumn("findings", F.coalesce("findings", empty)).write.mode("overwrite").parquet(f"{ledger}/scans/number={number}")
 
 
 def scan(texts: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -106,12 +114,12 @@ def scan(texts: DataFrame, rules: list[Rule]) -> DataFrame:
     return placed.where("decisive >= least").select("blob", "kind", "version", "start", "stop")
 
 
-def summaries(findings: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+def summaries(found: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Per blob: a count per base kind, the base spans and all spans as text."""
     rules = RULES if rules is None else rules
     current = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)])
     rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
-    own = findings.where(F.col("version") == F.try_element_at(current, F.col("kind")))
+    own = found.where(F.col("version") == F.try_element_at(current, F.col("kind")))
     item = F.struct("start", F.element_at(rank, F.col("kind")).alias("rank"), F.concat_ws(":", "kind", "start", "stop").alias("span"))
     base = [r.kind for r in BASE]
     joined = lambda xs: F.array_join(F.transform(F.array_sort(xs), lambda x: x["span"]), ",")
@@ -122,7 +130,7 @@ def summaries(findings: DataFrame, rules: list[Rule] | None = None) -> DataFrame
 def by_path(versions: DataFrame, ledger: str, rules: list[Rule] | None = None, path: str = "doc_id") -> DataFrame:
     """Every version with the findings of its blob: path, blob, counts, base_sha256, spans."""
     # written, so that the join can split a blob that holds a large share of the versions
-    found = written(summaries(stored(versions.sparkSession, ledger, "findings", FINDING), rules), "summaries")
+    found = written(summaries(findings(versions.sparkSession, ledger), rules), "summaries")
     paths = versions.select(F.col(path), blob_of(F.col("text")).alias("blob"))
     counts = [f"n_{r.kind}" for r in BASE]
     joined = paths.join(found, "blob", "left").na.fill(0, counts).na.fill("", ["base", "spans"])
