@@ -7,12 +7,14 @@ to the nearest earlier message of the conversation that wrote it: messages offer
 their own text as a whole, by passage and by line. A message replies to the
 message its outermost quotes come from, the latest one if there are several;
 without linked quotes it replies to none and goes on with the conversation. The
-root of its chain of replies is its thread. Ordered by (conv_id, thread, turn) a
-conversation reads in reply order. Quoted lines are left out of the text.
+root of its chain of replies is its thread, and its place counts the turns of the
+thread up to it. Ordered by (conv_id, thread, place) a conversation reads in reply
+order. Quoted lines are left out of the text. Any text can be quoted, however short.
 
 Rows: null texts are empty messages without quotes; null turns are never linked;
-rows with equal conv_id and turn share their links; an empty table gives no
-rows; other columns stay.
+rows with equal conv_id and turn share their links and place; an empty table gives no
+rows; other columns stay, but for those that are named as a computed one, which it
+replaces.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from .quality import let
 from .store import ascii_lower, written
 
 MARKS = "^(?:[ \\t]*>)+"
-MIN_CHARS = 8
+COMPUTED = ("clean", "n_quotes", "n_linked", "reply_to", "thread", "place", "message")
 
 
 def level_of(line: Column) -> Column:
@@ -55,12 +57,13 @@ def passages(text: Column) -> Column:
 
 def units(lines: Column) -> Column:
     """Normal forms a passage can be quoted by: the whole, and each line."""
-    return F.filter(F.transform(F.array_append(lines, F.array_join(lines, " ")), normal), lambda x: F.char_length(x) >= MIN_CHARS)
+    return F.filter(F.transform(F.array_append(lines, F.array_join(lines, " ")), normal), lambda x: x != "")
 
 
 def link(messages: DataFrame) -> DataFrame:
-    """Messages with reply_to, thread, n_quotes, n_linked and ``clean`` text without quotes."""
-    split = messages.withColumn("_passages", passages(F.col("text")))
+    """Messages with reply_to, thread, place, n_quotes, n_linked and ``clean`` text without quotes."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in messages.columns if c not in COMPUTED])
+    split = messages.select(whole.alias("row"), "conv_id", "turn", passages(F.col("text")).alias("_passages"))
     own = F.filter("_passages", lambda p: p["level"] == 0)
     quoted = F.filter("_passages", lambda p: p["level"] > 0)
     clean = F.trim(F.array_join(F.flatten(F.transform(own, lambda p: p["lines"])), "\n"), F.lit(" \t\n\r"))
@@ -70,7 +73,7 @@ def link(messages: DataFrame) -> DataFrame:
                     .select("conv_id", "turn", "at", "level", F.xxhash64("unit").alias("hash"), F.char_length("unit").alias("size")).distinct(), "quotes")
     if asked.isEmpty():
         return _columns(parsed, None)
-    offers = parsed.where("turn IS NOT NULL").select("conv_id", "turn", F.explode(F.array_distinct(F.array_union(F.flatten(F.transform("_own", lambda p: units(p["lines"]))), F.array(normal(F.col("clean")))))).alias("unit"))
+    offers = parsed.where("turn IS NOT NULL").select("conv_id", "turn", F.explode(F.array_distinct(F.array_union(F.flatten(F.transform("_own", lambda p: units(p["lines"]))), F.filter(F.array(normal(F.col("clean"))), lambda x: x != "")))).alias("unit"))
     offers = offers.select("conv_id", "turn", F.xxhash64("unit").alias("hash")).join(asked.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
     # nearest earlier writer of each quoted unit: both sides in turn order, the last offer carried on
     both = offers.select("conv_id", "hash", "turn", F.col("turn").alias("source")).distinct().unionByName(asked.select("conv_id", "hash", "turn").distinct(), allowMissingColumns=True)
@@ -92,19 +95,39 @@ def _threads(replies: DataFrame) -> DataFrame:
         step = written(chain.join(up, ["conv_id", "thread"], "left").select("conv_id", "turn", F.coalesce("above", "thread").alias("thread"), F.col("above").isNotNull().alias("moved")), "threads")
         chain = step.drop("moved")
         if step.where("moved").isEmpty():
-            return replies.join(chain, ["conv_id", "turn"])
+            return replies.join(_places(chain), ["conv_id", "turn"], "full")
+
+
+def _places(chain: DataFrame) -> DataFrame:
+    """(conv_id, turn, thread, place) of all messages of threads with replies.
+
+    Ranges of (conv_id, thread, turn) split a long thread; each is numbered by itself
+    and starts where the ranges before it end.
+    """
+    roots = chain.select("conv_id", F.col("thread").alias("turn"), "thread")
+    thread = ["conv_id", "thread"]
+    ranged = chain.unionAll(roots).distinct().repartitionByRange(*thread, "turn").withColumn("slice", F.spark_partition_id())
+    ranged = written(ranged, "thread-ranges")
+    parts = ranged.groupBy("slice", *thread).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*thread).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("slice", *thread, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("slice", *thread).orderBy("turn"))
+    joined = ranged.withColumn("inside", inside).join(starts, ["slice", *thread])
+    return joined.select("conv_id", "turn", "thread", (F.col("inside") + F.col("before")).alias("place"))
 
 
 def _columns(parsed: DataFrame, replies: DataFrame | None) -> DataFrame:
     base = parsed.drop("_own", "_quoted")
     if replies is None:
         none = F.lit(None).cast("long")
-        return base.withColumns({"reply_to": none, "thread": F.col("turn").cast("long"), "n_linked": F.lit(0).cast("long")})
-    joined = base.join(replies, ["conv_id", "turn"], "left")
-    return joined.withColumns({"thread": F.coalesce("thread", "turn").cast("long"), "reply_to": F.col("reply_to").cast("long"), "n_linked": F.coalesce("n_linked", F.lit(0))})
+        found = base.withColumns({"reply_to": none, "thread": F.col("turn").cast("long"), "place": F.lit(1).cast("long"), "n_linked": F.lit(0).cast("long")})
+    else:
+        joined = base.join(replies, ["conv_id", "turn"], "left")
+        found = joined.withColumns({"thread": F.coalesce("thread", "turn").cast("long"), "place": F.coalesce("place", F.lit(1)).cast("long"), "reply_to": F.col("reply_to").cast("long"), "n_linked": F.coalesce("n_linked", F.lit(0)).cast("long")})
+    return found.select("row.*", "clean", "n_quotes", "n_linked", "reply_to", "thread", "place")
 
 
 def chat_lines(linked: DataFrame) -> DataFrame:
-    """Role-tagged messages; ordered by (conv_id, thread, turn) they are the formatted conversation."""
+    """Role-tagged messages; ordered by (conv_id, thread, place) they are the formatted conversation."""
     tagged = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("clean"), F.lit("\n<|end|>\n"))
     return linked.withColumn("message", tagged)
