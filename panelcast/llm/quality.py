@@ -3,8 +3,8 @@
 A document is read once into a small row: counts of words, symbols, repeated
 lines and repeated word windows, and one (hash, words) pair per line. Lines are
 hashed in a normal form (A-Z folded, digits as 0, blanks collapsed). Per host,
-distinct documents are counted per line, equal texts once, so that copies of a
-document don't make its lines common. A line in more documents than the limit is
+distinct documents are counted per line, equal texts once (null as the empty one), so
+that copies of a document don't make its lines common. A line above the limits is
 removed from all documents of the host but the first that holds it; a document
 that keeps too small a share of its words is depleted and rejected.
 
@@ -23,7 +23,9 @@ from .store import ascii_lower, words, written
 
 BLANK_CHARS, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, WINDOW_WORDS = 10, 20, 5
-MIN_DOCS, HOST_PERCENT, KEEP_PERCENT = 5, 5, 30
+#: A line goes that is in more texts of its host than MAX_DOCS, whatever the host's size, or in a small host
+#: in more than MIN_DOCS that are more than HOST_PERCENT of its texts.
+MAX_DOCS, MIN_DOCS, HOST_PERCENT, KEEP_PERCENT = 20, 5, 5, 30
 KEY = ["doc_id", "host", "twin"]
 
 
@@ -78,7 +80,7 @@ def normal_line(line: Column) -> Column:
 def document_rows(docs: DataFrame, host: str) -> DataFrame:
     """Key, base counts and (hash, words) of the lines of every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.xxhash64("text").alias("twin"), text.alias("text"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.xxhash64(text).alias("twin"), text.alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda line: without(line, BLANK_CHARS) != "")
     split = found.withColumns({"words": words(F.col("text")), "lines": lines})
     return split.select(
@@ -92,19 +94,19 @@ def document_rows(docs: DataFrame, host: str) -> DataFrame:
     )
 
 
-def assess(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, host_percent: int = HOST_PERCENT, keep_percent: int = KEEP_PERCENT) -> DataFrame:
+def assess(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, host_percent: int = HOST_PERCENT, keep_percent: int = KEEP_PERCENT, max_docs: int = MAX_DOCS) -> DataFrame:
     """Key, counts, base_failed, the hashes of removed lines, words kept, and the verdict ``kept``.
 
-    A line goes if it is in more than ``min_docs`` and more than ``host_percent``
-    of the host's documents; a document goes if less than ``keep_percent`` of its
-    words stay.
+    A line goes if it is in more than ``max_docs`` of the host's texts, or in more than
+    ``min_docs`` and more than ``host_percent`` of them; a document goes if less than
+    ``keep_percent`` of its words stay.
     """
     rows = written(document_rows(docs, host), "quality")
     held = rows.select("doc_id", "host", "twin", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
     per_text = held.groupBy("host", "line", "twin").agg(F.min("doc_id").alias("first"))
-    per_line = per_text.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") > min_docs)
+    per_line = per_text.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") > min(min_docs, max_docs))
     per_host = rows.select("host", "twin").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    common = per_line.join(per_host, "host").where(100 * F.col("n_docs") > host_percent * F.col("host_docs")).select("host", "line", "first")
+    common = per_line.join(per_host, "host").where((F.col("n_docs") > max_docs) | ((F.col("n_docs") > min_docs) & (100 * F.col("n_docs") > host_percent * F.col("host_docs")))).select("host", "line", "first")
     each = rows.select(*KEY, F.explode("lines").alias("x")).select(*KEY, F.col("x.line").alias("line"), F.col("x.n").alias("n"))
     each = each.groupBy(*KEY, "line").agg(F.sum("n").alias("n"))
     hit = each.join(common, ["host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
@@ -129,7 +131,7 @@ def clean(docs: DataFrame, host: str = "source", **limits: int) -> DataFrame:
     verdicts = assess(docs, host, **limits).where("kept").select(*KEY, "removed").distinct()
     names = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    keyed = whole.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(f"row.{host}"), F.lit("")).alias("host"), F.xxhash64("row.text").alias("twin"))
+    keyed = whole.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(f"row.{host}"), F.lit("")).alias("host"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("twin"))
     found = _join(keyed, verdicts.withColumn("verdict", F.lit(True))).where("verdict")
     kept = F.filter(F.split("row.text", "\n"), lambda line: ~F.array_contains("removed", F.xxhash64(normal_line(line))))
     text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))

@@ -26,7 +26,7 @@ WITH d AS (
 ), cov AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS q FROM rep) GROUP BY doc_id
 ), hosts AS (SELECT host, count(DISTINCT t) AS host_docs FROM d GROUP BY host
 ), freq AS (SELECT host, norm, count(DISTINCT raw) AS n_docs, min(doc_id) AS first FROM ln GROUP BY host, norm
-), common AS (SELECT host, norm, first FROM freq JOIN hosts USING (host) WHERE n_docs > {quality.MIN_DOCS} AND 100 * n_docs > {quality.HOST_PERCENT} * host_docs
+), common AS (SELECT host, norm, first FROM freq JOIN hosts USING (host) WHERE n_docs > {quality.MAX_DOCS} OR n_docs > {quality.MIN_DOCS} AND 100 * n_docs > {quality.HOST_PERCENT} * host_docs
 ), gone AS (
   SELECT doc_id, sum(len(string_split(norm, ' '))) AS removed FROM ln JOIN common USING (host, norm) WHERE doc_id <> first GROUP BY doc_id
 ), s AS (

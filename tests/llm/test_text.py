@@ -22,17 +22,18 @@ def base_counts(text):
     return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
-def quality_brute(rows, min_docs, host_percent, keep_percent):
+def quality_brute(rows, min_docs, host_percent, keep_percent, max_docs=20):
     normal = lambda x: " ".join(WORD.findall(re.sub("[0-9]", "0", x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))))
     texts, holders, firsts = {}, {}, {}
     for doc, text, host in rows:
+        text = text or ""
         texts.setdefault(host or "", set()).add(text)
         for line in (text or "").split("\n"):
             if normal(line):
                 key = (host or "", normal(line))
                 holders.setdefault(key, set()).add(text)
                 firsts[key] = min(firsts.get(key, doc), doc)
-    common = {k for k, v in holders.items() if len(v) > min_docs and 100 * len(v) > host_percent * len(texts[k[0]])}
+    common = {k for k, v in holders.items() if len(v) > max_docs or len(v) > min_docs and 100 * len(v) > host_percent * len(texts[k[0]])}
     out = {}
     for doc, text, host in rows:
         counts = base_counts(text)
@@ -56,6 +57,15 @@ def test_quality_against_plain_python(docs_of):
     assert kept[0] == texts[0] and kept[1] == f"{BODY} b"
 
 
+def test_the_limit_of_a_line_does_not_grow_with_its_host(docs_of):
+    texts = [f"own{i} " * 3 + BODY.replace("one", f"w{i}") + (f"\n{NOTE}" if i % 10 == 0 else "") for i in range(300)]
+    want = quality_brute([(i, t, "s") for i, t in enumerate(texts)], 5, 50, 30, 20)
+    docs = docs_of(texts, sources=["s"] * 300)
+    kept = {r["doc_id"]: r["text"] for r in quality.clean(docs, host_percent=50).collect()}
+    assert set(kept) == {d for d, v in want.items() if v[-1]} and sum(NOTE in t for t in kept.values()) == 1
+    assert sum(NOTE in r["text"] for r in quality.clean(docs, host_percent=50, max_docs=40).collect()) == 30
+
+
 def test_quality_of_missing_and_repeated_rows(docs_of):
     docs = docs_of([BODY, BODY, BODY, "y " + BODY], [None, None, 1, 1])
     assert quality.assess(docs).count() == 4
@@ -180,7 +190,7 @@ def test_ledger_scans_only_what_is_new(spark, docs_of, tmp_path):
     first, second = docs_of(SECRETS[:4]), docs_of(SECRETS, [*range(20, 30)])
     blobscan.commit(first, ledger, 1, blobscan.BASE)
     blobscan.commit(second, ledger, 2, blobscan.BASE)
-    scanned = lambda n: spark.read.parquet(f"{ledger}/scanned/commit_{n}").collect()
+    scanned = lambda n: blobscan.scans(spark, ledger).where(f"number = {n}").collect()
     old = {hashlib.sha256((t or "").encode()).hexdigest() for t in SECRETS[:4]}
     assert {r["blob"] for r in scanned(1)} == old
     assert {r["blob"] for r in scanned(2)} == {hashlib.sha256((t or "").encode()).hexdigest() for t in SECRETS} - old
@@ -193,6 +203,25 @@ def test_ledger_scans_only_what_is_new(spark, docs_of, tmp_path):
     assert blobscan.by_path(docs_of([]), str(tmp_path / "none")).count() == 0
 
 
+def test_repeated_and_lost_commits_count_each_finding_once(spark, docs_of, tmp_path, monkeypatch):
+    docs, plain = docs_of(SECRETS), str(tmp_path / "plain")
+    blobscan.commit(docs, plain, 1)
+    want = sorted(map(tuple, blobscan.by_path(docs, plain).collect()))
+    repeated = str(tmp_path / "repeated")
+    for number in (1, 1, 2, 1):
+        blobscan.commit(docs, repeated, number)
+        assert sorted(map(tuple, blobscan.by_path(docs, repeated).collect())) == want
+    lost = str(tmp_path / "lost")
+    with monkeypatch.context() as m:
+        m.setattr(blobscan, "scan", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            blobscan.commit(docs, lost, 1)
+    blobscan.commit(docs, lost, 2)
+    assert sorted(map(tuple, blobscan.by_path(docs, lost).collect())) == want
+    blobscan.commit(docs, lost, 1)  # the lost one comes late and finds nothing left to scan
+    assert sorted(map(tuple, blobscan.by_path(docs, lost).collect())) == want
+
+
 def test_private_keys_are_added_spans(docs_of, tmp_path):
     text = "x -----BEGIN RSA PRIVATE KEY----- y"
     blobscan.commit(docs_of([text]), str(tmp_path / "l"), 1)
@@ -310,3 +339,76 @@ def test_quotes_of_plain_empty_and_repeated_rows(spark):
     assert [(r["thread"], r["n_quotes"]) for r in plain] == [(0, 0)] * 2
     twice = quotes.link(spark.createDataFrame([(1, 0, "u", "first message"), (1, 1, "u", "> first message\nb"), (1, 1, "u", "> first message\nb")], schema)).collect()
     assert len(twice) == 3 and sorted(r["n_linked"] for r in twice) == [0, 1, 1]
+
+
+def quotes_brute(rows):
+    """(conv_id, turn) to (n_quotes, n_linked, reply_to, thread, place) of (conv_id, turn, role, text) rows with distinct turns."""
+    fold = lambda x: " ".join(re.split("[ \\t-\\r]+", x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))).strip(" ")
+    parsed = {}
+    for conv, turn, _, text in rows:
+        passages = []
+        for line in (text or "").split("\n"):
+            mark = re.match("(?:[ \\t]*>)*", line).group()
+            body = re.sub("^[ \\t]?", "", line[len(mark):]) if mark else line
+            level = mark.count(">")
+            if not passages or passages[-1][0] != level:
+                passages.append((level, []))
+            passages[-1][1].append(body)
+        parsed[conv, turn] = passages
+    units = lambda lines: {fold(x) for x in [*lines, " ".join(lines)]} - {""}
+    reply, out = {}, {}
+    for (conv, turn), passages in sorted(parsed.items()):
+        found = []
+        for level, lines in passages:
+            if not level:
+                continue
+            best = None
+            for unit in units(lines):
+                for other in sorted((t for c, t in parsed if c == conv and t < turn), reverse=True):
+                    own = [p[1] for p in parsed[conv, other] if p[0] == 0]
+                    clean = "\n".join(x for ls in own for x in ls).strip(" \t\n\r")
+                    if any(unit in units(ls) for ls in own) or unit == fold(clean):
+                        best = max(best or (0, -1), (len(unit), other))
+                        break
+            if best:
+                found.append((-level, best[1]))
+        quoted = sum(1 for level, _ in passages if level)
+        reply[conv, turn] = max(found)[1] if found else None
+        out[conv, turn] = [quoted, len(found), reply[conv, turn]]
+    threads = {}
+    for conv, turn in sorted(out):
+        root = turn
+        while reply[conv, root] is not None:
+            root = reply[conv, root]
+        threads.setdefault((conv, root), []).append(turn)
+        out[conv, turn] += [root, len(threads[conv, root])]
+    return out
+
+
+def test_random_quotes_against_plain_python_and_sql(spark):
+    import duckdb
+
+    from panelcast.llm.quote_queries import OP9_SQL
+
+    rng = random.Random(7)
+    words = ["yes", "no", "42", "ok  then", "Long sentence here", "\u4f60\u597d", "a\tb", "x"]
+    rows = []
+    for conv in range(25):
+        said = []
+        for turn in range(rng.randint(1, 9)):
+            lines = [rng.choice(words) for _ in range(rng.randint(0, 3))]
+            for _ in range(rng.randint(0, 2)):
+                if said:
+                    lines.insert(rng.randint(0, len(lines)), rng.choice(["> ", ">", "> > ", " >>"]) + rng.choice(said))
+            said += [x for x in lines if not x.lstrip().startswith(">")] or []
+            rows.append((conv, turn, rng.choice(["user", "bot", None]), rng.choice([None, "\n".join(lines)]) if rng.random() < 0.1 else "\n".join(lines)))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    clash = frame.withColumns({c: F.lit("x") for c in ("thread", "place", "clean", "reply_to", "_own", "row", "slice", "level")})
+    got = quotes.chat_lines(quotes.link(clash)).collect()
+    want = quotes_brute(rows)
+    assert {(r["conv_id"], r["turn"]): [r[c] for c in ("n_quotes", "n_linked", "reply_to", "thread", "place")] for r in got} == want
+    assert sum(v[1] for v in want.values()) > 30 and all(r["slice"] == r["level"] == "x" for r in got)
+    base = duckdb.connect()
+    base.register("conversations", frame.toPandas())
+    told = base.sql(f"SELECT conv_id, turn, n_quotes, n_linked, reply_to, thread, place FROM ({OP9_SQL})").fetchall()
+    assert {r[:2]: list(r[2:]) for r in told} == want
