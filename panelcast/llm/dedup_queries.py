@@ -14,10 +14,10 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 4, 85
 @query("op3_line_dedup")
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Per document: its long lines, how many lines of any length are dropped, and which."""
-    docs = linededup.keyed(table(spark, folder, "documents"))
+    docs = linededup.keyed(table(spark, folder, "documents").select("doc_id", "text"))
     lines = linededup.duplicate_lines(docs, exact_chars=1)
     gone = F.array_sort(F.collect_set(F.when(F.col("dropped"), F.col("number"))))
-    counts = lines.groupBy("row_key").agg(F.count_if("long").alias("n_long_lines"), gone.alias("gone"))
+    counts = lines.groupBy("row_key").agg(F.size(F.collect_set(F.when(F.col("long"), F.col("number")))).cast("long").alias("n_long_lines"), gone.alias("gone"))
     joined = docs.select("row_key").join(counts, "row_key", "left")
     n_dropped = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
     dropped = F.array_join(F.coalesce(F.col("gone").cast("array<string>"), F.array()), ",")

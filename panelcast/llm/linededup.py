@@ -15,8 +15,10 @@ one item from the start and need their hash alone: those of ``exact_chars`` and
 more are duplicates, of one character and more in op3 and the pipeline. Blank
 lines always stay.
 
-Rows: null texts have no lines and stay null; rows with equal doc_id are told
-apart by their order of text; an empty table gives no rows; other columns stay.
+Rows: null texts have no lines and stay null; rows with equal doc_id are told apart
+by their text, and rows equal in both are one document: they keep and lose the same
+lines; an empty table gives no rows; other columns stay, whatever their names, but for
+``n_dropped``, which is replaced.
 """
 
 from __future__ import annotations
@@ -204,9 +206,11 @@ def duplicate_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CH
 
 def dedup_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """Documents without near-duplicate lines; ``n_dropped`` tells how many went."""
-    own = keyed(docs)
+    names = [c for c in docs.columns if c != "n_dropped"]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", "text")
+    own = keyed(own).drop("doc_id")
     gone = duplicate_lines(own, k, min_chars, exact_chars).where("dropped").groupBy("row_key").agg(F.collect_set("number").alias("gone"))
     joined = own.join(gone, "row_key", "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumns({"text": text, "n_dropped": F.coalesce(F.size("gone"), F.lit(0))}).drop("row_key", "gone")
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in names], F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"))

@@ -2,6 +2,8 @@ import re
 
 import public_tokenizers
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from panelcast.llm import jaccard
 from tests.llm.test_links import jaccard_brute, line_brute
 from tests.llm.test_text import hits_brute, quality_brute
@@ -67,3 +69,16 @@ def test_stage_functions_take_empty_tables(spark, docs_of, tmp_path):
 def test_defaults_of_the_near_duplicate_stage():
     assert jaccard.join_classes.__defaults__ == (5, 80)
     assert public_tokenizers.path(corpus_pipeline.WORD_BPE)
+
+
+def test_stages_keep_columns_with_clashing_names(spark, docs_of, tmp_path):
+    spark.createDataFrame([(7, PASSAGE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["gone", "row_key", "twin", "_twin", "_kept", "_bad", "row", "class", "host", "removed", "id", "number", "dropped"]
+    docs = docs_of([*fixture_texts(), fixture_texts()[3]], [*range(21), 3]).withColumns({c: F.lit(c) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, docs, str(tmp_path))
+        assert now.columns == docs.columns
+        rows = now.collect()
+        assert rows and all(r[c] == c for r in rows for c in names)
+    assert len(corpus_pipeline.ngram_jaccard_join(spark, docs, "").where("doc_id = 3").collect()) <= 1
+    assert corpus_pipeline.best_fit_packing(spark, docs, "").count() == 22
