@@ -36,7 +36,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     classes = jaccard.join_classes(docs)
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
     own = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return own.withColumn("_twin", F.xxhash64("text")).dropDuplicates(["doc_id", "_twin"]).drop("_twin")
+    # rows equal in id and text are one document
+    whole = own.select(F.col("doc_id"), F.xxhash64("text").alias("twin"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return whole.dropDuplicates(["doc_id", "twin"]).select("row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
