@@ -1,39 +1,45 @@
-"""Boosted trees, one model per series."""
+"""Boosted trees of Spark ML: one model over all series.
+
+A series enters through the mean of its training rows, a column like any other, so no
+list of series is held anywhere and any number of them can be pooled.
+"""
 
 from __future__ import annotations
 
 import json
 import random
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dates import calendar_parts, is_weekend
 from ..operators.features import numeric_features
 from ..operators.keys import add, as_list, named
 from ..operators.windows import lag_columns, leak_free_rolling, split_last_rows
-from . import boosting
+from ..sources.files import checkpointed
 from .baseline import HORIZON, LAST_ROWS, extend
 from .folds import split_members
 
 Key = str | Sequence[str]
 
 # Default model settings, shortest history and search ranges.
-DEFAULTS = {"rounds": 200, "depth": 6, "rate": 0.1, "rows": 0.8, "columns": 0.8, "min_rows": 3}
+DEFAULTS = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 3}
 SEED = 42
 MIN_ROWS = 60
 TRIALS = 50
 RANGES = {
-    "rounds": (50, 300),
-    "depth": (3, 10),
-    "rate": (0.01, 0.3),
-    "rows": (0.6, 1.0),
-    "columns": (0.6, 1.0),
-    "min_rows": (1, 10),
+    "maxIter": (50, 300),
+    "maxDepth": (3, 10),
+    "stepSize": (0.01, 0.3),
+    "subsamplingRate": (0.6, 1.0),
+    "featureSubsetStrategy": (0.6, 1.0),
+    "minInstancesPerNode": (1, 10),
 }
+LEVEL = "series_level"
 
 
 def model_features(series: DataFrame, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
@@ -48,33 +54,43 @@ def model_features(series: DataFrame, key: Key = "location", ds: str = "ds", y:
     return out.fillna(0, subset=numeric_features(out))
 
 
-def _fields(df: DataFrame, names: Sequence[str]) -> str:
-    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+def _level(key: Key, y: str, chosen: Column) -> Column:
+    """Mean target of a series' chosen rows, 0 if there is none."""
+    mean = F.avg(F.when(chosen, F.col(y).cast("double"))).over(Window.partitionBy(*as_list(key)))
+    return F.coalesce(mean, F.lit(0.0))
 
 
-def _matrix(rows: pa.Table, names: Sequence[str]) -> np.ndarray:
-    return np.column_stack([rows.column(n).to_numpy().astype(np.float64) for n in names])
+def _inputs(frame: DataFrame, features: Sequence[str], key: Key, ds: str, y: str, levels: Mapping[str, Column], *others: str) -> DataFrame:
+    """What models read, written once: a fit runs hundreds of jobs over it."""
+    slim = frame.select(*as_list(key), ds, y, *others, *[named(n).cast("double").alias(n) for n in features])
+    return checkpointed(add(slim, levels), "tree-inputs")
 
 
-def _model(x: np.ndarray, y: np.ndarray, settings: Mapping) -> tuple:
-    edges = boosting.bin_edges(x)
-    return edges, *boosting.fit(boosting.bin_codes(x, edges), y, settings, SEED)
+def _vectors(rows: DataFrame, names: Sequence[str], y: str) -> DataFrame:
+    whole = VectorAssembler(inputCols=[f"`{n}`" if "." in n else n for n in names], outputCol="features")
+    return whole.transform(rows.withColumn("label", F.col(y).cast("double")))
 
 
-def fit_predict(frame: DataFrame, features: Sequence[str], params: Mapping | None = None, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
-    """Trains on the rows of each series marked ``is_train`` and predicts its others: key, ds, y, yhat."""
-    settings, keys, names = {**DEFAULTS, **(params or {})}, as_list(key), list(features)
-    wanted = frame.select(*keys, ds, F.col(y).cast("double").alias(y), "is_train", *[named(n).cast("double").alias(n) for n in names])
+def train(rows: DataFrame, params: Mapping | None = None) -> GBTRegressionModel | None:
+    """Model of rows (features, label); None if there are no rows."""
+    rows = rows.select("features", "label").filter(F.col("label").isNotNull())
+    return None if rows.isEmpty() else GBTRegressor(seed=SEED, **{**DEFAULTS, **(params or {})}).fit(rows)
+
+
+def _scored(model: GBTRegressionModel | None, rows: DataFrame) -> DataFrame:
+    """Rows with ``yhat``, null without a model."""
+    return model.transform(rows).withColumnRenamed("prediction", "yhat") if model else rows.withColumn("yhat", F.lit(None).cast("double"))
 
-    def run(rows: pa.Table) -> pa.Table:
-        train, test = (rows.filter(rows.column("is_train") if part else pc.invert(rows.column("is_train"))).sort_by(ds) for part in (True, False))
-        yhat = np.zeros(len(test))
-        if len(train) and len(test):
-            edges, base, trees, _ = _model(_matrix(train, names), train.column(y).to_numpy(), settings)
-            yhat = boosting.predict(base, trees, boosting.bin_codes(_matrix(test, names), edges), settings)
-        return test.select([*keys, ds, y]).append_column("yhat", pa.array(yhat))
 
-    return wanted.groupBy(*keys).applyInArrow(run, f"{_fields(wanted, [*keys, ds, y])}, yhat double")
+def fit_predict(frame: DataFrame, features: Sequence[str], params: Mapping | None = None, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
+    """Trains on the rows marked ``is_train`` and predicts the others: key, ds, y, yhat.
+
+    Without any training row ``yhat`` is null.
+    """
+    rows = _inputs(frame, features, key, ds, y, {LEVEL: _level(key, y, F.col("is_train"))}, "is_train")
+    vectors = _vectors(rows, [*features, LEVEL], y)
+    model = train(vectors.filter("is_train"), params)
+    return _scored(model, vectors.filter("NOT is_train")).select(*as_list(key), ds, F.col(y).cast("double").alias(y), "yhat")
 
 
 def holdout(frame: DataFrame, features: Sequence[str], params: Mapping | None = None, test_rows: int = LAST_ROWS, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
@@ -83,18 +99,44 @@ def holdout(frame: DataFrame, features: Sequence[str], params: Mapping | None =
     return fit_predict(marked, features, params, key, ds, y).withColumnRenamed(y, "actual")
 
 
+def _whole(frame: DataFrame, features: Sequence[str], params: Mapping | None, key: Key, ds: str, y: str) -> tuple[DataFrame, GBTRegressionModel | None]:
+    """All rows as vectors and their model."""
+    rows = _inputs(frame, features, key, ds, y, {LEVEL: _level(key, y, F.lit(True))})
+    vectors = _vectors(rows, [*features, LEVEL], y)
+    return vectors, train(vectors, params)
+
+
 def importances(frame: DataFrame, features: Sequence[str], params: Mapping | None = None, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
-    """Share of each feature in the gain of its series' model: key, feature, importance."""
-    settings, keys, names = {**DEFAULTS, **(params or {})}, as_list(key), list(features)
-    wanted = frame.select(*keys, ds, F.col(y).cast("double").alias(y), *[named(n).cast("double").alias(n) for n in names])
+    """Share of each input in the gain of the model: feature, importance. No rows without a model."""
+    _, model = _whole(frame, features, params, key, ds, y)
+    shares = model.featureImportances.toArray().tolist() if model else []
+    return frame.sparkSession.createDataFrame(list(zip([*features, LEVEL], shares)), "feature string, importance double")
+
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by(ds)
-        gains = _model(_matrix(rows, names), rows.column(y).to_numpy(), settings)[-1]
-        own = rows.select(keys).slice(0, 1).take(pa.array(np.zeros(len(names), np.int64)))
-        return own.append_column("feature", pa.array(names)).append_column("importance", pa.array(gains / max(gains.sum(), 1e-300)))
+def series_importances(frame: DataFrame, features: Sequence[str], params: Mapping | None = None, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
+    """How much the model's mean absolute error on a series grows when an input is shuffled inside it: key, feature, importance.
 
-    return wanted.groupBy(*keys).applyInArrow(run, f"{_fields(wanted, keys)}, feature string, importance double")
+    A row meets the row whose place in a hashed order equals its place in time, by an
+    equi-join, and unrolls into one variant per input.
+    """
+    keys, names = as_list(key), list(features)
+    vectors, model = _whole(frame, names, params, key, ds, y)
+    if model is None:
+        return frame.select(*keys, F.lit("").alias("feature"), F.lit(0.0).alias("importance")).limit(0)
+    mixed = Window.partitionBy(*keys).orderBy(F.xxhash64(F.col(ds), F.lit(SEED)), ds)
+    rows = vectors.select(*keys, ds, "label", vector_to_array("features").alias("own")).filter(F.col("label").isNotNull())
+    placed = rows.withColumns({"_at": F.row_number().over(Window.partitionBy(*keys).orderBy(ds)), "_from": F.row_number().over(mixed)})
+    others = placed.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_from").alias("_place"), F.col("own").alias("other"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    met = placed.join(others, [*same, F.col("_at") == F.col("_place")])
+    variant = F.transform("own", lambda v, i: F.when(i == F.col("_input"), F.get("other", i)).otherwise(v))
+    # variant -1 is the row as it is
+    spread = met.withColumn("_input", F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1))))
+    scored = _scored(model, spread.withColumn("features", array_to_vector(variant)))
+    errors = scored.groupBy(*keys, "_input").agg(F.avg(F.abs(F.col("label") - F.col("yhat"))).alias("_error"))
+    plain = F.max(F.when(F.col("_input") == -1, F.col("_error"))).over(Window.partitionBy(*keys))
+    grown = errors.withColumn("importance", F.col("_error") - plain).filter("_input >= 0")
+    return grown.select(*keys, F.get(F.array(*[F.lit(n) for n in names]), F.col("_input")).alias("feature"), "importance")
 
 
 def forecast(frame: DataFrame, features: Sequence[str], periods: int = HORIZON, params: Mapping | None = None, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
@@ -121,47 +163,46 @@ def forecast(frame: DataFrame, features: Sequence[str], periods: int = HORIZON,
 def random_trials(n: int = TRIALS, ranges: Mapping[str, tuple] = RANGES, seed: int = SEED) -> list[dict]:
     """Seeded random settings inside the search ranges."""
     draw = random.Random(seed)
-    return [{k: draw.randint(a, b) if isinstance(a, int) else round(draw.uniform(a, b), 4) for k, (a, b) in ranges.items()} for _ in range(n)]
+    trials = [{k: draw.randint(a, b) if isinstance(a, int) else round(draw.uniform(a, b), 4) for k, (a, b) in ranges.items()} for _ in range(n)]
+    return [{k: str(v) if k == "featureSubsetStrategy" else v for k, v in t.items()} for t in trials]
 
 
-def search(frame: DataFrame, features: Sequence[str], trials: Sequence[Mapping], splits: int = 3, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
-    """Mean absolute error of every trial and series over time-ordered expanding splits.
+def search(frame: DataFrame, features: Sequence[str], trials: Sequence[Mapping], splits: int = 3, steps: int = 3, share: int = 5, parallel: int = 8, key: Key = "location", ds: str = "ds", y: str = "y") -> DataFrame:
+    """Successive halving over all trials: trial, params, rounds, mae, is_best.
 
-    A series is packed into one row, the rows are multiplied by the trials, and
-    each (series, trial) is a task of its own that fits the trial's folds.
+    Every trial is judged by its mean absolute error over time-ordered expanding splits.
+    In each step the best of every ``share`` trials go on with ``share`` times the rounds,
+    and the last step runs all rounds of its trials; ``steps=1`` runs all rounds of all
+    trials. ``mae`` is a trial's least error and ``rounds`` what it had then, since more
+    rounds can do worse; the best trial is the one with the least of all. Fits are
+    distributed jobs, ``parallel`` of them at a time; one number per trial and split comes
+    back. A split without rows on either side is left out.
     """
-    keys, names = as_list(key), list(features)
-    rows = split_members(frame, splits, key, ds)
-    rows = rows.select(*keys, ds, F.coalesce("fold", F.lit(0)).alias("fold"), F.col(y).cast("double").alias(y), *[named(n).cast("double").alias(n) for n in names])
-
-    def pack(group: pa.Table) -> pa.Table:
-        group = group.sort_by(ds)
-        own = group.select(keys).slice(0, 1)
-        arrays = {"folds": group.column("fold").to_numpy().astype(np.int64), "targets": group.column(y).to_numpy(), "inputs": _matrix(group, names)}
-        for name, values in arrays.items():
-            own = own.append_column(name, pa.array([np.ascontiguousarray(values).tobytes()], pa.binary()))
-        return own
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            errors = []
-            for row in batch.to_pylist():
-                settings = {**DEFAULTS, **json.loads(row["params"])}
-                fold, target = np.frombuffer(row["folds"], np.int64), np.frombuffer(row["targets"])
-                x = np.frombuffer(row["inputs"]).reshape(len(target), len(names))
-                found = []
-                for k in range(1, splits + 1):
-                    train, test = fold < k, fold == k
-                    if train.any() and test.any():
-                        edges, base, trees, _ = _model(x[train], target[train], settings)
-                        found.append(np.abs(target[test] - boosting.predict(base, trees, boosting.bin_codes(x[test], edges), settings)).mean())
-                errors.append(float(np.mean(found)) if found else None)
-            kept = batch.select([*keys, "trial", "params"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(errors, pa.float64())], [*kept.schema.names, "mae"])
-
-    packed = rows.groupBy(*keys).applyInArrow(pack, f"{_fields(rows, keys)}, folds binary, targets binary, inputs binary")
-    settings = F.array(*[F.struct(F.lit(i).alias("trial"), F.lit(json.dumps(dict(t), sort_keys=True)).alias("params")) for i, t in enumerate(trials)])
-    spread = packed.withColumn("_t", F.explode(settings)).select("*", "_t.trial", "_t.params").drop("_t")
-    scored = spread.repartition(*keys, "trial").mapInArrow(score, f"{_fields(rows, keys)}, trial int, params string, mae double")
-    best = F.min_by("trial", F.struct("mae", "trial")).over(Window.partitionBy(*keys))
-    return scored.withColumn("is_best", F.col("trial") == best)
+    spark, numbers = frame.sparkSession, range(1, splits + 1)
+    members = split_members(frame, splits, key, ds).withColumn("fold", F.coalesce("fold", F.lit(0)))
+    levels = {f"{LEVEL}_{k}": _level(key, y, F.col("fold") < k) for k in numbers}
+    rows = _inputs(members, features, key, ds, y, levels, "fold")
+    folds = {k: _vectors(rows.filter(F.col("fold") <= k), [*features, f"{LEVEL}_{k}"], y).select("features", "label", "fold") for k in numbers}
+
+    def error(job: tuple[int, int, int]) -> float | None:
+        number, rounds, k = job
+        model = train(folds[k].filter(F.col("fold") < k), {**trials[number], "maxIter": rounds})
+        tests = _scored(model, folds[k].filter(F.col("fold") == k))
+        return tests.agg(F.avg(F.abs(F.col("label") - F.col("yhat")))).first()[0]
+
+    found, running = {t: (True, 0.0, 0) for t in range(len(trials))}, list(range(len(trials)))
+    with ThreadPoolExecutor(parallel) as pool:
+        for step in range(steps):
+            part, judged = share ** (steps - 1 - step), {}
+            rounds = {t: -(-trials[t].get("maxIter", DEFAULTS["maxIter"]) // part) for t in running}
+            jobs = [(t, rounds[t], k) for t in running for k in numbers]
+            errors = list(zip(jobs, pool.map(error, jobs)))
+            for t in running:
+                own = [e for job, e in errors if job[0] == t and e is not None]
+                # trials that no split could judge come last
+                judged[t] = (not own, sum(own) / max(len(own), 1), rounds[t])
+                found[t] = min(found[t], judged[t])
+            running = sorted(running, key=lambda t: (judged[t], t))[: max(1, -(-len(running) // share))]
+    best = min(found, key=lambda t: (found[t], t), default=None)
+    table = [(t, json.dumps(dict(trials[t]), sort_keys=True), rounds, None if unjudged else mae, t == best) for t, (unjudged, mae, rounds) in found.items()]
+    return spark.createDataFrame(table, "trial int, params string, rounds int, mae double, is_best boolean")

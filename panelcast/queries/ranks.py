@@ -94,8 +94,9 @@ def k07(spark, sf):
 
 @query("k08_importance_rank")
 def k08(spark, sf):
-    """Importance order of the inputs of each series' boosted-tree model."""
+    """Importance order of the boosted-tree model's inputs on each series."""
     frame = trees.model_features(tables.series(spark, sf))
-    return ranking.importance_rank(trees.importances(frame, features.numeric_features(frame)), "location")
+    scores = trees.series_importances(frame, features.numeric_features(frame)).withColumn("importance", F.round("importance", 6))
+    return ranking.importance_rank(scores, "location")
 
 

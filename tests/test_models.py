@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from panelcast.functions import metrics
-from panelcast.models import additive, autoregressive, baseline, boosting, ensemble, folds, ridge, tournament, trees, trend
+from panelcast.models import additive, autoregressive, baseline, ensemble, folds, ridge, tournament, trees, trend
 from panelcast.operators.features import numeric_features
 from panelcast.reports import summaries
 
@@ -296,31 +296,49 @@ def test_tree_model_and_frozen_lags(spark, series_of):
     frame = trees.model_features(series_of(a=seasonal(200), short=[1.0] * 30)).cache()
     names = numeric_features(frame)
     assert frame.select("location").distinct().count() == 1
-    scored = trees.holdout(frame, names, {"rounds": 40, "depth": 3})
+    scored = trees.holdout(frame, names, {"maxIter": 30, "maxDepth": 3})
     assert scored.count() == 30
     assert scored.agg(metrics.mape_positive(F.col("actual"), F.col("yhat"))).first()[0] < 25
-    assert sorted(scored.collect()) == sorted(trees.holdout(frame, names, {"rounds": 40, "depth": 3}).collect())
-    assert trees.forecast(frame, names, 5, {"rounds": 5}).count() == 5
-    shares = trees.importances(frame, names, {"rounds": 20}).collect()
-    assert len(shares) == len(names) and sum(r.importance for r in shares) == pytest.approx(1)
+    assert sorted(scored.collect()) == sorted(trees.holdout(frame, names, {"maxIter": 30, "maxDepth": 3}).collect())
+    assert trees.forecast(frame, names, 5, {"maxIter": 5}).count() == 5
+    shares = trees.importances(frame, names, {"maxIter": 10}).collect()
+    assert [r.feature for r in shares] == [*names, trees.LEVEL] and sum(r.importance for r in shares) == pytest.approx(1)
     assert trees.random_trials(3) == trees.random_trials(3)
 
 
-def test_trees_learn_steps_and_search_picks_the_least_error(spark, series_of):
-    x = np.arange(300) % 10
-    codes = boosting.bin_codes(x[:, None], boosting.bin_edges(x[:, None]))
-    settings = {**trees.DEFAULTS, "columns": 1.0}
-    base, grown, gains = boosting.fit(codes, np.where(x > 4, 10.0, -10.0), settings, 1)
-    assert np.abs(boosting.predict(base, grown, codes, settings) - np.where(x > 4, 10.0, -10.0)).max() < 0.1
+def test_trees_without_rows_give_no_predictions(spark, series_of):
+    frame = trees.model_features(series_of(short=[1.0] * 30))
+    names = numeric_features(frame)
+    assert trees.holdout(frame, names).count() == trees.importances(frame, names).count() == trees.series_importances(frame, names).count() == 0
+    untrained = trees.model_features(series_of(a=seasonal(70))).withColumn("is_train", F.lit(False))
+    assert {r.yhat for r in trees.fit_predict(untrained, names).collect()} == {None}
+
+
+def test_series_importances_find_the_input_that_drives_each_series(spark):
+    first = dt.date(2024, 1, 1)
+    noise = np.random.default_rng(3).integers(0, 10, (2, 200)).tolist()
+    # both series follow their first input, the flat one by a hundredth
+    rows = [(k, first + dt.timedelta(days=i), float(p) * scale, float(p), float(q)) for k, scale in (("steep", 10.0), ("flat", 0.1)) for i, (p, q) in enumerate(zip(*noise))]
+    frame = spark.createDataFrame(rows, "location string, ds date, y double, `in.a` double, b double")
+    scores = {(r.location, r.feature): r.importance for r in trees.series_importances(frame, ["in.a", "b"], {"maxIter": 15, "maxDepth": 4}).collect()}
+    assert len(scores) == 4 and scores["steep", "in.a"] > 10 > 10 * abs(scores["steep", "b"])
+    assert scores["steep", "in.a"] > 20 * abs(scores["flat", "in.a"])
+
+
+def test_search_keeps_the_least_error_to_the_last_step(spark, series_of):
     frame = trees.model_features(series_of(a=seasonal(200), b=seasonal(150)))
-    rows = trees.search(frame, numeric_features(frame), [{"rounds": 1, "depth": 1}, {"rounds": 30, "depth": 3}]).collect()
-    assert len(rows) == 4 and {r.trial for r in rows if r.is_best} == {1}
+    trials = [{"maxIter": 1, "maxDepth": 1, "stepSize": 0.01}, {"maxIter": 12, "maxDepth": 3}, {"maxIter": 1, "maxDepth": 2, "stepSize": 0.01}]
+    rows = {r.trial: r for r in trees.search(frame, numeric_features(frame), trials, steps=2, share=3).collect()}
+    assert [t for t, r in rows.items() if r.is_best] == [1]
+    assert {t: r.rounds for t, r in rows.items()} == {0: 1, 1: 12, 2: 1}
+    whole = trees.search(frame, numeric_features(frame), trials, steps=1).collect()
+    assert [(r.trial, r.rounds, r.mae) for r in whole if r.is_best] == [(1, 12, pytest.approx(rows[1].mae))]
 
 
-def test_every_tree_model_beats_the_average(spark, series_of):
+def test_pooled_trees_beat_the_average_of_each_series(spark, series_of):
     frame = trees.model_features(series_of(a=seasonal(300), b=seasonal(260)))
     mape = metrics.mape_positive(F.col("actual"), F.col("yhat"))
-    ours = {r.location: r[1] for r in trees.holdout(frame, numeric_features(frame)).groupBy("location").agg(mape).collect()}
+    ours = {r.location: r[1] for r in trees.holdout(frame, numeric_features(frame), {"maxIter": 60}).groupBy("location").agg(mape).collect()}
     plain = {r.location: r[1] for r in baseline.holdout_forecast(frame.select("location", "ds", "y", "is_weekend")).groupBy("location").agg(mape).collect()}
     assert all(ours[k] <= plain[k] for k in ours)
 
