@@ -2,9 +2,10 @@
 
 Pairs of ids that occur often in a shard become nonterminals, round after
 round: in a round every pair that is more frequent than the pairs overlapping
-it is replaced, all of them at once, until a round saves too little. Rules of a
-shard are two arrays (left, right) and the number of ids each expands to. Pairs
-never cross a document, so any document is a slice of the sequence.
+it is replaced, all of them at once, until no pair has places enough to pay for
+a rule. Rules of a shard are two arrays (left, right) and the number of ids each
+expands to. Pairs never cross a document, so any document is a slice of the
+sequence.
 
 Rows: null texts count as empty; rows with equal or null ids stay as they are,
 null first; an empty table gives no shard; other columns are ignored.
@@ -23,63 +24,115 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .tokenizing import encoder, text_batches
 
 SHARD_IDS = 2_000_000
-MIN_COUNT = 6
-MIN_GAIN = 0.04
+# A rule is three numbers (left, right, length) and a place saves one: four places pay.
+MIN_COUNT = 4
 SHARD = "part int, shard int, start long, n_tokens long, base int, docs binary, sizes binary, sequence binary, symbols binary, left binary, right binary, expands binary, rounds binary"
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, base: int, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN) -> dict:
-    """Grammar of the concatenated ids of some documents; ``sizes`` are ids per document."""
-    seq = ids.astype(np.uint32)
-    last = np.zeros(len(seq), bool)
-    ends = np.cumsum(sizes)
-    last[ends[sizes > 0] - 1] = True
-    left, right, rounds = [], [], []
-    bits = max(10, min(22, int(len(seq)).bit_length()))
-    fresh = base
-    while len(seq) > 1:
-        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        slot = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int32)
-        table = np.zeros(1 << bits, np.uint64)
-        table[slot] = key
-        own = table[slot] == key
-        own &= ~last[:-1]
-        count = np.bincount(slot[own], minlength=1 << bits).astype(np.int32)
-        weight = np.where(own, count[slot], 0).astype(np.int64)
+def compress(ids: np.ndarray, sizes: np.ndarray, base: int, min_count: int = MIN_COUNT) -> dict:
+    """Grammar of the concatenated ids of some documents; ``sizes`` are ids per document.
+
+    Places are linked to the next and the one before, so a round touches only places whose
+    pair can still be frequent: those that were frequent, and those beside a replacement.
+    A pair of old symbols never gains a place.
+    """
+    n = len(ids)
+    seq = np.append(ids, 0).astype(np.uint32)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    last, gone = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    last[np.cumsum(sizes)[sizes > 0] - 1] = True
+    last[n] = True
+    left, right, rounds, fresh, turn = [], [], [], base, 0
+    places = np.flatnonzero(~last)
+    while len(places):
+        key, slot, own, table = _slots(seq[places], seq[after[places]], turn)
+        turn += 1
+        follows = after[places[:-1]] == places[1:]
+        counted = own & _every_other(key, follows)
+        count = np.bincount(slot[counted], minlength=len(table))
+        often = own & (count[slot] >= min_count)
         # equal counts are told apart by the pair, so that repeated passages shrink all along
-        weight = np.where(weight < min_count, 0, weight << bits | slot)
-        even = np.arange(len(weight))
-        even = (even - np.maximum.accumulate(np.where(np.diff(weight, prepend=-1) != 0, even, 0))) % 2 == 0
-        pick = (weight > 0) & even  # of a run of one pair every other place
-        pick[1:] &= weight[1:] >= weight[:-1]
-        pick[:-1] &= weight[:-1] >= weight[1:]
-        at = np.flatnonzero(pick)
-        used = np.bincount(slot[at], minlength=1 << bits)
-        at = at[used[slot[at]] >= min_count // 2]
-        if len(at) < min_gain * len(seq):
-            break
-        cells = np.flatnonzero(used >= min_count // 2)
-        number = np.zeros(1 << bits, np.uint32)
+        weight = np.where(counted & often, count[slot] * len(table) + slot, 0)
+        picked = _peaks(weight, follows)
+        used = np.bincount(slot[picked], minlength=len(table))
+        cells = np.flatnonzero(used >= min_count)
+        number = np.zeros(len(table), np.uint32)
         number[cells] = np.arange(fresh, fresh + len(cells), dtype=np.uint32)
-        left.append((table[cells] >> np.uint64(32)).astype(np.uint32))
-        right.append(table[cells].astype(np.uint32))
-        rounds.append(fresh)
-        fresh += len(cells)
-        seq[at] = number[slot[at]]
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        # the other places of the pairs that became rules, as far as they don't overlap
+        picked &= number[slot] > 0
+        free = (weight > 0) & (number[slot] > 0) & ~picked & ~_beside(picked, follows)
+        while free.any():
+            more = _peaks(np.where(free, weight, 0), follows)
+            picked |= more
+            free &= ~more & ~_beside(more, follows)
+        at = places[picked]
+        second = after[at]
+        seq[at] = number[slot[picked]]
+        last[at] = last[second]
+        after[at] = after[second]
+        before[after[second]] = at
+        gone[second] = True
+        open_ = np.zeros(n + 1, bool)
+        open_[places[often | ~own]] = True
+        open_[at] = True
+        open_[before[at[before[at] >= 0]]] = True
+        places = np.flatnonzero(open_ & ~gone & ~last)
+        if len(cells):
+            left.append((table[cells] >> np.uint64(32)).astype(np.uint32))
+            right.append(table[cells].astype(np.uint32))
+            rounds.append(fresh)
+            fresh += len(cells)
+    kept = np.flatnonzero(~gone[:n])
     empty = np.zeros(0, np.uint32)
-    grammar = {"base": base, "sequence": seq, "left": np.concatenate(left or [empty]), "right": np.concatenate(right or [empty]), "rounds": np.array(rounds, np.uint32)}
+    grammar = {"base": base, "sequence": seq[kept], "left": np.concatenate(left or [empty]), "right": np.concatenate(right or [empty]), "rounds": np.array(rounds, np.uint32)}
     grammar["expands"] = _expansions(grammar)
     # symbols per document: the documents' ends, found among the symbols kept
-    closing = np.flatnonzero(last) + 1
+    closing = np.flatnonzero(last[kept]) + 1
     symbols = np.zeros(len(sizes), np.int64)
     symbols[sizes > 0] = np.diff(closing, prepend=0)
     return grammar | {"sizes": sizes.astype(np.uint32), "symbols": symbols.astype(np.uint32)}
 
 
+def _slots(first: np.ndarray, second: np.ndarray, turn: int) -> tuple[np.ndarray, ...]:
+    """Pairs as keys, their slots in a hash table, whether the slot is theirs, and the table.
+
+    A pair that loses its slot to another one waits; the hash differs in every turn.
+    """
+    key = first.astype(np.uint64) << np.uint64(32) | second
+    bits = max(10, min(22, len(key).bit_length() + 1))
+    factor = np.uint64(0x9E3779B97F4A7C15 * (2 * turn + 1) % 2**64)
+    slot = (key * factor >> np.uint64(64 - bits)).astype(np.int64)
+    table = np.zeros(1 << bits, np.uint64)
+    table[slot] = key
+    return key, slot, table[slot] == key, table
+
+
+def _every_other(key: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Of a run of one pair, whose places overlap, every other place from the first."""
+    index = np.arange(len(key))
+    same = np.zeros(len(key), bool)
+    same[1:] = follows & (key[1:] == key[:-1])
+    if not same.any():
+        return ~same
+    return (index - np.maximum.accumulate(np.where(same, 0, index))) % 2 == 0
+
+
+def _peaks(weight: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Places that weigh more than the places they overlap."""
+    peak = weight > 0
+    peak[1:] &= ~follows | (weight[1:] > weight[:-1])
+    peak[:-1] &= ~follows | (weight[:-1] > weight[1:])
+    return peak
+
+
+def _beside(picked: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Places that overlap a picked one."""
+    out = np.zeros(len(picked), bool)
+    out[1:] |= follows & picked[:-1]
+    out[:-1] |= follows & picked[1:]
+    return out
+
+
 def _expansions(g: dict) -> np.ndarray:
     """Ids behind each rule; rules only use rules of earlier rounds."""
     out = np.ones(len(g["left"]), np.uint32)
@@ -111,6 +164,29 @@ def expand(seq: np.ndarray, g: dict) -> np.ndarray:
     return seq
 
 
+def expand_all(g: dict) -> np.ndarray:
+    """Ids of the whole shard: every rule is spelled out once, then all symbols are looked up."""
+    ends = np.cumsum(g["expands"], dtype=np.int64)
+    starts, spelled = ends - g["expands"], np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
+
+    def ids(symbols: np.ndarray) -> np.ndarray:
+        rule = symbols >= g["base"]
+        width = _widths(symbols, g["expands"], g["base"]).astype(np.int64)
+        begin = np.cumsum(width) - width
+        source = np.zeros(len(symbols), np.int64)
+        source[rule] = starts[symbols[rule].astype(np.int64) - g["base"]]
+        out = np.repeat(source - begin, width) + np.arange(width.sum())
+        out[begin[~rule]] = 0
+        found = spelled[out] if len(spelled) else np.zeros(len(out), np.uint32)
+        found[begin[~rule]] = symbols[~rule]
+        return found
+
+    bounds = np.append(g["rounds"], g["base"] + len(starts)).astype(np.int64) - g["base"]
+    for low, high in zip(bounds[:-1], bounds[1:]):
+        spelled[starts[low] : ends[high - 1]] = ids(np.stack([g["left"][low:high], g["right"][low:high]], axis=1).ravel())
+    return ids(g["sequence"])
+
+
 def decode_range(g: dict, document: int, start: int, stop: int) -> np.ndarray:
     """Ids start..stop of one document; only the symbols that cover them are expanded."""
     first = int(g["symbols"][:document].sum())
@@ -178,7 +254,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 g = read_shard(row)
-                data, sizes = expand(g["sequence"], g).astype("<u4").tobytes(), g["sizes"].astype(np.int64)
+                data, sizes = expand_all(g).astype("<u4").tobytes(), g["sizes"].astype(np.int64)
                 stops = np.cumsum(sizes) * 4
                 checks = [zlib.crc32(data[b - n : b]) for b, n in zip(stops.tolist(), (sizes * 4).tolist())]
                 columns = [np.full(len(sizes), row["part"], np.int32), g["docs"], row["start"] + np.cumsum(sizes) - sizes, sizes, np.array(checks, np.int64)]

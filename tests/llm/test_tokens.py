@@ -1,5 +1,6 @@
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -46,6 +47,33 @@ def test_grammar_round_trip_and_random_access():
             assert (grammar.decode_range(g, n, max(a, 0), max(b, 0)) == doc[max(a, 0) : max(b, 0)]).all()
 
 
+def left_over(g: dict) -> int:
+    """Places of the pair that is most frequent in the sequence; places of a run don't overlap."""
+    places, low = Counter(), 0
+    for size in g["symbols"].tolist():
+        doc, counted = g["sequence"][low : low + size].tolist(), -2
+        low += size
+        for i, pair in enumerate(zip(doc, doc[1:])):
+            if counted == i - 1 and doc[i - 1] == pair[0] == pair[1]:
+                continue
+            places[pair], counted = places[pair] + 1, i
+    return max(places.values(), default=0)
+
+
+@pytest.mark.parametrize("kinds", [1, 2, 3, 7])
+def test_grammar_leaves_no_pair_that_pays_and_no_rule_twice(kinds):
+    draw = np.random.default_rng(kinds)
+    for _ in range(30):
+        sizes = draw.integers(0, 60, draw.integers(1, 12))
+        ids = draw.integers(0, kinds, sizes.sum())
+        g = grammar.compress(ids, sizes, 100)
+        assert (grammar.expand_all(g) == ids).all() and (grammar.expand(g["sequence"], g) == ids).all()
+        assert left_over(g) < grammar.MIN_COUNT
+        rules = list(zip(g["left"].tolist(), g["right"].tolist()))
+        assert len(set(rules)) == len(rules) and g["symbols"].sum() == len(g["sequence"])
+        assert (g["symbols"] <= sizes).all()
+
+
 def test_grammar_query_on_odd_rows(spark, docs_of, tmp_path):
     texts, ids = [*ODD, "same", "same"], [5, 4, 3, 2, 1, 0, 9, 8, 7, 6, 10, 11, 12, 13, 14, 15, None, 16]
     path = str(tmp_path / "shards")
