@@ -49,25 +49,26 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, min_count: int = MIN
         turn += 1
         follows = after[places[:-1]] == places[1:]
         counted = own & _every_other(key, follows)
-        count = np.bincount(slot[counted], minlength=len(table))
-        often = own & (count[slot] >= min_count)
+        count = np.bincount(slot[counted], minlength=len(table))[slot]
+        often = own & (count >= min_count)
         # equal counts are told apart by the pair, so that repeated passages shrink all along
-        weight = np.where(counted & often, count[slot] * len(table) + slot, 0)
+        weight = np.where(counted & often, count * len(table) + slot, 0)
         picked = _peaks(weight, follows)
         used = np.bincount(slot[picked], minlength=len(table))
         cells = np.flatnonzero(used >= min_count)
         number = np.zeros(len(table), np.uint32)
         number[cells] = np.arange(fresh, fresh + len(cells), dtype=np.uint32)
         # the other places of the pairs that became rules, as far as they don't overlap
-        picked &= number[slot] > 0
-        free = (weight > 0) & (number[slot] > 0) & ~picked & ~_beside(picked, follows)
+        named = number[slot]
+        picked &= named > 0
+        free = (weight > 0) & (named > 0) & ~picked & ~_beside(picked, follows)
         while free.any():
             more = _peaks(np.where(free, weight, 0), follows)
             picked |= more
             free &= ~more & ~_beside(more, follows)
         at = places[picked]
         second = after[at]
-        seq[at] = number[slot[picked]]
+        seq[at] = named[picked]
         last[at] = last[second]
         after[at] = after[second]
         before[after[second]] = at
@@ -99,7 +100,7 @@ def _slots(first: np.ndarray, second: np.ndarray, turn: int) -> tuple[np.ndarray
     A pair that loses its slot to another one waits; the hash differs in every turn.
     """
     key = first.astype(np.uint64) << np.uint64(32) | second
-    bits = max(10, min(22, len(key).bit_length() + 1))
+    bits = max(10, min(22, len(key).bit_length() - 1))
     factor = np.uint64(0x9E3779B97F4A7C15 * (2 * turn + 1) % 2**64)
     slot = (key * factor >> np.uint64(64 - bits)).astype(np.int64)
     table = np.zeros(1 << bits, np.uint64)
