@@ -51,12 +51,12 @@ def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pc.not_equal(flat, "")), np.diff(real[bounds - bounds[0]])
 
 
-def encoded(docs: DataFrame) -> DataFrame:
+def encoded(docs: DataFrame, shard_chars: int | None = None) -> DataFrame:
     """Shards of documents: hashes of their distinct words, and every word as a number among them; written."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
-        for batch in text_batches(batches, chars=SHARD_CHARS):
+        for batch in text_batches(batches, chars=shard_chars or SHARD_CHARS):
             words, sizes = word_lists(batch.column("text"))
             coded = words.dictionary_encode()
             own = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
@@ -117,10 +117,17 @@ def gram_counts(shards: DataFrame, buckets: int, order: int = ORDER) -> DataFram
                 found = _distinct(*_grams(row["hashes"], row["words"], np.frombuffer(row["sizes"], np.int64), order))
                 for n, (keys, _, counts) in enumerate(found):
                     bounds = _bounds(keys, buckets)
-                    for b in np.flatnonzero(np.diff(bounds)).tolist():
-                        part = slice(bounds[b], bounds[b + 1])
-                        steps = np.diff(keys[part], prepend=np.uint64(0))
-                        yield pa.RecordBatch.from_pylist([{"bucket": b, "n": n, "shard": row["shard"], "steps": _planes(steps), "counts": _planes(counts[part].astype(np.uint32))}], schema=kinds)
+                    filled = np.flatnonzero(np.diff(bounds))
+                    if not len(filled):
+                        continue
+                    parts = [slice(a, b) for a, b in zip(bounds[filled].tolist(), bounds[filled + 1].tolist())]
+                    steps = np.diff(keys, prepend=np.uint64(0))
+                    steps[bounds[filled]] = keys[bounds[filled]]  # a message starts with a whole key
+                    counts = counts.astype(np.uint32)
+                    same = [np.full(len(filled), v) for v in (n, row["shard"])]
+                    data = [[_planes(numbers[p]) for p in parts] for numbers in (steps, counts)]
+                    # one batch per shard and order, a row for each bucket
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([filled, *same, *data], kinds.types)], schema=kinds)
 
     def answer(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("shard")
@@ -136,11 +143,16 @@ def gram_counts(shards: DataFrame, buckets: int, order: int = ORDER) -> DataFram
     return written(asked.groupBy("n", "bucket").applyInArrow(answer, "shard long, n int, bucket int, totals binary"), "gram-counts")
 
 
-def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """Per document: doc_id, n_words, n_backoff (words whose longest n-gram isn't frequent), log_score."""
-    shards = encoded(docs)
+def score(docs: DataFrame, order: int = ORDER, shard_chars: int | None = None, bucket_words: int | None = None) -> DataFrame:
+    """Per document: doc_id, n_words, n_backoff (words whose longest n-gram isn't frequent), log_score.
+
+    ``shard_chars`` and ``bucket_words`` bound what a task holds and change no result. A
+    shard sends one message to each bucket, so messages get shorter as the corpus grows;
+    where executors have more memory, larger values of both keep them long.
+    """
+    shards = encoded(docs, shard_chars)
     total = shards.agg(F.sum("n")).first()[0] or 0
-    buckets = total // BUCKET_WORDS + 1
+    buckets = total // (bucket_words or BUCKET_WORDS) + 1
     answers = gram_counts(shards, buckets, order)
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -128,6 +128,13 @@ def test_scores_of_empty_and_repeated_rows(docs_of):
     assert len(backoff.score(docs_of(["a b", "a b"], [1, 1])).collect()) == 2
 
 
+def test_scores_do_not_depend_on_shards_and_buckets(docs_of):
+    texts = [f"w{i % 7} w{i % 11} w{i % 3} w{i}" for i in range(60)]
+    docs = docs_of(texts)
+    whole = sorted(map(tuple, backoff.score(docs).collect()))
+    assert whole == sorted(map(tuple, backoff.score(docs, shard_chars=40, bucket_words=9).collect()))
+
+
 def test_every_word_keeps_its_own_count(spark):
     words = F.transform(F.sequence(F.col("id") * 110_000, F.col("id") * 110_000 + 109_999), lambda i: F.conv(i.cast("string"), 10, 36))
     docs = spark.range(10).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
