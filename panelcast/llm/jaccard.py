@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import bloom
 from .backoff import word_lists
 from .linking import link_classes, shared_buckets
-from .store import written
+from .store import drop, written
 from .tokenizing import text_batches
 
 CELL_BITS, RANGE_BITS = 22, 6
@@ -222,7 +222,9 @@ def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rows = written(prefixes(docs, n, percent, frequency_cells(docs, n)), "prefixes")
     heads = rows.where("bucket IS NULL").select("doc_id", F.col("id").alias("set_id"), F.col("place").alias("n_shingles"), "parts")
     tokens = rows.where("bucket IS NOT NULL").select("bucket", "id", "place", F.lit(True).alias("lead"))
-    postings = shared_buckets(by_size(shared_buckets(tokens, "tokens-met"), percent), "postings")
+    met = shared_buckets(tokens, "tokens-met")
+    postings = shared_buckets(by_size(met, percent), "postings")
+    drop(met)
     parts = heads.where("parts IS NOT NULL").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("size"), F.first("parts").alias("parts"))
     wanted = postings.select("id").distinct()
     known = written(parts.join(wanted, "id", "left_semi"), "sets")
@@ -244,6 +246,7 @@ def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         return both.where(100 * common >= percent * (F.col("total") - common)).select("a", "b")
 
     labels = link_classes(postings, verify, size_and_position(percent), size_alone(percent))
+    drop(postings, known, sets)
     found = heads.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
     classed = found.select("doc_id", "n_shingles", F.coalesce("label", "set_id").alias("class"))
     # written, so that the join can split a class that holds a large share of the rows

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import bloom
 from .editdistance import within
 from .linking import link_classes, shared_buckets
-from .store import written
+from .store import drop, written
 
 MAX_EDITS, MIN_CHARS = 2, 32
 EDGES = " \t\n\v\f\r"
@@ -195,7 +195,10 @@ def duplicate_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CH
 
     place = F.struct(F.col("place").alias("length"), "signature")
     marked = postings.join(texts.select("id", "signature"), "id").withColumn("place", place).drop("signature")
-    labels = link_classes(written(marked, "segments"), verify, edit_filter(k))
+    segments_ = written(marked, "segments")
+    drop(postings)
+    labels = link_classes(segments_, verify, edit_filter(k))
+    drop(segments_, texts)
     classed = lines.join(labels, "id", "left").select(F.coalesce("label", "id").alias("class"), "row_key", "number", "chars", "long")
     # written, so that the join can split a line that holds a large share of the rows
     first = written(classed.groupBy("class").agg(F.min(F.struct("row_key", "number")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first-lines")

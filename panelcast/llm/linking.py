@@ -19,7 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
-from .store import written
+from .store import drop, written
 
 LEADERS = (1, 8, 64)
 Check = Callable[[DataFrame], DataFrame]
@@ -44,7 +44,8 @@ def link_classes(postings: DataFrame, verify: Check, could_link: Filter, loosely
     ``postings`` come from ``shared_buckets``. ``could_link`` takes the places of
     two items in a bucket and says whether they may be similar by what this bucket
     tells, ``loosely`` whether by what any bucket tells; ``verify`` takes
-    pairs (a, b) and returns those that are.
+    pairs (a, b) and returns those that are. What it writes on the way is dropped
+    once nothing reads it, so the disk holds one round.
     """
     edges, tested, labels = None, None, None
     for step in range(len(LEADERS) + 1):
@@ -59,11 +60,16 @@ def link_classes(postings: DataFrame, verify: Check, could_link: Filter, loosely
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
+            drop(pairs)
             continue
         found = written(verify(pairs), "links")
         tested = pairs if tested is None else tested.unionAll(pairs)
         edges = found if edges is None else edges.unionAll(found)
-        labels = components(edges)
+        before, labels = labels, components(edges)
+        if before is not None:
+            drop(before)
+    if edges is not None:
+        drop(tested, edges)
     if labels is None:
         return postings.sparkSession.createDataFrame([], "id long, label long")
     return labels
@@ -124,7 +130,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select("b", "a"))
         large = _hook(both, F.col("v") > F.col("u"))
         small = _hook(large.select(F.col("b").alias("u"), F.col("a").alias("v")), F.lit(True), closing=True)
+        last = now
         now, seen = _marked(small)
+        drop(last)
         if seen == mark:
             return now.select(F.col("b").alias("id"), F.col("a").alias("label")).unionAll(now.select(F.col("a").alias("id"), F.col("a").alias("label"))).distinct()
         mark = seen

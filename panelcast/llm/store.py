@@ -23,6 +23,17 @@ def written(df: DataFrame, label: str, *partitions: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that nothing reads any more; other files are left alone."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        root = workspace(df.sparkSession, "").rpartition("/")[0]
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            if f"{root.split(':', 1)[-1].lstrip('/')}/" in folder:
+                place = context._jvm.org.apache.hadoop.fs.Path(folder)
+                place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def words(text: Column) -> Column:
     """Array of words, empty for a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{BLANKS}]+"), lambda w: w != "")
