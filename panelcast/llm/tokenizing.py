@@ -5,10 +5,16 @@ non-blank to blank, so a text equals its chunks (a run of blanks and the run of
 other characters behind it) encoded one by one. A batch of texts is cut into
 chunks by Arrow kernels, each distinct chunk is encoded once, and the ids are
 gathered back. The ids are those of the whole text.
+
+Most chunks are Latin letters with punctuation behind them, which both tokenizers
+split in one way. Their parts go to the tokenizer's model as they are; all other
+chunks take the way through its normalizer and splitter.
 """
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +27,10 @@ from tokenizers import Tokenizer
 RARE_BLANKS = "\\t\\v\\f\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 BLANK = f"[ \\n{RARE_BLANKS}]"
 CUT, MARK = "\x00", "\x01"
+# A blank, letters that no normal form changes, punctuation that starts no contraction.
+PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+# What the plain way must give the same ids for as the tokenizer itself, or else it is not taken.
+PROBES = ["a", " a", "\na", " word.", "\nword!?", " Été,", " ÿÀß", " x#*$%&|<>", "THE(", " Straße-"]
 BATCH_CHARS = 4_000_000
 #: Bytes of kept chunks and ids, with about 200 more for what Python adds to each.
 KEPT_BYTES = 48_000_000
@@ -35,7 +45,13 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.folded = folded
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
+        self.model = self.tokenizer.model
+        self.bytes = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.ends: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.plain = all(t.special for t in added) and all(self._plain(p) == self._whole(p)[0].tobytes() for p in PROBES)
         self.mark = self.tokenizer.encode(f" {MARK}", add_special_tokens=False).ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -74,40 +90,79 @@ class ChunkEncoder:
     def _distinct(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks; those of earlier batches are kept, up to a bound."""
         found = list(map(self.kept.get, chunks))
-        new = [i for i, ids in enumerate(found) if ids is None]
+        missed = [i for i, ids in enumerate(found) if ids is None]
+        new = []
+        for i in missed:
+            found[i] = self.older.get(chunks[i])
+            if found[i] is None:
+                new.append(i)
         for i, ids in zip(new, self._encoded([chunks[i] for i in new])):
             found[i] = ids
-        if self.held > KEPT_BYTES:
-            # start anew; frequent chunks come back with the next batch
-            self.kept, self.held = {}, 0
-        for i in new:
+        if self.held > KEPT_BYTES // 2:
+            # what the last batches used stays, what none of them used goes
+            self.kept, self.older, self.held = {}, self.kept, 0
+        for i in missed:
             self.kept[chunks[i]] = found[i]
             self.held += len(chunks[i]) + len(found[i]) + ENTRY_BYTES
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return np.frombuffer(b"".join(found), np.int32), lengths
 
+    def _plain(self, chunk: str) -> bytes | None:
+        """Ids of a chunk of Latin letters and punctuation as bytes, None for any other chunk."""
+        parts = PLAIN.fullmatch(chunk)
+        if parts is None:
+            return None
+        blank, word, end = parts.groups()
+        if self.folded:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.bytes)
+        if blank == " " and not self.folded:
+            word = self.bytes[32] + word
+        ids = array("i", [t.id for t in self.model.tokenize(word)]).tobytes()
+        if blank == "\n" and not self.folded:
+            ids = self._end(blank) + ids
+        return ids + self._end(end) if end else ids
+
+    def _end(self, text: str) -> bytes:
+        """Ids of a run of punctuation, or of a line's end; short ones are kept, a bounded number of them."""
+        ids = self.ends.get(text)
+        if ids is None:
+            ids = array("i", [t.id for t in self.model.tokenize(text.translate(self.bytes))]).tobytes()
+            if len(text) <= 8 and len(self.ends) < 10_000:
+                self.ends[text] = ids
+        return ids
+
     def _encoded(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks as bytes. Chunks led by a blank are joined by a mark, encoded in runs and cut at it."""
+        """Ids of chunks as bytes. Chunks led by a blank that are not plain are joined by a mark, encoded in runs and cut at it."""
+        out = list(map(self._plain, chunks)) if self.plain else [None] * len(chunks)
+        others = [i for i, ids in enumerate(out) if ids is None]
         if self.folded:
             chunks = [f" {c.lstrip(' ')}" for c in chunks]
-        out: list[bytes] = [b""] * len(chunks)
-        joined = [i for i, c in enumerate(chunks) if c[:1] in (" ", "\n") and len(c) > 1 and not c[-1].isspace() and MARK not in c]
+        joined = [i for i in others if chunks[i][:1] in (" ", "\n") and len(chunks[i]) > 1 and not chunks[i][-1].isspace() and MARK not in chunks[i]]
         size = len(self.mark)
-        for low in range(0, len(joined), 2000):
-            part = joined[low : low + 2000]
+        for low in range(0, len(joined), 200):
+            part = joined[low : low + 200]
             text = f" {MARK}".join([chunks[i] for i in part]) + f" {MARK}"
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
             ends = (np.flatnonzero(ids == self.mark[-1]) + 1) * 4
             data, start = ids.tobytes(), 0
             for i, end in zip(part, ends.tolist()):
                 out[i] = data[start : end - 4 * size]
                 start = end
-        rest = sorted(set(range(len(chunks))).difference(joined))
+        rest = sorted(set(others).difference(joined))
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False)):
             out[i] = np.array(e.ids, np.int32).tobytes()
         return out
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level models write for each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(0x100) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, folded: bool = False) -> ChunkEncoder:
     """The worker's encoder of a file: tasks that run in one worker share what it keeps."""

@@ -1,13 +1,14 @@
 import struct
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from panelcast.llm import grammar, packing, token_queries
+from panelcast.llm import grammar, packing, token_queries, tokenizing
 from panelcast.llm.tokenizing import ChunkEncoder
 import pyarrow as pa
 
@@ -30,6 +31,31 @@ def test_chunks_give_the_ids_of_whole_texts(file, folded):
         assert [list(ids[e - n : e]) for e, n in zip(ends, sizes)] == [encode(t) for t in texts]
 
 
+@pytest.mark.parametrize("file,folded", FILES)
+def test_plain_chunks_skip_the_splitter(file, folded, monkeypatch):
+    encode, own = reference(file), ChunkEncoder(public_tokenizers.path(file), folded)
+    rng, letters, ends = np.random.default_rng(5), list("abzAZéÉßÿÀøñ"), ["", ".", ",", "!?", "***", "<|", "$%&", "_-", '")', "(`"]
+    texts = ["a" + "".join(" \n"[rng.integers(2)] + "".join(rng.choice(letters, rng.integers(1, 12))) + ends[rng.integers(len(ends))] for _ in range(300)) for _ in range(4)]
+    slow = []
+    encode_all = own.tokenizer.encode_batch_fast
+    splitter = SimpleNamespace(encode_batch_fast=lambda chunks, **how: slow.extend(chunks) or encode_all(chunks, **how))
+    monkeypatch.setattr(own, "tokenizer", splitter)
+    ids, sizes = own.encode(pa.array(texts))
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    assert [list(ids[a:b]) for a, b in zip(bounds, bounds[1:])] == [encode(t) for t in texts]
+    assert not slow
+
+
+def test_chunks_in_use_outlive_the_bound_on_kept_ones(monkeypatch):
+    monkeypatch.setattr(tokenizing, "KEPT_BYTES", 4_000)
+    own, sent = ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    encoded = own._encoded
+    monkeypatch.setattr(own, "_encoded", lambda chunks: sent.extend(chunks) or encoded(chunks))
+    for i in range(50):
+        own.encode(pa.array([f"x common one{'abcdefghij'[i % 10] * (i + 1)} two{'klmnopqrst'[i % 10] * (i + 1)}"]))
+    assert sent.count(" common") == 1 and len(own.kept) + len(own.older) < 45
+
+
 def checksum(ids):
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
 
