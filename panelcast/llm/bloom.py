@@ -50,3 +50,14 @@ def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     for places in _places(np.ascontiguousarray(keys, np.int64).view(np.uint64)):
         out &= (bits[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
     return out
+
+
+def matching(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose key, a 64-bit number, may be among the only column of ``keys``; neither holds nulls."""
+    bits = rows.sparkSession.sparkContext.broadcast(build(keys))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(bits.value, batch.column(key).to_numpy())))
+
+    return rows.mapInArrow(sift, rows.schema)

@@ -37,7 +37,8 @@ from .tokenizing import text_batches
 
 CELL_BITS, RANGE_BITS = 22, 6
 BATCH_CHARS = 6_000_000
-PARTS = 16
+# Counts kept per set: the more, the larger are the sets that counts alone tell apart.
+PARTS = 64
 
 
 def mixed(hashes: np.ndarray) -> np.ndarray:
@@ -229,7 +230,9 @@ def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     wanted = postings.select("id").distinct()
     known = written(parts.join(wanted, "id", "left_semi"), "sets")
     found = token_sets(docs, n, known.select(F.col("first").alias("doc_id")))
-    sets = written(found.join(known.select("id"), "id", "left_semi"), "tokens")
+    # a filter of fixed size instead of a join: sets beyond the wanted ones meet no pair
+    sets = written(bloom.matching(found, "id", known.select("id")), "tokens")
+    scratch: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> DataFrame:
         def side(name: str) -> DataFrame:
@@ -239,14 +242,17 @@ def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v)
         total = F.col("size_a") + F.col("size_b")
         # overlap >= percent/(100+percent) * total, so the sets differ in the rest
-        near = near.where((100 + percent) * apart <= (100 - percent) * total).select("a", "b", total.alias("total"))
-        left = near.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-        both = left.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), "a")
+        near = written(near.where((100 + percent) * apart <= (100 - percent) * total).select("a", "b", total.alias("total")), "near")
+        scratch.append(near)
+        # a round asks for few of the sets; the others stay out of its shuffles
+        asked = bloom.matching(sets, "id", near.select(F.explode(F.array("a", "b"))))
+        left = near.join(asked.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+        both = left.join(asked.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), "a")
         common = F.size(F.array_intersect("tokens_a", "tokens_b"))
         return both.where(100 * common >= percent * (F.col("total") - common)).select("a", "b")
 
     labels = link_classes(postings, verify, size_and_position(percent), size_alone(percent))
-    drop(postings, known, sets)
+    drop(postings, known, sets, *scratch)
     found = heads.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
     classed = found.select("doc_id", "n_shingles", F.coalesce("label", "set_id").alias("class"))
     # written, so that the join can split a class that holds a large share of the rows

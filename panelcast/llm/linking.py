@@ -47,7 +47,7 @@ def link_classes(postings: DataFrame, verify: Check, could_link: Filter, loosely
     pairs (a, b) and returns those that are. What it writes on the way is dropped
     once nothing reads it, so the disk holds one round.
     """
-    edges, tested, labels = None, None, None
+    tested, labels = None, None
     for step in range(len(LEADERS) + 1):
         rows = _labelled(postings, labels)
         if step == 0:
@@ -64,12 +64,14 @@ def link_classes(postings: DataFrame, verify: Check, could_link: Filter, loosely
             continue
         found = written(verify(pairs), "links")
         tested = pairs if tested is None else tested.unionAll(pairs)
-        edges = found if edges is None else edges.unionAll(found)
+        # a class so far is a star around its label, so links of earlier rounds aren't needed any more
+        edges = found if labels is None else found.unionAll(labels.where("id != label").select(F.col("label").alias("a"), F.col("id").alias("b")))
         before, labels = labels, components(edges)
+        drop(found)
         if before is not None:
             drop(before)
-    if edges is not None:
-        drop(tested, edges)
+    if tested is not None:
+        drop(tested)
     if labels is None:
         return postings.sparkSession.createDataFrame([], "id long, label long")
     return labels
@@ -134,7 +136,10 @@ def components(edges: DataFrame) -> DataFrame:
         now, seen = _marked(small)
         drop(last)
         if seen == mark:
-            return now.select(F.col("b").alias("id"), F.col("a").alias("label")).unionAll(now.select(F.col("a").alias("id"), F.col("a").alias("label"))).distinct()
+            # written, since each round reads it twice; files of known size are broadcast if they are small
+            labels = written(now.select(F.col("b").alias("id"), F.col("a").alias("label")).unionAll(now.select(F.col("a").alias("id"), F.col("a").alias("label"))).distinct(), "labels")
+            drop(now)
+            return labels
         mark = seen
 
 

@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelcast.llm import editdistance, jaccard, linededup, linking
+from panelcast.llm import bloom, editdistance, jaccard, linededup, linking
 from panelcast.llm.queries import QUERIES
 
 
@@ -30,6 +30,21 @@ def test_components(spark):
     assert got == {k: v for k, v in want.items() if k in got} and {k for e in edges if e[0] != e[1] for k in e} == set(got)
 
 
+def test_components_are_a_table_of_files(spark):
+    labels = linking.components(spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "a long, b long"))
+    assert "Exchange" not in labels._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filter_lets_all_keys_and_few_others_through(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("id"), F.array(F.col("id")).alias("tokens"))
+    keys = spark.range(0, 20_000, 100).select(F.xxhash64("id").alias("k"))
+    kept = bloom.matching(rows, "id", keys)
+    assert kept.schema == rows.schema
+    got = {r["tokens"][0] for r in kept.collect()}
+    assert got >= set(range(0, 20_000, 100)) and len(got) < 300
+    assert not bloom.matching(rows, "id", keys.limit(0)).collect()
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
