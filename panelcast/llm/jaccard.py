@@ -159,19 +159,28 @@ def prefixes(docs: DataFrame, n: int, percent: int, cells: np.ndarray) -> DataFr
     return rows.mapInArrow(emit, "bucket long, id long, place long, doc_id long, parts array<int>")
 
 
-def token_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """(id, tokens) of the documents with a wanted doc_id; a Bloom filter leaves most others out."""
-    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted.where("doc_id IS NOT NULL")))
+def token_sets(docs: DataFrame, n: int, known: DataFrame) -> DataFrame:
+    """(id, tokens) of the known sets (id, first), made from the documents ``first`` names.
+
+    Two Bloom filters, of doc_ids and of set ids, leave most others out. Both are asked in one
+    step: each Python step behind another holds one more worker per task, for the whole job.
+    """
+    context = docs.sparkSession.sparkContext
+    firsts = context.broadcast(bloom.build(known.where("first IS NOT NULL").select(F.col("first").cast("long"))))
+    wanted = context.broadcast(bloom.build(known.select("id")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, chars=BATCH_CHARS):
             keys = batch.column("doc_id")
-            let_in = bloom.passes(bits.value, pc.fill_null(keys, 0).to_numpy()) | keys.is_null().to_numpy(zero_copy_only=False)
+            let_in = bloom.passes(firsts.value, pc.fill_null(keys, 0).to_numpy()) | keys.is_null().to_numpy(zero_copy_only=False)
             sets = shingles(batch.column("text").filter(pa.array(let_in)), n)
             for low in range(0, len(sets), 256):
                 some = [s for s in sets[low : low + 256] if len(s)]
+                ids = np.array([set_id(s) for s in some], np.int64)
+                met = bloom.passes(wanted.value, ids)
+                some = [s for s, m in zip(some, met.tolist()) if m]
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in some]))), pa.int32()), pa.array(np.concatenate(some or [np.zeros(0, np.uint64)]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in some], pa.int64()), tokens], ["id", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[met]), tokens], ["id", "tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, "id long, tokens array<bigint>")
 
@@ -229,9 +238,8 @@ def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     parts = heads.where("parts IS NOT NULL").groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("size"), F.first("parts").alias("parts"))
     wanted = postings.select("id").distinct()
     known = written(parts.join(wanted, "id", "left_semi"), "sets")
-    found = token_sets(docs, n, known.select(F.col("first").alias("doc_id")))
-    # a filter of fixed size instead of a join: sets beyond the wanted ones meet no pair
-    sets = written(bloom.matching(found, "id", known.select("id")), "tokens")
+    # filters of fixed size instead of a join: sets beyond the wanted ones meet no pair
+    sets = written(token_sets(docs, n, known), "tokens")
     scratch: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> DataFrame:

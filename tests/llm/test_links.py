@@ -193,6 +193,19 @@ def test_jaccard_of_a_large_group_and_of_nothing(docs_of):
     assert len(twins) == 3 and {r["component_id"] for r in twins} == {3}
 
 
+def test_known_sets_in_one_python_step(docs_of):
+    texts = [f"w{i} x{i} y{i} z{i} end{i}" for i in range(50)] + [None, "", "short one"]
+    sets = {jaccard.set_id(s): s.view("int64").tolist() for s in jaccard.shingles(pa.array(texts, pa.string()), 4) if len(s)}
+    docs = docs_of(texts, [*range(49), None, None, 51, 52])
+    known = [(jaccard.set_id(jaccard.shingles(pa.array([texts[i]]), 4)[0]), first) for i, first in ((0, 0), (7, 7), (49, None), (52, 52))]
+    found = jaccard.token_sets(docs, 4, docs.sparkSession.createDataFrame(known, "id long, first long"))
+    # one worker per task: a filter in a second step would hold another one
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r["id"]: r["tokens"] for r in found.collect()}
+    assert {i for i, _ in known} <= set(got) and len(got) < 10
+    assert all(sets[i] == tokens for i, tokens in got.items())
+
+
 def test_shingles_are_sets_of_word_runs():
     def grams(text, n):
         words = "".join(c.lower() if c.isascii() else c for c in text).split()
