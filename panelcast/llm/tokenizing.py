@@ -80,7 +80,7 @@ class ChunkEncoder:
             cut = pc.replace_with_mask(cut, odd, slow)
         chunks = pc.split_pattern(cut, CUT)
         coded = chunks.flatten().dictionary_encode()
-        flat, lengths = self._distinct(coded.dictionary.to_pylist())
+        flat, lengths = self._distinct(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         known = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths)))), pa.array(flat))
         taken = known.take(coded.indices)
         bounds = taken.offsets.to_numpy()[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
@@ -91,19 +91,18 @@ class ChunkEncoder:
         """Ids of distinct chunks; those of earlier batches are kept, up to a bound."""
         found = list(map(self.kept.get, chunks))
         missed = [i for i, ids in enumerate(found) if ids is None]
-        new = []
-        for i in missed:
-            found[i] = self.older.get(chunks[i])
-            if found[i] is None:
-                new.append(i)
-        for i, ids in zip(new, self._encoded([chunks[i] for i in new])):
+        asked = [chunks[i] for i in missed]
+        given = list(map(self.older.get, asked))
+        new = [i for i, ids in enumerate(given) if ids is None]
+        for i, ids in zip(new, self._encoded([asked[i] for i in new])):
+            given[i] = ids
+        for i, ids in zip(missed, given):
             found[i] = ids
         if self.held > KEPT_BYTES // 2:
             # what the last batches used stays, what none of them used goes
             self.kept, self.older, self.held = {}, self.kept, 0
-        for i in missed:
-            self.kept[chunks[i]] = found[i]
-            self.held += len(chunks[i]) + len(found[i]) + ENTRY_BYTES
+        self.kept.update(zip(asked, given))
+        self.held += sum(map(len, asked)) + sum(map(len, given)) + ENTRY_BYTES * len(asked)
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return np.frombuffer(b"".join(found), np.int32), lengths
 

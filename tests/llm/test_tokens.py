@@ -1,4 +1,5 @@
 import struct
+import sys
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -56,6 +57,19 @@ def test_chunks_in_use_outlive_the_bound_on_kept_ones(monkeypatch):
     assert sent.count(" common") == 1 and len(own.kept) + len(own.older) < 45
 
 
+def test_new_chunks_cost_no_python_calls_besides_their_encoding(monkeypatch):
+    own, calls = ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json")), Counter()
+    monkeypatch.setattr(own, "_encoded", lambda chunks: [b"abcd"] * len(chunks))
+    chunks = [f" w{i}" for i in range(1000)]
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        ids, lengths = own._distinct(chunks)
+    finally:
+        sys.setprofile(None)
+    assert calls["c_call"] < 100 and lengths.tolist() == [1] * 1000 and len(ids) == 1000
+    assert own.held == sum(map(len, chunks)) + 1000 * (4 + tokenizing.ENTRY_BYTES) and len(own.kept) == 1000
+
+
 def checksum(ids):
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
 
